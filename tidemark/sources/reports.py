@@ -157,43 +157,44 @@ def connector_states(documents: DataFrame, text: str = "value") -> DataFrame:
 def flatten_numeric_paths(documents: DataFrame, text: str, depth: int = 6) -> DataFrame:
     """Every numeric leaf of nested JSON documents as (path, number).
 
-    Texts that read as numbers count, booleans do not. Each level is one
-    ``variant_explode``; leaves deeper than ``depth`` fail the job instead of
-    going missing.
+    Texts that read as numbers count, booleans do not. Each level opens the
+    objects and arrays left, in one chain over the parsed value; documents
+    nested deeper than ``depth`` fail the job instead of losing leaves.
     """
+    spark = documents.sparkSession
     keep = [c for c in documents.columns if c != text]
-    level = documents.select(
-        *keep, F.lit("").alias("path"), F.try_parse_json(text).alias("v")
-    ).where(F.col("v").isNotNull())
-    leaves = None
-    for i in range(depth + 1):
-        kind = F.schema_of_variant("v")
-        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        number = F.when(
-            kind.rlike(r"^(BIGINT|FLOAT|DOUBLE|DECIMAL.*|STRING)$"),
-            F.trim(F.try_variant_get("v", "$", "string")).try_cast("double"),
+    level = documents.select(*keep, F.lit("").alias("path"), F.try_parse_json(text).alias("v"))
+    for _ in range(depth):
+        opened = level.lateralJoin(
+            spark.tvf.variant_explode_outer(F.when(_is_nested("v"), F.col("v")).outer())
         )
-        found = level.where(~nested).select(*keep, "path", number.alias("number")).where(
-            F.col("number").isNotNull()
-        )
-        leaves = found if leaves is None else leaves.unionByName(found)
-        if i == depth:
-            too_deep = level.where(nested).select(
-                *keep,
-                "path",
-                F.raise_error(F.lit(f"document nested deeper than {depth}")).cast("double").alias("number"),
-            )
-            return leaves.unionByName(too_deep)
         step = F.coalesce(F.col("key"), F.col("pos").cast("string"))
-        exploded = level.where(nested).lateralJoin(
-            level.sparkSession.tvf.variant_explode(F.col("v").outer())
-        )
-        level = exploded.select(
+        level = opened.select(
             *keep,
-            F.when(F.col("path") == "", step).otherwise(F.concat_ws(".", "path", step)).alias("path"),
-            F.col("value").alias("v"),
+            F.when(step.isNull(), F.col("path"))
+            .when(F.col("path") == "", step)
+            .otherwise(F.concat_ws(".", "path", step))
+            .alias("path"),
+            F.coalesce("value", "v").alias("v"),
         )
-    return leaves
+    number = F.when(
+        _is_nested("v"),
+        F.raise_error(F.lit(f"document nested deeper than {depth}")).cast("double"),
+    ).when(
+        F.schema_of_variant("v").rlike(r"^(BIGINT|FLOAT|DOUBLE|DECIMAL.*|STRING)$"),
+        F.trim(F.try_variant_get("v", "$", "string")).try_cast("double"),
+    )
+    return level.select(*keep, "path", number.alias("number")).where(F.col("number").isNotNull())
+
+
+def _is_nested(v: str) -> Column:
+    """A non-empty object or array."""
+    kind = F.schema_of_variant(v)
+    return F.coalesce(
+        (kind.startswith("OBJECT<") | kind.startswith("ARRAY<"))
+        & ~kind.isin("OBJECT<>", "ARRAY<VOID>"),
+        F.lit(False),
+    )
 
 
 def max_path_number(

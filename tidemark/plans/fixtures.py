@@ -5,11 +5,14 @@ Every derivation covers its whole input table, so the work grows with it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import blocked
-from tidemark.functions.columns import floor_div
+from tidemark.functions.columns import floor_div, with_wire_header
+from tidemark.operators.decode import changes, decode, valid_records
 from tidemark.operators.encode import (
     envelope,
     epoch_millis_variant,
@@ -17,7 +20,11 @@ from tidemark.operators.encode import (
     number_variant,
     wire_row,
 )
+from tidemark.operators.offsets import log_end_offsets
 from tidemark.schemas import ORDER_COLUMNS, REPAIR_FORMAT
+from tidemark.session import scratch_dir
+from tidemark.sources.runs import DRILLS
+from tidemark.sources.workload import commit_batches
 
 TOPIC = "shop.orders"
 PARTITIONS = 3
@@ -218,3 +225,290 @@ def ordering_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
             ).alias("value"),
         )
     )
+
+
+# -- stored derivations ---------------------------------------------------------
+
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def stored(
+    spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]
+) -> DataFrame:
+    """A derivation as a Parquet table in the shared folder, written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        path = scratch_dir(spark, name)
+        build(spark, sf_dir).write.parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
+
+
+def log_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "log", cdc_log)
+
+
+def changelog_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 decoded: every image with its log position."""
+    return stored(spark, sf_dir, "changelog", lambda s, d: changes(decode(log_table(s, d))))
+
+
+def probe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F4 decoded, with the key the record was sent under."""
+
+    def build(s: SparkSession, d: str) -> DataFrame:
+        outcomes = valid_records(decode(ordering_probe(s, d)))
+        return outcomes.select(
+            F.col("key").cast("string").cast("bigint").alias("key_order_id"),
+            "image.row.order_id",
+            "image.row.event_id",
+            "partition",
+            "offset",
+            "timestamp_ms",
+        )
+
+    return stored(spark, sf_dir, "probe", build)
+
+
+# -- measurements ---------------------------------------------------------------
+
+
+def end_offsets(log: DataFrame) -> DataFrame:
+    """log ends, plus one partition that never got a record."""
+    ends = log_end_offsets(log).select("partition", "log_end_offset")
+    return ends.unionByName(
+        ends.agg((F.max("partition") + 1).alias("partition"), F.lit(0).cast("bigint").alias("log_end_offset"))
+    )
+
+
+def group_offsets(log: DataFrame) -> DataFrame:
+    """the committed offsets, ten per partition number behind the end."""
+    return log_end_offsets(log).select(
+        "partition",
+        (F.col("log_end_offset") - F.col("partition") * 10).alias("current_offset"),
+        "log_end_offset",
+    )
+
+
+def timed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").withColumn(
+        "epoch_ms", F.unix_millis(F.col("ts").cast("timestamp"))
+    )
+
+
+def event_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """commit batches of 100 events."""
+    return commit_batches(timed_events(spark, sf_dir), 100, "event_id", "epoch_ms", "epoch_ms")
+
+
+def event_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """one snapshot per 500 events."""
+    s = floor_div(F.col("event_id"), 500) + 1
+    return (
+        timed_events(spark, sf_dir)
+        .groupBy(s.alias("snapshot_id"))
+        .agg(F.max("epoch_ms").alias("ms"))
+        .select(
+            "snapshot_id",
+            (F.col("ms") + 5000 + F.col("snapshot_id")).alias("committed_at_epoch_ms"),
+        )
+    )
+
+
+def visible_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events per snapshot; even ones are delivered again in the next snapshot."""
+    s = floor_div(F.col("event_id"), 500) + 1
+    again = F.when(F.col("event_id") % 2 == 0, F.array(s, s + 1)).otherwise(F.array(s))
+    return table(spark, sf_dir, "events").select("event_id", F.explode(again).alias("snapshot_id"))
+
+
+def metric_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """exposition text, one metric line per event and a comment before every tenth."""
+    kind = F.col("event_type")
+    job = F.concat(F.lit('{job_id="'), F.col("user_id") % 3, F.lit('",task="t'), F.col("user_id") % 7, F.lit('"} '))
+    turn = F.col("event_id") % 6
+    name = (
+        F.when(turn == 0, F.concat(F.lit("job_"), kind, F.lit("_busyTimeMsPerSecond")))
+        .when(turn == 1, F.concat(F.lit("job_"), kind, F.lit("_backPressuredTimeMsPerSecond")))
+        .when(turn == 2, F.concat(F.lit("job_"), kind, F.lit("_checkpointAlignmentTime")))
+        .when(turn == 3, F.concat(F.lit("source_"), kind, F.lit("_records_lag_max")))
+        .when(turn == 4, F.concat(F.lit("source_"), kind, F.lit("_committedOffsets")))
+        .otherwise(F.concat(F.lit("debezium_"), kind, F.lit("_TotalNumberOfEventsSeen")))
+    )
+    line = F.concat(name, job, F.col("value").cast("string"))
+    lines = F.when(
+        F.col("event_id") % 10 == 0, F.array(F.concat(F.lit("# HELP "), name), F.lit(""), line)
+    ).otherwise(F.array(line))
+    return table(spark, sf_dir, "events").select(
+        "event_id", F.col("user_id").alias("scrape"), F.explode(lines).alias("value")
+    )
+
+
+def load_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """one sample per event type and day; three baseline samples come first."""
+    return (
+        table(spark, sf_dir, "events")
+        .groupBy(F.col("event_type").alias("series"), F.date_trunc("day", "ts").alias("day"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.max("value").alias("duration_ms"),
+            F.min("value").alias("alignment_ms"),
+            F.max(F.col("value") / 1000).alias("indicator"),
+            F.count_if(F.col("value") > 100).alias("failed_count"),
+        )
+        .select(
+            "series",
+            F.datediff("day", F.lit("2024-01-01").cast("date")).cast("bigint").alias("sample_index"),
+            F.greatest(F.col("n") - 67, F.lit(0)).alias("lag_events"),
+            "duration_ms",
+            "alignment_ms",
+            "indicator",
+            "failed_count",
+        )
+    )
+
+
+def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8: documents stand in for files, their source for the manifest."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("path"),
+        F.col("n_chars").alias("size_bytes"),
+        F.col("source").alias("manifest"),
+    )
+
+
+def schema_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """one subject per part, two versions each; the part number decides what changes."""
+    p = F.col("p_partkey")
+
+    def field(name: str, type_: Column, default: str = "") -> Column:
+        return F.concat(F.lit(f'{{"name":"{name}","type":'), type_, F.lit(f"{default}}}"))
+
+    def record(*fields: Column) -> Column:
+        return F.concat(
+            F.lit('{"type":"record","name":"Part","fields":['), F.concat_ws(",", *fields), F.lit("]}")
+        )
+
+    key = field("p_partkey", F.lit('"long"'))
+    size = field("p_size", F.lit('"int"'))
+    stamp = field("updated_at", F.lit('{"type":"long","logicalType":"timestamp-micros"}'))
+    stamp2 = field("updated_at", F.lit('{"logicalType":"timestamp-micros","type":"long"}'))
+    first = record(key, size, stamp)
+    case = p % 6
+    second = (
+        F.when(case == 0, record(key, size, stamp2))
+        .when(case == 1, record(key, size, stamp, field("brand", F.lit('["null","string"]'), ',"default":null')))
+        .when(case == 2, record(key, stamp))
+        .when(case == 3, record(key, field("p_size", F.lit('"string"')), stamp))
+        .when(case == 4, record(key, size, stamp, field("brand", F.lit('"string"'))))
+        .otherwise(record(key, field("p_size", F.lit('"long"')), stamp))
+    )
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("part-"), p.cast("string")).alias("subject"),
+        F.inline(
+            F.array(
+                F.struct(F.lit(1).alias("version"), first.alias("schema_json")),
+                F.struct(F.lit(2).alias("version"), second.alias("schema_json")),
+            )
+        ),
+    )
+
+
+def wire_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """payloads with a wire header per order; every eleventh lacks it."""
+    k = F.col("k")
+    payload = F.col("o_orderpriority").cast("binary")
+    return orders(spark, sf_dir).select(
+        F.when(k % 11 == 0, payload).otherwise(with_wire_header(k % 7 + 100, payload)).alias("value")
+    )
+
+
+def run_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """one drill record per customer; the customer number decides which rules it breaks."""
+    c = F.col("c_custkey")
+    drill = F.element_at(F.array(*[F.lit(d) for d in DRILLS]), (c % 5 + 1).cast("int"))
+    run_id = F.when(c % 17 != 0, F.concat(F.lit("run-"), c.cast("string")))
+    doc = F.struct(
+        F.lit("B3").alias("phase"),
+        drill.alias("failure_class"),
+        run_id.alias("run_id"),
+        F.lit("0" * 8).alias("git_sha"),
+        F.lit("2026-01-01T00:00:00Z").alias("started_at"),
+        F.lit("2026-01-01T00:01:00Z").alias("finished_at"),
+        F.struct(F.lit("4.1.2").alias("spark")).alias("stack_versions"),
+        F.lit("verify").alias("command"),
+        F.concat(F.lit("logs/"), (c % 10).cast("string"), F.lit(".log")).alias("logs"),
+        F.when(c % 13 == 0, 1).otherwise(0).alias("snapshot_diff_count"),
+        F.struct(F.lit(8).alias("cpus")).alias("environment"),
+        F.struct((c % 19 != 0).alias("rows_match"), F.lit(True).alias("digest_match")).alias("checks"),
+        F.struct((c % 19 != 0).alias("passed")).alias("summary"),
+        F.struct(
+            F.array(F.struct(F.lit(0).alias("partition"), F.when(c % 23 == 0, 5).otherwise(0).alias("lag"))).alias(
+                "kafka_offsets"
+            ),
+            F.struct(c.alias("id")).alias("checkpoint"),
+            F.struct(c.alias("orders_current"), (c + 1).alias("orders_changelog")).alias("snapshot_ids"),
+        ).alias("offset_checkpoint_snapshot_linkage"),
+        F.struct(F.lit(36).alias("occurrences"), F.when(c % 29 == 0, 35).otherwise(36).alias("expected")).alias(
+            "duplicates"
+        ),
+        F.struct(F.lit(1).alias("violations"), (c % 31 != 0).alias("would_corrupt")).alias("miskey"),
+        F.when(c % 37 == 0, 2).otherwise(1).alias("dead_letters"),
+    )
+    return table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("record-"), c.cast("string")).alias("name"), F.to_json(doc).alias("document")
+    )
+
+
+def drill_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run results per order: class, seconds, diff, audit and error."""
+    k = F.col("k")
+    return orders(spark, sf_dir).select(
+        F.element_at(F.array(*[F.lit(d) for d in DRILLS]), (k % 5 + 1).cast("int")).alias("failure_class"),
+        (F.col("o_custkey") % 60 + 1).cast("double").alias("recovery_seconds"),
+        F.when(k % 101 == 0, 1).otherwise(0).cast("bigint").alias("snapshot_diff_count"),
+        (k % 103 != 0).alias("audit_consistent"),
+        (k % 107 != 0).alias("passed"),
+        F.when(k % 107 == 0, F.concat(F.lit("run "), k.cast("string"), F.lit(" failed"))).alias("error"),
+    )
+
+
+def odd_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """one value per order in each accepted and rejected form a decoder meets."""
+    k = F.col("k")
+
+    def doc(order_id: Column, status: str, ts: str, op: str = "c", ts_ms: str = "1", tail: str = "}") -> Column:
+        return F.concat(
+            F.lit('{"before":null,"after":{"order_id":'),
+            order_id,
+            F.lit(
+                f',"business_key":"b","event_id":1,"customer_id":2,"status":{status},'
+                f'"amount_cents":3,"updated_at":{ts},"seed":4,"extra":{{"x":1}}}},"op":"{op}","ts_ms":{ts_ms}{tail}'
+            ),
+        )
+
+    n = k.cast("string")
+    quoted = F.concat(F.lit('"'), n, F.lit('"'))
+    forms = [
+        doc(n, '"paid"', "1767225600123"),
+        doc(F.concat(n, F.lit(".75")), '"paid"', "1767225600123456"),
+        doc(quoted, '"paid"', "1767225600123"),
+        doc(n, "5", "1767225600123"),
+        doc(n, '"5"', '"2026-01-01 00:00:00"'),
+        doc(n, '"paid"', '"2026-01-01T00:00:00.123456Z"'),
+        doc(n, '"paid"', "true"),
+        doc(n, '"paid"', "1767225600123", op="x"),
+        doc(n, '"paid"', "1767225600123", ts_ms='"late"'),
+        doc(n, '"paid"', "1767225600123", tail=""),
+        doc(n, '"paid"', "1767225600123", op="u"),
+        F.lit(None).cast("string"),
+    ]
+    value = F.element_at(F.array(*forms), (k % len(forms) + 1).cast("int"))
+    return orders(spark, sf_dir).select(
+        F.lit(TOPIC).alias("topic"),
+        F.lit(0).alias("partition"),
+        k.alias("offset"),
+        F.lit(BASE_MS).cast("bigint").alias("timestamp_ms"),
+        n.cast("binary").alias("key"),
+        value.cast("binary").alias("value"),
+    )

@@ -358,7 +358,7 @@ def load_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .select(
             "series",
-            F.datediff("day", F.lit("2024-01-01").cast("date")).cast("bigint").alias("sample_index"),
+            F.date_diff("day", F.lit("2024-01-01")).cast("bigint").alias("sample_index"),
             F.greatest(F.col("n") - 67, F.lit(0)).alias("lag_events"),
             "duration_ms",
             "alignment_ms",

@@ -93,7 +93,7 @@ words AS (
   FROM hashed)"""
 
 EVENTS = """
-e AS (SELECT *, epoch_ms(ts) AS ms FROM events),
+e AS (SELECT *, epoch_us(ts) // 1000 AS ms FROM events),
 batches AS (
   SELECT event_id // 100 AS batch_id, min(event_id) AS first_event_id, max(event_id) AS last_event_id,
          count(*) AS event_count, min(ms) AS request_started_epoch_ms, max(ms) AS commit_ack_epoch_ms,

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.schemas import MICROS_FROM, ORDER_COLUMNS
+from tidemark.schemas import ORDER_COLUMNS
 
 INTEGER_VARIANTS = r"^(BIGINT|DECIMAL\(\d+,0\))$"
 NUMBER_VARIANTS = r"^(BIGINT|FLOAT|DOUBLE|DECIMAL.*)$"
+TIMESTAMP_TEXT = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(\.\d{1,6})?Z?$"
 
 
 def ts_text(ts: Column | str) -> Column:
@@ -16,45 +17,6 @@ def ts_text(ts: Column | str) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSS")
 
 
-def epoch_to_ntz(n: Column) -> Column:
-    """Epoch milliseconds or microseconds, told apart by magnitude, to UTC wall time."""
-    instant = F.when(F.abs(n) < F.lit(MICROS_FROM), F.timestamp_millis(n)).otherwise(
-        F.timestamp_micros(n)
-    )
-    return instant.cast("timestamp_ntz")
-
-
-def text_to_ntz(text: Column) -> Column:
-    """``yyyy-MM-dd[ T]HH:mm:ss[.f{1..6}][Z]`` to UTC wall time, else null."""
-    shaped = text.rlike(r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(\.\d{1,6})?Z?$")
-    return F.when(shaped, text.try_cast("timestamp_ntz"))
-
-
-def normalize_ts(value: Column) -> Column:
-    """A VARIANT holding a number or a text to UTC wall time; null if it is neither."""
-    kind = F.schema_of_variant(value)
-    return (
-        F.when(kind == "BIGINT", epoch_to_ntz(F.try_variant_get(value, "$", "bigint")))
-        .when(kind == "STRING", text_to_ntz(F.try_variant_get(value, "$", "string")))
-        .when(kind.rlike(NUMBER_VARIANTS), epoch_to_ntz(variant_long(value)))
-    )
-
-
-def variant_long(value: Column) -> Column:
-    """Any number to a long, fraction cut off; text, booleans and overflow give null."""
-    kind = F.schema_of_variant(value)
-    return (
-        F.when(kind.rlike(INTEGER_VARIANTS), F.try_variant_get(value, "$", "bigint"))
-        .when(kind.rlike(NUMBER_VARIANTS), truncated(F.try_variant_get(value, "$", "double")))
-    )
-
-
-def truncated(x: Column) -> Column:
-    """Double to long towards zero, null beyond the long range."""
-    whole = F.when(x < 0, F.ceil(x)).otherwise(F.floor(x))
-    return F.when(F.abs(x) < F.lit(9.2e18), whole.try_cast("bigint"))
-
-
 def wire_schema_id(value: Column) -> Column:
     """Schema id behind the magic zero byte, big endian; null if the header is invalid."""
     header_ok = (F.length(value) >= 5) & (F.substring(value, 1, 1) == F.unhex(F.lit("00")))

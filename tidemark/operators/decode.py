@@ -9,21 +9,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import iso_utc, normalize_ts, variant_long
+from tidemark.functions.columns import (
+    INTEGER_VARIANTS,
+    NUMBER_VARIANTS,
+    TIMESTAMP_TEXT,
+    iso_utc,
+)
 from tidemark.schemas import (
     CHANGELOG_COLUMNS,
-    CREATE_OP,
     DEAD_LETTER,
     DEAD_LETTER_VERSION,
     DELETE,
-    DELETE_OP,
     INSERT,
+    MICROS_FROM,
     ORDER_COLUMNS,
     POSITION_COLUMNS,
-    SNAPSHOT_OP,
     UPDATE_AFTER,
     UPDATE_BEFORE,
-    UPDATE_OP,
 )
 
 _ROW_DDL = (
@@ -45,47 +47,79 @@ def skip_tombstones(log: DataFrame) -> DataFrame:
     return log.where(F.col("value").isNotNull())
 
 
-def _loose_fields(side: str, names: tuple[str, ...]) -> Column:
-    return F.array(
-        *[F.try_variant_get(F.col("_loose"), f"$.{side}.{name}", "variant") for name in names]
+# The decoder is written as SQL text: the expressions are many, and text reaches
+# the JVM in one call per projection, which counts in short micro-batches.
+_KIND = "schema_of_variant({})"
+_INTEGER = f"rlike({_KIND}, r'{INTEGER_VARIANTS}')"
+_NUMBER = f"rlike({_KIND}, r'{NUMBER_VARIANTS}')"
+
+
+def _long(v: str) -> str:
+    """Any number to a long, fraction cut off; text, booleans and overflow give null."""
+    double = f"try_variant_get({v}, '$', 'double')"
+    return (
+        f"CASE WHEN {_INTEGER.format(v)} THEN try_variant_get({v}, '$', 'bigint') "
+        f"WHEN {_NUMBER.format(v)} AND abs({double}) < 9.2e18 THEN try_cast({double} AS BIGINT) END"
     )
 
 
-def _row_image(side: str, index: int) -> Column:
+def _timestamp(v: str) -> str:
+    """A number or a text to UTC wall time; null if it is neither."""
+    n = f"try_variant_get({v}, '$', 'bigint')"
+    text = f"try_variant_get({v}, '$', 'string')"
+
+    def epoch(x: str) -> str:
+        return (
+            f"CAST(CASE WHEN abs({x}) < {MICROS_FROM} THEN timestamp_millis({x}) "
+            f"ELSE timestamp_micros({x}) END AS TIMESTAMP_NTZ)"
+        )
+
+    return (
+        f"CASE WHEN {_KIND.format(v)} = 'BIGINT' THEN {epoch(n)} "
+        f"WHEN {_KIND.format(v)} = 'STRING' THEN "
+        f"CASE WHEN rlike({text}, r'{TIMESTAMP_TEXT}') THEN try_cast({text} AS TIMESTAMP_NTZ) END "
+        f"WHEN {_NUMBER.format(v)} THEN {epoch('(' + _long(v) + ')')} END"
+    )
+
+
+def _second_look(side: str, names: tuple[str, ...], check: str) -> str:
+    """``check`` over the named fields of the record's VARIANT form, where there is one."""
+    fields = ", ".join(f"try_variant_get(_loose, '$.{side}.{n}', 'variant')" for n in names)
+    return f"CASE WHEN _loose IS NOT NULL THEN transform(array({fields}), v -> {check}) END"
+
+
+def _row_image(side: str, index: int) -> str:
     """Typed columns of one row image; null marks a missing or ill-typed field.
 
     The typed JSON parse serves well-formed records. Where it reports a mismatch
     the record was parsed again as VARIANT (``_loose``), which can tell ``12.0``
     (a number, accepted) from ``"12"`` (text, rejected).
     """
-    typed = F.col("_e").getField(side)
     fields = []
     for name in ORDER_COLUMNS:
-        value = typed.getField(name)
+        value = f"_e.{side}.{name}"
         if name in _LONGS:
-            value = F.coalesce(value, F.col(f"_{side}_longs").getItem(_LONGS.index(name)))
-            value = value.try_cast("int") if name == "seed" else value
+            value = f"coalesce({value}, _{side}_longs[{_LONGS.index(name)}])"
+            value = f"try_cast({value} AS INT)" if name == "seed" else value
         elif name in _TEXTS:
-            is_text = F.col(f"_{side}_texts").getItem(_TEXTS.index(name))
-            value = F.when(F.coalesce(is_text, F.lit(True)), value)
+            value = f"CASE WHEN coalesce(_{side}_texts[{_TEXTS.index(name)}], true) THEN {value} END"
         else:
-            value = F.col("_ts").getItem(index)
-        fields.append(value.alias(name))
-    return F.when(typed.isNotNull(), F.struct(*fields))
+            value = f"_ts[{index}]"
+        fields.append(f"'{name}', {value}")
+    return f"CASE WHEN _e.{side} IS NOT NULL THEN named_struct({', '.join(fields)}) END AS _{side}"
 
 
-def _gaps(side: str) -> Column:
+def _gaps(side: str) -> str:
     """Names of the fields a row image lacks, comma separated."""
-    row = F.col(f"_{side}")
-    return F.concat_ws(
-        ",", *[F.when(row.getField(name).isNull(), F.lit(name)) for name in ORDER_COLUMNS]
-    )
+    names = ", ".join(f"CASE WHEN _{side}.{n} IS NULL THEN '{n}' END" for n in ORDER_COLUMNS)
+    return f"concat_ws(',', {names}) AS _{side}_gaps"
 
 
-def _row_problem(side: str) -> Column:
-    return F.when(F.col(f"_{side}").isNull(), F.lit(f"Missing row payload in {side}")).when(
-        F.col(f"_{side}_gaps") != "",
-        F.concat(F.lit(f"Missing or ill-typed fields in {side}: "), F.col(f"_{side}_gaps")),
+def _row_problem(side: str) -> str:
+    return (
+        f"CASE WHEN _{side} IS NULL THEN 'Missing row payload in {side}' "
+        f"WHEN _{side}_gaps <> '' THEN "
+        f"concat('Missing or ill-typed fields in {side}: ', _{side}_gaps) END"
     )
 
 
@@ -95,129 +129,99 @@ def decode(log: DataFrame) -> DataFrame:
     The outcomes leave one generator, so filters on them stay behind it and
     each value is parsed once however the result is split.
     """
-    text = F.col("value").cast("string")
-    maybe_not_text = [
-        F.coalesce(F.col(f"_e.{side}.{name}").rlike(_MAYBE_NOT_TEXT), F.lit(False))
-        for side in ("before", "after")
-        for name in _TEXTS
-    ]
-    suspect = F.col("_e._bad").isNotNull()
-    for check in maybe_not_text:
-        suspect = suspect | check
-    parsed = (
+    text = "CAST(value AS STRING)"
+    suspect = " OR ".join(
+        ["_e._bad IS NOT NULL"]
+        + [
+            f"coalesce(rlike(_e.{side}.{name}, r'{_MAYBE_NOT_TEXT}'), false)"
+            for side in ("before", "after")
+            for name in _TEXTS
+        ]
+    )
+    passed = [*_POSITION, "key", "value"]
+    ops = {
+        "c": (INSERT, "insert"),
+        "r": (INSERT, "snapshot"),
+        "u": (UPDATE_BEFORE, "update_before"),
+        "d": (DELETE, "delete"),
+    }
+    kinds = " ".join(f"WHEN '{op}' THEN '{kind}'" for op, (kind, _) in ops.items())
+    names = " ".join(f"WHEN '{op}' THEN '{name}'" for op, (_, name) in ops.items())
+    no_error = "CAST(NULL AS STRUCT<error_type: STRING, error_message: STRING>)"
+    return (
         skip_tombstones(log)
-        .select(
-            *_POSITION,
-            "key",
-            "value",
-            F.from_json(
-                text,
-                _ENVELOPE_DDL,
-                {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"},
-            ).alias("_e"),
+        .selectExpr(
+            *passed,
+            f"from_json({text}, '{_ENVELOPE_DDL}', "
+            "map('mode', 'PERMISSIVE', 'columnNameOfCorruptRecord', '_bad')) AS _e",
         )
-        .withColumn("_loose", F.when(suspect, F.try_parse_json(text)))
-    )
-    is_text = lambda v: F.schema_of_variant(v) == "STRING"
-    second_look = F.col("_loose").isNotNull()
-    typed = parsed.select(
-        *_POSITION,
-        "key",
-        "value",
-        "_e",
-        (
-            F.col("_e._bad").isNotNull()
-            & (F.col("_loose").isNull() | ~F.schema_of_variant("_loose").startswith("OBJECT"))
-        ).alias("_broken"),
-        F.try_variant_get(F.col("_loose"), "$.ts_ms", "variant").alias("_ts_loose"),
-        F.when(second_look, F.transform(_loose_fields("before", _LONGS), variant_long)).alias(
-            "_before_longs"
-        ),
-        F.when(second_look, F.transform(_loose_fields("after", _LONGS), variant_long)).alias(
-            "_after_longs"
-        ),
-        F.when(second_look, F.transform(_loose_fields("before", _TEXTS), is_text)).alias(
-            "_before_texts"
-        ),
-        F.when(second_look, F.transform(_loose_fields("after", _TEXTS), is_text)).alias(
-            "_after_texts"
-        ),
-        F.transform(F.array("_e.before.updated_at", "_e.after.updated_at"), normalize_ts).alias(
-            "_ts"
-        ),
-    )
-    rows = typed.select(
-        *_POSITION,
-        "key",
-        "value",
-        F.col("_e.op").alias("_op"),
-        "_broken",
-        F.coalesce(F.col("_e.ts_ms"), variant_long(F.col("_ts_loose"))).alias("source_ts_ms"),
-        (F.col("_ts_loose").isNotNull() & ~F.is_variant_null("_ts_loose")).alias("_has_ts"),
-        _row_image("before", 0).alias("_before"),
-        _row_image("after", 1).alias("_after"),
-    )
-    op = F.col("_op")
-    known = F.coalesce(op.isin(CREATE_OP, SNAPSHOT_OP, UPDATE_OP, DELETE_OP), F.lit(False))
-    problem = F.coalesce(
-        F.when(op.isin(UPDATE_OP, DELETE_OP), _row_problem("before")),
-        F.when(op != DELETE_OP, _row_problem("after")),
-    )
-    kind = (
-        F.when(F.col("_broken"), F.lit("MalformedEnvelope"))
-        .when(F.col("_has_ts") & F.col("source_ts_ms").isNull(), F.lit("InvalidField"))
-        .when(~known, F.lit("UnsupportedOperation"))
-        .when(F.col("_problem").isNotNull(), F.lit("InvalidRow"))
-    )
-    message = (
-        F.when(F.col("_kind") == "MalformedEnvelope", F.lit("Value is not a JSON object"))
-        .when(F.col("_kind") == "InvalidField", F.lit("Expected numeric value in ts_ms"))
-        .when(
-            F.col("_kind") == "UnsupportedOperation",
-            F.concat(F.lit("Unsupported operation: "), F.coalesce(op, F.lit("null"))),
+        .selectExpr(
+            *passed, "_e", f"CASE WHEN {suspect} THEN try_parse_json({text}) END AS _loose"
         )
-        .otherwise(F.col("_problem"))
-    )
-    checked = (
-        rows.withColumns({"_before_gaps": _gaps("before"), "_after_gaps": _gaps("after")})
-        .withColumn("_problem", problem)
-        .withColumn("_kind", kind)
-    )
-    failed = F.col("_kind").isNotNull()
-    update = op == UPDATE_OP
-    first = F.struct(
-        F.lit(0).alias("image_seq"),
-        F.when(update, UPDATE_BEFORE)
-        .when(op == DELETE_OP, DELETE)
-        .otherwise(INSERT)
-        .alias("cdc_row_kind"),
-        F.when(update, "update_before")
-        .when(op == DELETE_OP, "delete")
-        .when(op == SNAPSHOT_OP, "snapshot")
-        .otherwise("insert")
-        .alias("cdc_operation"),
-        F.when(op.isin(UPDATE_OP, DELETE_OP), F.col("_before"))
-        .otherwise(F.col("_after"))
-        .alias("row"),
-    )
-    second = F.struct(
-        F.lit(1).alias("image_seq"),
-        F.lit(UPDATE_AFTER).alias("cdc_row_kind"),
-        F.lit("update_after").alias("cdc_operation"),
-        F.col("_after").alias("row"),
-    )
-    error = F.struct(F.col("_kind").alias("error_type"), message.alias("error_message"))
-    outcomes = F.array(
-        F.struct(
-            F.when(~failed, first).alias("image"), F.when(failed, error).alias("error")
-        ),
-        F.struct(
-            F.when(~failed & update, second).alias("image"),
-            F.lit(None).cast("struct<error_type:string,error_message:string>").alias("error"),
-        ),
-    )
-    return checked.select(*_POSITION, "key", "value", "source_ts_ms", F.inline(outcomes)).where(
-        F.col("image").isNotNull() | F.col("error").isNotNull()
+        .selectExpr(
+            *passed,
+            "_e",
+            "_e._bad IS NOT NULL AND (_loose IS NULL OR "
+            f"NOT startswith({_KIND.format('_loose')}, 'OBJECT')) AS _broken",
+            "try_variant_get(_loose, '$.ts_ms', 'variant') AS _ts_loose",
+            *[
+                f"{_second_look(side, fields, check)} AS _{side}_{what}"
+                for side in ("before", "after")
+                for what, fields, check in (
+                    ("longs", _LONGS, _long("v")),
+                    ("texts", _TEXTS, f"{_KIND.format('v')} = 'STRING'"),
+                )
+            ],
+            "transform(array(_e.before.updated_at, _e.after.updated_at), "
+            f"v -> {_timestamp('v')}) AS _ts",
+        )
+        .selectExpr(
+            *passed,
+            "_e.op AS _op",
+            "_broken",
+            f"coalesce(_e.ts_ms, {_long('_ts_loose')}) AS source_ts_ms",
+            "_ts_loose IS NOT NULL AND NOT is_variant_null(_ts_loose) AS _has_ts",
+            _row_image("before", 0),
+            _row_image("after", 1),
+        )
+        .selectExpr("*", _gaps("before"), _gaps("after"))
+        .selectExpr(
+            "*",
+            f"coalesce(CASE WHEN _op IN ('u', 'd') THEN {_row_problem('before')} END, "
+            f"CASE WHEN _op <> 'd' THEN {_row_problem('after')} END) AS _problem",
+        )
+        .selectExpr(
+            "*",
+            "CASE WHEN _broken THEN 'MalformedEnvelope' "
+            "WHEN _has_ts AND source_ts_ms IS NULL THEN 'InvalidField' "
+            "WHEN NOT coalesce(_op IN ('c', 'r', 'u', 'd'), false) THEN 'UnsupportedOperation' "
+            "WHEN _problem IS NOT NULL THEN 'InvalidRow' END AS _kind",
+        )
+        .selectExpr(
+            *passed,
+            "source_ts_ms",
+            f"""inline(array(
+                named_struct(
+                    'image', CASE WHEN _kind IS NULL THEN named_struct(
+                        'image_seq', 0,
+                        'cdc_row_kind', CASE _op {kinds} END,
+                        'cdc_operation', CASE _op {names} END,
+                        'row', CASE WHEN _op IN ('u', 'd') THEN _before ELSE _after END) END,
+                    'error', CASE WHEN _kind IS NOT NULL THEN named_struct(
+                        'error_type', _kind,
+                        'error_message', CASE _kind
+                            WHEN 'MalformedEnvelope' THEN 'Value is not a JSON object'
+                            WHEN 'InvalidField' THEN 'Expected numeric value in ts_ms'
+                            WHEN 'UnsupportedOperation'
+                                THEN concat('Unsupported operation: ', coalesce(_op, 'null'))
+                            ELSE _problem END) END),
+                named_struct(
+                    'image', CASE WHEN _kind IS NULL AND _op = 'u' THEN named_struct(
+                        'image_seq', 1, 'cdc_row_kind', '{UPDATE_AFTER}',
+                        'cdc_operation', 'update_after', 'row', _after) END,
+                    'error', {no_error})))""",
+        )
+        .where("image IS NOT NULL OR error IS NOT NULL")
     )
 
 

@@ -382,7 +382,8 @@ def load_summary(samples: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         top("alignment_ms", ~base).alias("load_alignment_ms"),
         top("indicator", ~base).alias("peak_indicator"),
         top("lag_events", ~base).alias("peak_lag"),
-        F.max_by("lag_events", "sample_index").alias("final_lag"),
+        # samples sharing the last index: the largest lag counts
+        F.max_by("lag_events", F.struct("sample_index", "lag_events")).alias("final_lag"),
         F.max("failed_count").alias("failed_count"),
     )
 

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 # ---------------------------------------------------------------- fixed values
-# Envelope operation -> (row kind, operation name) of the images it carries.
-SNAPSHOT_OP, CREATE_OP, UPDATE_OP, DELETE_OP = "r", "c", "u", "d"
+# Row kinds of the change log.
 INSERT, UPDATE_BEFORE, UPDATE_AFTER, DELETE = "+I", "-U", "+U", "-D"
 DEAD_LETTER_VERSION = 1
 REPAIR_FORMAT = "intended-order-v1"

@@ -33,7 +33,7 @@ class Running:
 
 def _combine(kind: str, before: Column, within: Column) -> Column:
     if kind in ("sum", "count"):
-        return F.coalesce(before, F.lit(0)) + within
+        return F.coalesce(before + within, within, before)
     if kind == "max":
         return F.greatest(before, within)
     if kind == "min":

@@ -26,8 +26,9 @@ def group_lag(ends: DataFrame, group: DataFrame) -> DataFrame:
         "partition",
         F.when(missing & empty, F.lit(0)).otherwise(F.col("current_offset")).cast("bigint").alias("current_offset"),
         "log_end_offset",
+        # unknown stays null: greatest would skip the null and read it as no lag
         F.when(missing & empty, F.lit(0))
-        .otherwise(F.greatest(F.col("log_end_offset") - F.col("current_offset"), F.lit(0)))
+        .when(~missing, F.greatest(F.col("log_end_offset") - F.col("current_offset"), F.lit(0)))
         .cast("bigint")
         .alias("lag"),
         ((missing & empty) | (~missing & F.coalesce(F.col("__end") == F.col("log_end_offset"), F.lit(True)))).alias(

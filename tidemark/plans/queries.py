@@ -46,6 +46,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 PER_COMMIT = 1000  # offsets per commit in the batch-only time travel queries
+FILES_PER_BATCH = 8  # log files per micro-batch, one task each
 
 
 def query(f: Query) -> Query:
@@ -1017,7 +1018,9 @@ def run_index(spark, sf_dir):
 
 def _stream_tables(spark: SparkSession, sf_dir: str, name: str, build: Query) -> tuple[tables.TableSet, str, str]:
     root = scratch_dir(spark, name)
-    build(spark, sf_dir).repartitionByRange(4, "timestamp_ms", "partition").write.parquet(f"{root}/log")
+    build(spark, sf_dir).repartitionByRange(4 * FILES_PER_BATCH, "timestamp_ms", "partition").write.parquet(
+        f"{root}/log"
+    )
     return tables.TableSet(spark, f"{root}/tables").ensure(), f"{root}/log", f"{root}/checkpoint"
 
 
@@ -1025,7 +1028,7 @@ def _stream_tables(spark: SparkSession, sf_dir: str, name: str, build: Query) ->
 def stream_exactly_once(spark, sf_dir):
     """Several micro-batches with a failure before a commit; current state at the end."""
     t, log, checkpoint = _stream_tables(spark, sf_dir, "exactly-once", fx.log_table)
-    stream = cdc_log.stream_log(spark, log, max_files_per_trigger=1)
+    stream = cdc_log.stream_log(spark, log, max_files_per_trigger=FILES_PER_BATCH)
     jobs.run_ingest(stream, t, checkpoint, pause_seconds=0.1, fault=jobs.fault_once("before_commit", 1))
     return _text(t.current())
 
@@ -1036,7 +1039,7 @@ def stream_changelog_totals(spark, sf_dir):
     t, log, checkpoint = _stream_tables(
         spark, sf_dir, "totals", lambda s, d: fx.stored(s, d, "poisoned", fx.poisoned_log)
     )
-    jobs.run_ingest(cdc_log.stream_log(spark, log, max_files_per_trigger=1), t, checkpoint)
+    jobs.run_ingest(cdc_log.stream_log(spark, log, max_files_per_trigger=FILES_PER_BATCH), t, checkpoint)
     n = F.count(F.lit(1)).alias("n")
     return (
         t.changelog().agg(F.lit("changelog").alias("what"), n)
@@ -1061,7 +1064,7 @@ def stream_redelivery(spark, sf_dir):
 def stream_compacted(spark, sf_dir):
     """Current state read through a compacted base and later batches."""
     t, log, checkpoint = _stream_tables(spark, sf_dir, "compacted", fx.log_table)
-    half = cdc_log.stream_log(spark, log, max_files_per_trigger=1).where(
+    half = cdc_log.stream_log(spark, log, max_files_per_trigger=FILES_PER_BATCH).where(
         F.col("timestamp_ms") < _half_time(spark, sf_dir)
     )
     jobs.run_ingest(half, t, checkpoint)

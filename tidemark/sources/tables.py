@@ -50,11 +50,11 @@ class TableSet:
     # -- layout -----------------------------------------------------------------
 
     def ensure(self) -> TableSet:
-        """Create empty datasets where they are missing."""
-        for name, schema in DATASETS.items():
-            self.spark.createDataFrame([], schema).write.mode("ignore").partitionBy(
-                *[f.name for f in schema.fields[-2:]]
-            ).parquet(f"{self.root}/{name}")
+        """Create the folders of missing datasets; an empty folder reads as an empty table."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for name in DATASETS:
+            fs.mkdirs(path(f"{self.root}/{name}"))
         return self
 
     def next_epoch(self) -> TableSet:
@@ -142,10 +142,19 @@ class TableSet:
 
     def commit(self, batch_id: int, changelog_rows: int, dead_rows: int, offsets: dict[int, int]) -> None:
         """Make a batch visible."""
-        row = (batch_id, int(time.time() * 1000), offsets, changelog_rows, dead_rows)
-        self.write_part(
-            "commits", batch_id, self.spark.createDataFrame([row], COMMIT).coalesce(1)
+        pairs = [F.lit(x) for item in sorted(offsets.items()) for x in item]
+        vector = F.create_map(*pairs) if pairs else F.create_map()
+        values = {
+            "batch_id": F.lit(batch_id),
+            "committed_at_ms": F.lit(int(time.time() * 1000)),
+            "offsets": vector,
+            "changelog_rows": F.lit(changelog_rows),
+            "dead_letter_rows": F.lit(dead_rows),
+        }
+        row = self.spark.range(1).coalesce(1).select(
+            *[values[f.name].cast(f.dataType).alias(f.name) for f in COMMIT.fields]
         )
+        self.write_part("commits", batch_id, row)
 
 
 def latest_snapshots(histories: DataFrame, expected: DataFrame) -> DataFrame:

@@ -47,7 +47,6 @@ def write_batch(tables: TableSet, records: DataFrame, batch_id: int, fault: Faul
         tables.write_part("changelog", batch_id, images)
         reached("between_writes", batch_id)
         tables.write_part("current", batch_id, latest_per_key(drop_update_before(images)))
-        tables.write_part("dead_letters", batch_id, dead_letters(decoded))
         # one row per log partition
         per_partition = (
             decoded.groupBy("partition")
@@ -58,6 +57,8 @@ def write_batch(tables: TableSet, records: DataFrame, batch_id: int, fault: Faul
             )
             .collect()
         )
+        if any(r.errors for r in per_partition):
+            tables.write_part("dead_letters", batch_id, dead_letters(decoded))
         reached("before_commit", batch_id)
         tables.commit(
             batch_id,

@@ -32,6 +32,7 @@ def test_equals_plain_window(data):
         F.max("v").over(w).alias("m"),
         F.min("v").over(w).alias("l"),
         F.lag("v").over(w).alias("p"),
+        F.sum("v").over(Window.partitionBy("k")).alias("t"),
     )
     ours = blocked.running(
         data,
@@ -44,6 +45,7 @@ def test_equals_plain_window(data):
             blocked.Running("m", "max", "v"),
             blocked.Running("l", "min", "v"),
             blocked.Running("p", "lag", "v"),
+            blocked.Running("t", "total", "v"),
         ],
     ).drop("v")
     left = {(r.k, r.pos): tuple(r)[2:] for r in plain.collect()}
@@ -64,3 +66,20 @@ def test_ranks_against_brute_force(spark, width):
         n = len(ordered)
         assert got[g] == tuple(ordered[max(1, math.ceil(p * n / 100)) - 1] for p in wanted.values())
         assert medians[g] == (ordered[(n - 1) // 2] + ordered[n // 2]) / 2
+
+
+def test_join_per_key(spark, data):
+    per_key = spark.createDataFrame([(0, "a"), (1, "b")], "k int, name string")
+    ours = blocked.join_per_key(data, per_key, ["k"], floor_div(F.col("pos"), 11))
+    plain = data.join(per_key, "k")
+    assert sorted(map(str, ours.select("k", "pos", "name").collect())) == sorted(
+        map(str, plain.select("k", "pos", "name").collect())
+    )
+
+
+def test_pinned_falls_back(spark):
+    from tidemark.session import pinned
+
+    df = spark.range(5)
+    assert pinned(df, 4) is df
+    assert pinned(df, 5).count() == 5 and pinned(df, 5) is not df

@@ -23,8 +23,9 @@ _BLOCK = "__block"
 
 @dataclass(frozen=True)
 class Running:
-    """``kind`` is sum, max, min (over the rows up to and including this one) or
-    lag (the value one row before); ``kind='count'`` ignores ``value``."""
+    """``kind`` is sum, max, min (over the rows up to and including this one), lag
+    (the value one row before) or total (the sum over the whole group);
+    ``kind='count'`` ignores ``value``."""
 
     name: str
     kind: str
@@ -44,7 +45,7 @@ def _combine(kind: str, before: Column, within: Column) -> Column:
 def _aggregate(kind: str, value: str | None) -> Column:
     if kind == "count":
         return F.count(F.lit(1))
-    return {"sum": F.sum, "max": F.max, "min": F.min}[kind](F.col(value))
+    return {"sum": F.sum, "max": F.max, "min": F.min, "total": F.sum}[kind](F.col(value))
 
 
 def running(
@@ -71,13 +72,16 @@ def running(
         else:
             per_block.append(_aggregate(s.kind, s.value).alias(tail))
             fold = "sum" if s.kind == "count" else s.kind
-            carried.append(_aggregate(fold, tail).over(earlier).alias(f"__carry_{s.name}"))
+            frame = Window.partitionBy(*keys) if s.kind == "total" else earlier
+            carried.append(_aggregate(fold, tail).over(frame).alias(f"__carry_{s.name}"))
     carry = rows.groupBy(*group).agg(*per_block).select(*group, *carried)
 
     inside = Window.partitionBy(*group).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for s in specs:
         within = f"__within_{s.name}"
+        if s.kind == "total":
+            continue
         if s.kind == "lag":
             rows = rows.withColumn(
                 within, F.lag(F.struct(F.col(s.value).alias("v"))).over(inside)
@@ -91,7 +95,9 @@ def running(
     out = [F.col(c) for c in df.columns]
     for s in specs:
         within, before = F.col(f"__within_{s.name}"), F.col(f"__carry_{s.name}")
-        if s.kind == "lag":
+        if s.kind == "total":
+            out.append(before.alias(s.name))
+        elif s.kind == "lag":
             out.append(F.coalesce(within, before).getField("v").alias(s.name))
         else:
             out.append(_combine(s.kind, before, within).alias(s.name))
@@ -110,3 +116,14 @@ def lag(
 ) -> DataFrame:
     """Value of the row before, null on the first row of the group."""
     return running(df, keys, order, block, [Running(name, "lag", value)])
+
+
+def join_per_key(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
+    """Inner join of one row per key onto the rows of that key, however many those are.
+
+    The key's row is copied once per block of the key, and rows meet it per
+    (key, block), so a hot key spreads over as many tasks as it has blocks.
+    """
+    marked = rows.withColumn(_BLOCK, block)
+    spread = marked.select(*keys, _BLOCK).distinct().join(per_key, list(keys))
+    return marked.join(spread, [*keys, _BLOCK]).drop(_BLOCK)

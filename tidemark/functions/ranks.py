@@ -20,13 +20,14 @@ def _ranked(df: DataFrame, keys: Sequence[str], value: str, width: int) -> DataF
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
         F.count(F.lit(1)).alias("__n")
     )
-    sizes = counts.groupBy(*keys).agg(F.sum("__n").alias("__size"))
     ranked = running(
-        counts, keys, [value], floor_div(F.col(value), width), [Running("__last", "sum", "__n")]
-    )
-    return ranked.withColumn("__first", F.col("__last") - F.col("__n") + 1).join(
-        sizes, list(keys), "inner"
+        counts,
+        keys,
+        [value],
+        floor_div(F.col(value), width),
+        [Running("__last", "sum", "__n"), Running("__size", "total", "__n")],
     )
+    return ranked.withColumn("__first", F.col("__last") - F.col("__n") + 1)
 
 
 def _pick(value: str, rank: Column) -> Column:

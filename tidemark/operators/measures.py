@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import blocked
 from tidemark.functions.columns import clamp, floor_div, metric_key
 from tidemark.functions.ranks import percentile_nearest_rank
+from tidemark.session import pinned
 
 # ---------------------------------------------------------------- fixed values
 RECOVERED_AFTER = 3  # zero-lag samples in a row
@@ -91,7 +92,14 @@ def freshness_samples(visible: DataFrame, snapshots: DataFrame, batches: DataFra
 
     ``snapshots`` has (snapshot_id, committed_at_epoch_ms) with ids in commit order.
     """
-    seen = first_visible(visible).join(snapshots, "snapshot_id", "inner")
+    first = first_visible(visible)
+    known = pinned(snapshots)
+    if known is snapshots:
+        # too many snapshots for a literal table, and one may show a third of all events
+        block = floor_div(F.col("event_id"), 65_536)
+        seen = blocked.join_per_key(first, snapshots, ["snapshot_id"], block)
+    else:
+        seen = first.join(known, "snapshot_id", "inner")
     return events_in_batches(seen, batches, "event_id").select(
         "event_id",
         "snapshot_id",
@@ -416,7 +424,7 @@ def observability_summary(samples: DataFrame) -> DataFrame:
 
 
 def recovery_by_class(runs: DataFrame) -> DataFrame:
-    """Slowest and mean recovery per failure class, and whether every run ended at zero diff."""
+    """Slowest recovery per failure class, and whether every run ended at zero diff."""
     return runs.groupBy("failure_class").agg(
         F.count(F.lit(1)).alias("runs"),
         F.max("recovery_seconds").alias("max_recovery_seconds"),

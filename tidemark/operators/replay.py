@@ -78,4 +78,6 @@ def timestamp_coverage(current: DataFrame, images: DataFrame, timestamp_ms: int)
     A rebuild from the timestamp is complete exactly if there are none.
     """
     touched = drop_update_before(images).where(F.col("timestamp_ms") >= F.lit(timestamp_ms))
-    return current.select("order_id").join(touched.select("order_id"), "order_id", "left_anti")
+    # distinct before the join: a key touched a billion times crosses the shuffle once per task
+    keys = touched.select("order_id").distinct()
+    return current.select("order_id").join(keys, "order_id", "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB_PROVIDER = (
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -56,3 +56,13 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
         parent = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", parent)
     return f"{parent.rstrip('/')}/tidemark-{purpose}-{uuid.uuid4().hex}"
+
+
+def pinned(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """A small result as a literal table, so that Spark knows its size and can broadcast it.
+
+    For results with one row per log partition, snapshot or the like. A larger
+    result comes back as it was, and Spark shuffles it.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    return df if len(rows) > max_rows else df.sparkSession.createDataFrame(rows, df.schema)

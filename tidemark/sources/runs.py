@@ -132,6 +132,6 @@ def validate_ledger(ledger: DataFrame, logs: DataFrame | None = None) -> DataFra
     missing = (
         parsed.where(F.col("d.logs").isNotNull())
         .select("name", F.col("d.logs").alias("path"))
-        .join(logs.select("path").distinct(), "path", "left_anti")
+        .join(logs.select("path"), "path", "left_anti")
     )
     return rows.unionByName(missing.select("name", F.lit("logs.exist").alias("rule")))

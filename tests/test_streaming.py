@@ -126,7 +126,7 @@ def test_coalescer_emits_newest_per_key(spark, tmp_path):
     try:
         jobs.wait_until(lambda: spark.read.parquet(out).count() >= 4, "coalesced keys", 90)
     finally:
-        q.stop()
+        coalesce.stop_between_batches(q)
     got = rows(coalesce.quiet_images(spark.read.parquet(out)), "order_id", "event_id", "cdc_row_kind")
     assert got == [(1303, 9, "+U"), (1304, 8, "+U"), (1305, 3, "-D"), (2302, 4, "+I")]
 

@@ -1091,7 +1091,7 @@ def stream_coalesce(spark, sf_dir):
             300,
         )
     finally:
-        q.stop()
+        coalesce.stop_between_batches(q)
     return _text(
         coalesce.quiet_images(spark.read.parquet(f"{root}/out")).select(*ORDER_COLUMNS, "cdc_row_kind")
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -97,6 +98,14 @@ def start_coalesced(
     )
 
 
+def stop_between_batches(query: StreamingQuery, timeout_seconds: float = 30.0) -> None:
+    """Stop a timer-driven query while it idles, so that no batch is cut off half way."""
+    deadline = time.monotonic() + timeout_seconds
+    while query.isActive and query.status["isTriggerActive"] and time.monotonic() < deadline:
+        time.sleep(0.02)
+    query.stop()
+
+
 def quiet_images(stored: DataFrame) -> DataFrame:
     """Stored coalesced changes without the ones a later emission of the key replaced."""
     return latest_per_key(stored.select(*_FIELDS))

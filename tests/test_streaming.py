@@ -122,7 +122,7 @@ def test_coalescer_emits_newest_per_key(spark, tmp_path):
     with pytest.raises(ValueError, match="positive"):
         coalesce.coalesce_changes(spark.range(1), 0)
     images = drop_update_before(changes(decode(cdc_log.stream_log(spark, path))))
-    q = coalesce.start_coalesced(images, 1500, out, str(tmp_path / "cp"))
+    q = coalesce.start_coalesced(images, 1500, out, str(tmp_path / "cp"), "4 seconds")
     try:
         jobs.wait_until(lambda: spark.read.parquet(out).count() >= 4, "coalesced keys", 90)
     finally:

@@ -1082,7 +1082,11 @@ def stream_coalesce(spark, sf_dir):
     wanted = fx.changelog_table(spark, sf_dir).select("order_id").distinct().count()
     images = changes(decode(cdc_log.stream_log(spark, f"{root}/log")))
     q = coalesce.start_coalesced(
-        images.where(F.col("cdc_row_kind") != "-U"), 2000, f"{root}/out", f"{root}/checkpoint"
+        images.where(F.col("cdc_row_kind") != "-U"),
+        2000,
+        f"{root}/out",
+        f"{root}/checkpoint",
+        interval="6 seconds",
     )
     try:
         jobs.wait_until(

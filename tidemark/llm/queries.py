@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, line_dedup, secret_scan
+from tidemark.llm import decontaminate, line_dedup, minhash, secret_scan
 from tidemark.llm.common import table
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = minhash.near_duplicates(docs, shingle_words=3, numerator=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
@@ -46,6 +52,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash": op1_minhash,
     "op3_decontaminate": op3_decontaminate,
     "op5_line_dedup": op5_line_dedup,
     "op10_secret_scan": op10_secret_scan,

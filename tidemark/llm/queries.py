@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, line_dedup, minhash, packing, secret_scan
+from tidemark.llm import cover_tree, decontaminate, line_dedup, minhash, packing, secret_scan
 from tidemark.llm.common import table
 
 
@@ -48,6 +48,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", digest.alias("kept_sha256"))
 
 
+def op7_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.cosine_links(table(spark, sf_dir, "embeddings"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     findings, _ = secret_scan.scan(docs)
@@ -70,6 +74,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_packing": op4_packing,
     "op5_line_dedup": op5_line_dedup,
+    "op7_cover_tree": op7_cover_tree,
     "op10_secret_scan": op10_secret_scan,
 }
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import cover_tree, decontaminate, line_dedup, minhash, packing, secret_scan
+from tidemark.llm import cover_tree, decontaminate, line_dedup, minhash, packing, quality, secret_scan, toxicity
 from tidemark.llm.common import table
 
 
@@ -52,6 +52,14 @@ def op7_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.cosine_links(table(spark, sf_dir, "embeddings"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), quality.graded(table(spark, sf_dir, "labels")))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     findings, _ = secret_scan.scan(docs)
@@ -75,6 +83,8 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_line_dedup": op5_line_dedup,
     "op7_cover_tree": op7_cover_tree,
+    "op8_toxicity": op8_toxicity,
+    "op9_quality": op9_quality,
     "op10_secret_scan": op10_secret_scan,
 }
 

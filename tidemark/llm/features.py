@@ -23,9 +23,26 @@ def hash_word(word: str) -> np.uint64:
     return words.words_of(pa.array([word]), LETTERS)[0][0]
 
 
+#: Longer words also give their beginnings of these lengths in bytes, for stems with many endings.
+PREFIXES = (4, 5, 6, 7, 8, 9)
+
+
 def word_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, bounds): the words of each text, repeated ones included."""
-    return words.words_of(texts, LETTERS)
+    """(hashes, bounds): the words of each text and their beginnings, repeated ones included."""
+    flat, offsets = words.flat_bytes(texts)
+    values = LETTERS[flat]
+    starts, ends = words.word_bounds(flat, offsets, values != 0)
+    found = [words.hash_words(flat, starts, ends, LETTERS)]
+    places = [starts]
+    for length in PREFIXES:
+        longer = np.flatnonzero(ends - starts > length)
+        if len(longer):
+            begin = starts[longer]
+            found.append(words.mix(words.hash_spans(values, begin, begin + length), 50 + length))
+            places.append(begin)
+    text = np.searchsorted(offsets, np.concatenate(places), "right") - 1
+    order = np.argsort(text, kind="stable")
+    return np.concatenate(found)[order], np.searchsorted(text[order], np.arange(len(offsets)))
 
 
 def shape_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -136,3 +153,16 @@ def matrix(sets: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
         rows, columns = presence(np.concatenate(sets), bounds, vocabulary)
         x[rows, columns] = 1
     return x
+
+
+def top_curvature(x: np.ndarray) -> float:
+    """The largest eigenvalue of x'x / rows, by power iteration, a little enlarged."""
+    v = np.ones(x.shape[1], np.float32)
+    value = 0.0
+    for _ in range(30):
+        norm = float(np.linalg.norm(v))
+        if norm == 0:
+            break
+        v = x.T @ (x @ (v / np.float32(norm)))
+        value = float(np.linalg.norm(v))
+    return 1.1 * value / max(1, len(x))

@@ -71,17 +71,17 @@ def fit(sets: list[np.ndarray], grades: np.ndarray, decay: float = 2e-3, rounds:
     cuts = np.maximum.accumulate(cuts + 1e-3 * np.arange(levels))
     state = np.concatenate([np.zeros(len(vocabulary)), cuts])
     ahead, pace = state.copy(), 1.0
-    step = 1 / (0.5 * float(np.linalg.norm(x, 2) ** 2) / n + decay + 1)
+    step = 1 / (0.5 * features.top_curvature(x) + decay + 1)
     for _ in range(rounds):
         w, t = ahead[: len(vocabulary)], ahead[len(vocabulary) :]
         bounds = np.concatenate([[-np.inf], t, [np.inf]])
-        z = x @ w
+        z = (x @ w.astype(np.float32)).astype(float)
         g = grades.astype(int)
         high, low = _logistic(bounds[g + 1] - z), _logistic(bounds[g] - z)
         high[g == levels], low[g == 0] = 1, 0
         mass = np.maximum(high - low, 1e-9)
         d_high, d_low = high * (1 - high) / mass, low * (1 - low) / mass  # slopes of log mass in each threshold
-        gradient = np.concatenate([x.T @ (d_high - d_low) / n + decay * w, np.zeros(levels)])
+        gradient = np.concatenate([(x.T @ (d_high - d_low).astype(np.float32)).astype(float) / n + decay * w, np.zeros(levels)])
         for k in range(levels):
             gradient[len(vocabulary) + k] = (d_low[g == k + 1].sum() - d_high[g == k].sum()) / n
         fresh = ahead - step * gradient

@@ -124,7 +124,7 @@ class Subwords:
         if not len(starts):
             return np.empty(0, np.uint32), np.empty(0, np.int64), starts
         table = words.mix(np.arange(0x250, dtype=np.uint64), 31) | np.uint64(1)
-        hashes = _hash_points(np.minimum(points, 0x24F), starts, ends, table)
+        hashes = words.hash_spans(table[np.minimum(points, 0x24F)], starts, ends)
         _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         joined = "\0".join([text[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]) + "\0"
         ranks = np.array(self._merge.encode_ordinary(joined), np.int64)
@@ -136,24 +136,6 @@ class Subwords:
         return self._ids[ranks][index], counts, starts
 
 
-def _hash_points(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Hashes of spans that may touch each other; what lies between spans must not count."""
-    hashes = np.empty(len(starts), np.uint64)
-    step = 1 << 17
-    for at in range(0, len(starts), step):
-        begin, end = starts[at : at + step], ends[at : at + step]
-        lo, hi = begin[0], end[-1]
-        spans = np.diff(np.append(begin, hi))
-        place = np.arange(hi - lo, dtype=np.int64) - np.repeat(begin - lo, spans)
-        inside = place < np.repeat(end - begin, spans)
-        longest = int((end - begin).max())
-        powers = words._power_table(longest + 1)
-        values = table[points[lo:hi]] * powers[np.minimum(place, longest)]
-        values[~inside] = 0
-        hashes[at : at + len(begin)] = np.add.reduceat(values, begin - lo)
-    return words.mix(hashes)
-
-
 @functools.lru_cache(maxsize=4)
 def load(path: str) -> Subwords:
     return Subwords(path)

@@ -69,11 +69,11 @@ def fit(
     mentions = x[:, is_group].sum(axis=0) / n + 1 / n
     weights, intercept = np.zeros(len(vocabulary)), float(np.log(y.mean() / (1 - y.mean())))
     k = max(1, int(is_group.sum()))
-    curvature = 0.25 * float(np.linalg.norm(x, 2) ** 2) / n + 0.25 + 2 * fairness * float(mentions.sum())
+    curvature = 0.25 * features.top_curvature(x) + 0.25 + 2 * fairness * float(mentions.sum())
     step, ahead, ahead_b, pace = 1 / curvature, weights.copy(), intercept, 1.0
     for _ in range(rounds):
-        error = 1 / (1 + np.exp(-np.clip(x @ ahead + ahead_b, -40, 40))) - y
-        gradient = x.T @ error / n
+        error = 1 / (1 + np.exp(-np.clip(x @ ahead.astype(np.float32) + ahead_b, -40, 40))) - y
+        gradient = (x.T @ error.astype(np.float32)).astype(float) / n
         mine = ahead[is_group]
         gradient[is_group] += 2 * fairness * mentions * ((mine - mine.mean()) * k / (k + 1) + mine / (k + 1))
         moved = ahead - step * gradient

@@ -87,6 +87,25 @@ def hash_words(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np
     return mix(hashes)
 
 
+def hash_spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans of ``values`` (one 64-bit value per place) in order of their starts.
+
+    Unlike words, spans may touch, and what lies between them is not looked at.
+    """
+    hashes = np.empty(len(starts), np.uint64)
+    for at in range(0, len(starts), _WORDS_AT_ONCE):
+        begin, end = starts[at : at + _WORDS_AT_ONCE], ends[at : at + _WORDS_AT_ONCE]
+        lo, hi = begin[0], end[-1]
+        spans = np.diff(np.append(begin, hi))
+        place = np.arange(hi - lo, dtype=np.int64) - np.repeat(begin - lo, spans)
+        inside = place < np.repeat(end - begin, spans)
+        longest = int((end - begin).max())
+        part = values[lo:hi] * _power_table(longest + 1)[np.minimum(place, longest)]
+        part[~inside] = 0
+        hashes[at : at + len(begin)] = np.add.reduceat(part, begin - lo)
+    return mix(hashes)
+
+
 def words_of(texts: pa.Array, table: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
     """(word hashes, bounds): the words of text i are hashes[bounds[i]:bounds[i + 1]]."""
     flat, offsets = flat_bytes(texts)

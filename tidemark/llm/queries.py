@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import cover_tree, decontaminate, line_dedup, minhash, packing, quality, secret_scan, toxicity
+from tidemark.llm import cover_tree, decontaminate, html_text, line_dedup, minhash, packing, quality, secret_scan, toxicity
 from tidemark.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.main_text(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
@@ -79,6 +84,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash": op1_minhash,
+    "op2_html_text": op2_html_text,
     "op3_decontaminate": op3_decontaminate,
     "op4_packing": op4_packing,
     "op5_line_dedup": op5_line_dedup,

@@ -63,8 +63,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, min_key_chars: int = 10) ->
         gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_hash"]), "left"
     )
     lines = _lines(docs["text"])
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), docs["text"]).otherwise(
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone["_gone"])
+    text = F.when(gone["_gone"].isNull(), docs["text"]).otherwise(
         F.concat_ws("\n", F.transform(kept, lambda i: F.element_at(lines, i + 1)))
     )
     others = [docs[c] for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
@@ -72,7 +72,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, min_key_chars: int = 10) ->
         *others,
         text.alias("text"),
         F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size(gone["_gone"]), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from tidemark.llm import words
 from tidemark.llm.common import written
@@ -270,3 +271,23 @@ def near_duplicates(
         component.alias("component_id"),
         F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs`` that are kept, one per group of near-duplicates, unchanged.
+
+    Rows that share a ``doc_id`` are one document, of which the row with the smallest hash of
+    its text stays; rows with a null ``doc_id`` all stay.
+    """
+    found = written(near_duplicates(docs, **settings), "near-duplicates")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    several = found.where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n"))
+    several = several.where("_n > 1").select("_id")
+    if several.isEmpty():
+        return kept
+    single = kept.join(several, kept["doc_id"] == several["_id"], "left_anti")
+    whole = kept.join(several, kept["doc_id"] == several["_id"], "left_semi")
+    order = Window.partitionBy(whole["doc_id"]).orderBy(F.xxhash64(whole["text"]))
+    rows = whole.select(F.struct(*(whole[c] for c in docs.columns)).alias("row"), F.row_number().over(order).alias("place"))
+    return single.union(rows.where("place = 1").select("row.*"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import cover_tree, decontaminate, html_text, line_dedup, minhash, packing, quality, secret_scan, toxicity
+from tidemark.llm import cover_tree, decontaminate, html_text, line_dedup, lm, minhash, packing, quality, secret_scan, toxicity
 from tidemark.llm.common import table
 
 
@@ -53,6 +53,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", digest.alias("kept_sha256"))
 
 
+def op6_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return lm.score_texts(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op7_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.cosine_links(table(spark, sf_dir, "embeddings"))
 
@@ -88,6 +95,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_packing": op4_packing,
     "op5_line_dedup": op5_line_dedup,
+    "op6_attention_lm": op6_attention_lm,
     "op7_cover_tree": op7_cover_tree,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,

@@ -146,12 +146,12 @@ def spans_of_blobs(findings: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 def join_back(versions: DataFrame, findings: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """Every row of ``versions`` without its text, with ``blob_id`` and ``spans`` (empty if none)."""
     # Written, so that the join reads plain scans and a blob with many paths can be split.
-    found = written(spans_of_blobs(findings, rules), "blob-spans").withColumnRenamed("blob_id", "_blob")
+    found = written(spans_of_blobs(findings, rules), "blob-spans")
     kept = [versions[c] for c in versions.columns if c not in ("text", "blob_id", "spans")]
-    paths = versions.select(*kept, blob_id(versions["text"]).alias("blob_id"))
+    paths = versions.select(F.struct(*kept).alias("path"), blob_id(versions["text"]).alias("blob_id"))
     nothing = F.expr("CAST(array() AS array<struct<start: bigint, rule: bigint, kind: string, end: bigint>>)")
-    joined = paths.join(found, paths["blob_id"] == found["_blob"], "left")
-    return joined.withColumn("spans", F.coalesce("spans", nothing)).drop("_blob")
+    joined = paths.join(found, "blob_id", "left")
+    return joined.select("path.*", "blob_id", F.coalesce("spans", nothing).alias("spans"))
 
 
 def joined_text(spans: Column) -> Column:

@@ -40,10 +40,11 @@ def test_duplicates(spark):
     counts = audits.duplicate_counts(twice).first()
     assert (counts.changelog_rows, counts.duplicate_occurrences, counts.distinct_ids) == (72, 36, 36)
     assert audits.duplicate_event_ids(once).count() == audits.record_duplicates(once).count() == 0
-    targets = audits.replay_targets(36, 0, 36)
-    assert targets == {"expected_changelog_rows": 72, "expected_duplicate_occurrences": 36}
-    with pytest.raises(ValueError, match="negative"):
-        audits.replay_targets(-1, 0, 0)
+    measured = "changelog_rows long, duplicate_occurrences long, replayed long"
+    target = audits.replay_targets(spark.createDataFrame([(36, 0, 36)], measured)).first()
+    assert (target.expected_changelog_rows, target.expected_duplicate_occurrences) == (72, 36)
+    with pytest.raises(Exception, match="negative"):
+        audits.replay_targets(spark.createDataFrame([(-1, 0, 0)], measured)).collect()
     audit = audits.redelivery_audit(twice, orders(spark, order(1))).first()
     assert audit.passed and audit.duplicate_occurrences == 36
 

@@ -77,9 +77,22 @@ def test_join_per_key(spark, data):
     )
 
 
-def test_pinned_falls_back(spark):
-    from tidemark.session import pinned
+def test_literal_table_fails_beyond_its_bound(spark):
+    from tidemark.session import literal_table
 
     df = spark.range(5)
-    assert pinned(df, 4) is df
-    assert pinned(df, 5).count() == 5 and pinned(df, 5) is not df
+    assert literal_table(df, 5, "id").count() == 5
+    with pytest.raises(ValueError, match="more than 4"):
+        literal_table(df, 4, "id")
+
+
+def test_starts_do_not_shuffle_the_log(spark, tmp_path):
+    from tidemark.schemas import LOG_RECORD
+    from tidemark.sources import cdc_log
+
+    path = str(tmp_path / "log")
+    spark.createDataFrame([("t", p, o, o, b"k", b"v") for p in range(3) for o in range(9)], LOG_RECORD).write.parquet(path)
+    log = cdc_log.read_log(spark, path)
+    kept = cdc_log.from_starts(log, cdc_log.offsets_for_timestamp(log, 5))
+    assert kept.count() == 12
+    assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()

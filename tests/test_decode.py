@@ -115,7 +115,7 @@ def test_snapshot_records_round_trip(spark):
     from helpers import orders
 
     table = orders(spark, order(1), order(2))
-    back = changes(decode(snapshot_records(table, "t", 3, F.lit(9))))
+    back = changes(decode(snapshot_records(table, "t", F.lit(9))))
     assert rows(back, *ORDER_COLUMNS) == rows(table)
     assert {r.offset for r in back.collect()} == {-1}
 

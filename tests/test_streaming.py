@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import maintenance
 from tidemark.operators.decode import changes, decode, drop_update_before
+from tidemark.schemas import CHANGE
 from tidemark.sources import cdc_log
 from tidemark.sources.tables import TableSet, snapshot_summary
 from tidemark.streaming import coalesce, jobs, progress
@@ -93,8 +94,38 @@ def test_compaction_keeps_deletes_and_old_snapshots(spark, tmp_path):
     # an old image delivered again after compaction must not bring a deleted key back
     jobs.write_batch(t, cdc_log.read_log(spark, path).where("offset = 2"), 3)
     assert rows(t.current()) == before
-    ledger = maintenance.compact_ledger(t, str(tmp_path / "ledger"))
-    assert ledger["files_before"] == 4 and ledger["files_after"] == 1
+
+
+def test_an_unfinished_base_is_invisible(spark, tmp_path):
+    path, t = str(tmp_path / "log"), TableSet(spark, str(tmp_path / "t"))
+    recovery_log(spark, path)
+    jobs.run_ingest(cdc_log.stream_log(spark, path, max_files_per_trigger=1), t, str(tmp_path / "cp"))
+    before = rows(t.current())
+    # a crash in the middle of compaction: some files of the base, no ledger row
+    t.latest_images().limit(1).select(*CHANGE.fieldNames()).write.parquet(f"{t.root}/base/epoch=0/upto={t.last_batch()}")
+    assert rows(t.current()) == before
+    maintenance.compact_current(t)
+    assert rows(t.current()) == before
+
+
+def test_a_committed_batch_is_left_alone(spark, tmp_path):
+    path, t = str(tmp_path / "log"), TableSet(spark, str(tmp_path / "t")).ensure()
+    recovery_log(spark, path)
+    records = cdc_log.read_log(spark, path)
+    jobs.write_batch(t, records, 0)
+    before, files = rows(t.current()), sorted(t.scan("changelog").inputFiles())
+    jobs.write_batch(t, records.limit(1), 0)
+    assert rows(t.current()) == before and sorted(t.scan("changelog").inputFiles()) == files
+
+
+def test_offsets_count_tombstones_and_carry_over(spark, tmp_path):
+    t = TableSet(spark, str(tmp_path / "t")).ensure()
+    first = log(spark, envelope("c", after=A1), None)  # a tombstone at the log's end
+    jobs.write_batch(t, first, 0)
+    topic = first.first().topic
+    assert t.offsets() == {f"{topic}:0": 2}
+    jobs.write_batch(t, log(spark, envelope("c", after=B1)).withColumn("partition", F.lit(1)), 1)
+    assert t.offsets() == {f"{topic}:0": 2, f"{topic}:1": 1}
 
 
 def test_poison_does_not_stop_the_stream(spark, tmp_path):

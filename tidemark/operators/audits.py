@@ -90,14 +90,20 @@ def event_id_audit(
     return out
 
 
-def replay_targets(initial_rows: int, initial_duplicates: int, replayed: int) -> dict[str, int]:
-    """Changelog rows and surplus copies to expect after a full replay."""
-    if min(initial_rows, initial_duplicates, replayed) < 0:
-        raise ValueError("replay counters must not be negative")
-    return {
-        "expected_changelog_rows": initial_rows + replayed,
-        "expected_duplicate_occurrences": initial_duplicates + replayed,
-    }
+def replay_targets(measured: DataFrame) -> DataFrame:
+    """``measured`` with what a full replay must lead to.
+
+    It has ``changelog_rows``, ``duplicate_occurrences`` and ``replayed``: every replayed image
+    is one more changelog row and one more surplus copy. A negative count fails the job.
+    """
+    replayed = F.when(
+        F.least("changelog_rows", "duplicate_occurrences", "replayed") >= 0, F.col("replayed")
+    ).otherwise(F.raise_error(F.lit("a replay cannot start from negative counts")).cast("bigint"))
+    return measured.select(
+        "*",
+        (F.col("changelog_rows") + replayed).alias("expected_changelog_rows"),
+        (F.col("duplicate_occurrences") + replayed).alias("expected_duplicate_occurrences"),
+    )
 
 
 def redelivery_audit(deliveries: DataFrame, current: DataFrame, times: int = 2) -> DataFrame:

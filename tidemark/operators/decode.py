@@ -123,9 +123,11 @@ def _row_problem(side: str) -> str:
     )
 
 
-def decode(log: DataFrame) -> DataFrame:
+def decode(log: DataFrame, tombstones: bool = False) -> DataFrame:
     """One row per outcome: a row image or a decoding error, never both.
 
+    With ``tombstones`` they keep a row with neither, for their position.
+
     The outcomes leave one generator, so filters on them stay behind it and
     each value is parsed once however the result is split.
     """
@@ -149,7 +151,7 @@ def decode(log: DataFrame) -> DataFrame:
     names = " ".join(f"WHEN '{op}' THEN '{name}'" for op, (_, name) in ops.items())
     no_error = "CAST(NULL AS STRUCT<error_type: STRING, error_message: STRING>)"
     return (
-        skip_tombstones(log)
+        (log if tombstones else skip_tombstones(log))
         .selectExpr(
             *passed,
             f"from_json({text}, '{_ENVELOPE_DDL}', "
@@ -192,7 +194,7 @@ def decode(log: DataFrame) -> DataFrame:
         )
         .selectExpr(
             "*",
-            "CASE WHEN _broken THEN 'MalformedEnvelope' "
+            "CASE WHEN value IS NULL THEN NULL WHEN _broken THEN 'MalformedEnvelope' "
             "WHEN _has_ts AND source_ts_ms IS NULL THEN 'InvalidField' "
             "WHEN NOT coalesce(_op IN ('c', 'r', 'u', 'd'), false) THEN 'UnsupportedOperation' "
             "WHEN _problem IS NOT NULL THEN 'InvalidRow' END AS _kind",
@@ -202,7 +204,7 @@ def decode(log: DataFrame) -> DataFrame:
             "source_ts_ms",
             f"""inline(array(
                 named_struct(
-                    'image', CASE WHEN _kind IS NULL THEN named_struct(
+                    'image', CASE WHEN _kind IS NULL AND value IS NOT NULL THEN named_struct(
                         'image_seq', 0,
                         'cdc_row_kind', CASE _op {kinds} END,
                         'cdc_operation', CASE _op {names} END,
@@ -216,12 +218,12 @@ def decode(log: DataFrame) -> DataFrame:
                                 THEN concat('Unsupported operation: ', coalesce(_op, 'null'))
                             ELSE _problem END) END),
                 named_struct(
-                    'image', CASE WHEN _kind IS NULL AND _op = 'u' THEN named_struct(
+                    'image', CASE WHEN _kind IS NULL AND value IS NOT NULL AND _op = 'u' THEN named_struct(
                         'image_seq', 1, 'cdc_row_kind', '{UPDATE_AFTER}',
                         'cdc_operation', 'update_after', 'row', _after) END,
                     'error', {no_error})))""",
         )
-        .where("image IS NOT NULL OR error IS NOT NULL")
+        .where("image IS NOT NULL OR error IS NOT NULL" + " OR value IS NULL" * tombstones)
     )
 
 

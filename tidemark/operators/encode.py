@@ -61,15 +61,15 @@ def envelope(
     return F.to_json(document, {"ignoreNullFields": "false"}).cast("binary")
 
 
-def snapshot_records(table: DataFrame, topic: str, partitions: int, ts_ms: Column) -> DataFrame:
+def snapshot_records(table: DataFrame, topic: str, ts_ms: Column) -> DataFrame:
     """Table rows as snapshot records that sort before every logged change.
 
-    Their offset is ``-1``: a key occurs once in a snapshot, so the position
-    needs to order it only against the log.
+    Their partition and offset are ``-1``: a key occurs once in a snapshot, so the position
+    needs to order it only against the log, whatever partition that has the key on.
     """
     return table.select(
         F.lit(topic).alias("topic"),
-        F.pmod(F.col("order_id"), F.lit(partitions)).cast("int").alias("partition"),
+        F.lit(-1).alias("partition"),
         F.lit(-1).cast("bigint").alias("offset"),
         ts_ms.cast("bigint").alias("timestamp_ms"),
         F.col("order_id").cast("string").cast("binary").alias("key"),
@@ -77,6 +77,6 @@ def snapshot_records(table: DataFrame, topic: str, partitions: int, ts_ms: Colum
     )
 
 
-def snapshot_then_log(table: DataFrame, log: DataFrame, topic: str, partitions: int, ts_ms: Column) -> DataFrame:
+def snapshot_then_log(table: DataFrame, log: DataFrame, topic: str, ts_ms: Column) -> DataFrame:
     """Initial snapshot followed by the changes."""
-    return snapshot_records(table, topic, partitions, ts_ms).unionByName(log)
+    return snapshot_records(table, topic, ts_ms).unionByName(log)

@@ -37,7 +37,10 @@ def file_stats(files: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("manifest_count"))
     )
     medians = median_interpolated(tagged, group, "size_bytes", "median_file_bytes")
-    return totals.join(medians, group).join(manifests, group).drop("__all")
+    # one row per group from each side; without keys a join would be a nested loop
+    measured = [c for side in (totals, medians, manifests) for c in side.columns if c not in group]
+    both = totals.unionByName(medians, allowMissingColumns=True).unionByName(manifests, allowMissingColumns=True)
+    return both.groupBy(*group).agg(*[F.max(c).alias(c) for c in measured]).drop("__all")
 
 
 def data_files(df: DataFrame) -> DataFrame:
@@ -105,7 +108,9 @@ def compact_current(tables: TableSet, target_bytes: int = TARGET_FILE_BYTES) ->
         .write.mode("overwrite")
         .parquet(path)
     )
-    added = data_files(tables.spark.read.schema(CHANGE).parquet(path)).count()
+    base = tables.spark.read.schema(CHANGE).parquet(path)
+    added = data_files(base).count()
+    tables.commit_base(upto, base.count())
     return {
         "rewritten_files": stats.n,
         "added_files": added,
@@ -113,18 +118,6 @@ def compact_current(tables: TableSet, target_bytes: int = TARGET_FILE_BYTES) ->
     }
 
 
-def compact_ledger(tables: TableSet, target: str) -> dict[str, int]:
-    """Copy the commit ledger into one file per epoch at ``target``, if it has more than one."""
-    ledger = tables.scan("commits")
-    before = data_files(ledger).count()
-    if before > 1:
-        ledger.repartition("epoch").write.mode("error").partitionBy("epoch").parquet(target)
-        after = data_files(tables.spark.read.parquet(target)).count()
-    else:
-        after = before
-    return {"files_before": before, "files_after": after}
-
-
 def compare_metrics(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """Directional checks and deltas between two file-metric rows per key."""
     b, a = before.alias("b"), after.alias("a")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tidemark.functions import blocked
 from tidemark.functions.columns import clamp, floor_div, metric_key
 from tidemark.functions.ranks import percentile_nearest_rank
-from tidemark.session import pinned
 
 # ---------------------------------------------------------------- fixed values
 RECOVERED_AFTER = 3  # zero-lag samples in a row
@@ -93,13 +92,9 @@ def freshness_samples(visible: DataFrame, snapshots: DataFrame, batches: DataFra
     ``snapshots`` has (snapshot_id, committed_at_epoch_ms) with ids in commit order.
     """
     first = first_visible(visible)
-    known = pinned(snapshots)
-    if known is snapshots:
-        # too many snapshots for a literal table, and one may show a third of all events
-        block = floor_div(F.col("event_id"), 65_536)
-        seen = blocked.join_per_key(first, snapshots, ["snapshot_id"], block)
-    else:
-        seen = first.join(known, "snapshot_id", "inner")
+    # one snapshot may show a third of all events
+    block = floor_div(F.col("event_id"), 65_536)
+    seen = blocked.join_per_key(first, snapshots, ["snapshot_id"], block)
     return events_in_batches(seen, batches, "event_id").select(
         "event_id",
         "snapshot_id",
@@ -130,7 +125,9 @@ def freshness(samples: DataFrame) -> DataFrame:
         F.min("latency_ms").alias("min_ms"),
         F.max("latency_ms").alias("max_ms"),
     )
-    return totals.join(ranks, "__all").drop("__all")
+    columns = [c for c in [*totals.columns, *ranks.columns] if c != "__all"]
+    both = totals.unionByName(ranks, allowMissingColumns=True)
+    return both.groupBy("__all").agg(*[F.max(c).alias(c) for c in columns]).drop("__all")
 
 
 def freshness_buckets(samples: DataFrame) -> DataFrame:

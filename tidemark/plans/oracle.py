@@ -265,9 +265,11 @@ ORACLE: dict[str, str] = {
     "current_rows_applied": _w(IMAGES)
     + "SELECT cdc_row_kind, count(*) AS n, CAST(sum(amount_cents) AS BIGINT) AS cents FROM images WHERE cdc_row_kind <> '-U' GROUP BY 1",
     "current_state": _w(SOURCE) + f"SELECT {ROW} FROM source",
-    "current_as_of": _w(IMAGES.replace("FROM versioned)", 'FROM versioned WHERE "offset" // 1000 <= 4)'), CURRENT)
+    "current_as_of": _w(IMAGES.replace("FROM versioned)", 'FROM versioned WHERE "offset" // 1000 <= (SELECT max("offset") // 1000 // 2 FROM versioned))'), CURRENT)
     + "SELECT * FROM current_rows",
-    "snapshot_then_changes": _w(SOURCE) + f"SELECT {ROW} FROM source",
+    "snapshot_then_changes": _w(SOURCE)
+    + f"""SELECT {ROW} FROM source UNION ALL
+      SELECT {ROW} FROM (SELECT * REPLACE (order_id + 1000000000000 AS order_id) FROM source)""",
     "changelog_lines": _w(IMAGES)
     + """SELECT partition, "offset", image_seq, concat_ws(chr(9), CAST(order_id AS VARCHAR), status, updated_at,
       CASE WHEN cdc_operation = 'delete' THEN 'NULL' ELSE cdc_operation END) AS line FROM images""",
@@ -322,6 +324,9 @@ ORACLE: dict[str, str] = {
     + """SELECT count(*) AS images, 2 * count(*) AS deliveries, count(*) AS duplicate_occurrences,
       CAST(0 AS BIGINT) AS images_off_target, (SELECT count(DISTINCT order_id) FROM source) AS current_keys,
       CAST(0 AS BIGINT) AS repeated_keys, true AS passed FROM images""",
+    "replay_targets": _w(IMAGES)
+    + """SELECT count(*) AS changelog_rows, CAST(0 AS BIGINT) AS duplicate_occurrences, count(*) AS replayed,
+      2 * count(*) AS expected_changelog_rows, count(*) AS expected_duplicate_occurrences FROM images""",
     "event_id_audit": _w(IMAGES, SOURCE, "ids AS (SELECT event_id, count(*) AS n FROM images GROUP BY 1)")
     + """SELECT s.n AS source_ids, s.n AS current_ids, s.n AS common_ids, CAST(sum(ids.n) AS BIGINT) AS changelog_rows,
       count(*) AS distinct_ids, count(*) FILTER (ids.n > 1) AS duplicate_ids, CAST(sum(ids.n - 1) AS BIGINT) AS duplicate_occurrences,

@@ -46,6 +46,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 PER_COMMIT = 1000  # offsets per commit in the batch-only time travel queries
+UNLOGGED = 1_000_000_000_000  # order ids from here on are in a snapshot only
 FILES_PER_BATCH = 8  # log files per micro-batch, one task each
 
 
@@ -111,18 +112,25 @@ def current_state(spark, sf_dir):
 
 @query
 def current_as_of(spark, sf_dir):
+    """The state at the commit in the middle of the log."""
     images = fx.changelog_table(spark, sf_dir).withColumn(
         "commit_id", floor_div(F.col("offset"), PER_COMMIT)
     )
-    return _text(state.current_state_as_of(images, "commit_id", 4))
+    newest = images.agg(F.max("commit_id").alias("c")).first().c
+    return _text(state.current_state_as_of(images, "commit_id", newest // 2))
 
 
 @query
 def snapshot_then_changes(spark, sf_dir):
-    """Source rows as an initial snapshot, then the log: the log's images win."""
-    log = snapshot_then_log(
-        fx.source_orders(spark, sf_dir), fx.log_table(spark, sf_dir), fx.TOPIC, fx.PARTITIONS, F.lit(fx.BASE_MS)
-    )
+    """An initial snapshot with old amounts and orders the log never mentions, then the log.
+
+    The log lies on one partition, which is none that the snapshot could have guessed.
+    """
+    orders = fx.source_orders(spark, sf_dir)
+    old = orders.withColumn("amount_cents", F.col("amount_cents") + 1)
+    unlogged = orders.withColumn("order_id", F.col("order_id") + UNLOGGED)
+    moved = fx.log_table(spark, sf_dir).withColumn("partition", F.lit(0))
+    log = snapshot_then_log(old.unionByName(unlogged), moved, fx.TOPIC, F.lit(fx.BASE_MS))
     return _text(state.current_state(changes(decode(log))))
 
 
@@ -278,6 +286,19 @@ def redelivery_audit(spark, sf_dir):
     return audits.redelivery_audit(doubled, state.current_state(doubled))
 
 
+@query
+def replay_targets(spark, sf_dir):
+    """Targets of a full replay of the changelog, from its measured counts."""
+    images = fx.changelog_table(spark, sf_dir)
+    per_image = images.groupBy("partition", "offset", "image_seq").agg(F.count(F.lit(1)).alias("n"))
+    measured = per_image.agg(
+        F.sum("n").alias("changelog_rows"),
+        F.sum(F.col("n") - 1).alias("duplicate_occurrences"),
+        F.count(F.lit(1)).alias("replayed"),
+    )
+    return audits.replay_targets(measured)
+
+
 @query
 def event_id_audit(spark, sf_dir):
     return audits.event_id_audit(

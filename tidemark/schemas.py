@@ -83,7 +83,7 @@ COMMIT = T.StructType(
     [
         T.StructField("batch_id", T.LongType(), False),
         T.StructField("committed_at_ms", T.LongType(), False),
-        T.StructField("offsets", T.MapType(T.IntegerType(), T.LongType()), False),
+        T.StructField("offsets", T.MapType(T.StringType(), T.LongType()), False),
         T.StructField("changelog_rows", T.LongType(), False),
         T.StructField("dead_letter_rows", T.LongType(), False),
     ]

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROCKSDB_PROVIDER = (
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -58,11 +59,12 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{parent.rstrip('/')}/tidemark-{purpose}-{uuid.uuid4().hex}"
 
 
-def pinned(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """A small result as a literal table, so that Spark knows its size and can broadcast it.
+def literal_table(df: DataFrame, most_rows: int, what: str) -> DataFrame:
+    """A result with one row per ``what`` as a broadcast literal table; beyond ``most_rows`` it fails.
 
-    For results with one row per log partition, snapshot or the like. A larger
-    result comes back as it was, and Spark shuffles it.
+    For results whose size does not follow the data, such as one row per log partition.
     """
-    rows = df.limit(max_rows + 1).collect()
-    return df if len(rows) > max_rows else df.sparkSession.createDataFrame(rows, df.schema)
+    rows = df.limit(most_rows + 1).collect()
+    if len(rows) > most_rows:
+        raise ValueError(f"more than {most_rows} rows where one per {what} was expected")
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import blocked
 from tidemark.schemas import LOG_RECORD
-from tidemark.session import pinned
+from tidemark.session import literal_table
 
 START_MODES = ("earliest", "committed", "timestamp")
+MOST_LOG_PARTITIONS = 100_000
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -50,8 +51,8 @@ def offsets_for_timestamp(log: DataFrame, timestamp_ms: int) -> DataFrame:
 def from_starts(log: DataFrame, starts: DataFrame) -> DataFrame:
     """Records at or after each partition's start; partitions new since then are read whole."""
     wanted = starts.select("topic", "partition", F.col("resolved_start_offset").alias("__start"))
-    # a log partition may hold a third of the records: keep them out of a shuffle by partition
-    wanted = wanted if log.isStreaming else pinned(wanted)
+    # a log partition may hold a third of the records: their payloads must not be shuffled by it
+    wanted = literal_table(wanted, MOST_LOG_PARTITIONS, "log partition")
     return (
         log.join(wanted, ["topic", "partition"], "left")
         .where(F.col("offset") >= F.coalesce("__start", F.lit(0)))
@@ -135,7 +136,8 @@ def assign_offsets(
     ``block`` cuts the new records of a partition into bounded runs, see
     ``functions.blocked``.
     """
-    ends = pinned(log.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("__end")))
+    ends = log.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("__end"))
+    ends = literal_table(ends, MOST_LOG_PARTITIONS, "log partition")
     numbered = blocked.row_number(records, ["topic", "partition"], order, block, "__n")
     return (
         numbered.join(ends, ["topic", "partition"], "left")

@@ -4,10 +4,12 @@
     <root>/current/epoch=E/batch=B       last image per key within the batch
     <root>/dead_letters/epoch=E/batch=B
     <root>/base/epoch=E/upto=B           last image per key up to B (compacted)
+    <root>/base_commits/epoch=E/upto=B   one row, written after the base
     <root>/commits/epoch=E/batch=B       one row, written last
 
-A batch without its ledger row is invisible. Writing a batch again replaces its
-folders, so a retried micro-batch cannot double its rows. Batches of an epoch
+A batch or base without its ledger row is invisible. Writing an uncommitted batch again
+replaces its folders, so a retried micro-batch cannot double its rows; a committed one is
+left alone. Batches of an epoch
 commit in order, so readers need only the newest committed batch id and prune
 folders by it.
 """
@@ -35,6 +37,7 @@ DATASETS = {
     "dead_letters": T.StructType([*DEAD_LETTER.fields, *_PARTS]),
     "commits": T.StructType([*COMMIT.fields, *_PARTS]),
     "base": T.StructType([*CHANGE.fields, *_BASE_PARTS]),
+    "base_commits": T.StructType([T.StructField("rows", T.LongType(), False), *_BASE_PARTS]),
 }
 _NOTHING = -1
 
@@ -102,7 +105,7 @@ class TableSet:
 
     def _newest_base(self, upto: int) -> int:
         newest = (
-            self.scan("base")
+            self.scan("base_commits")
             .where((F.col("epoch") == self.epoch) & (F.col("upto") <= F.lit(upto)))
             .agg(F.max("upto").alias("u"))
             .first()
@@ -140,8 +143,20 @@ class TableSet:
             "overwrite"
         ).parquet(f"{self.root}/{dataset}/epoch={self.epoch}/batch={batch_id}")
 
-    def commit(self, batch_id: int, changelog_rows: int, dead_rows: int, offsets: dict[int, int]) -> None:
-        """Make a batch visible."""
+    def commit_base(self, upto: int, rows: int) -> None:
+        """Make a base visible."""
+        self.spark.range(1).coalesce(1).select(F.lit(rows).cast("bigint").alias("rows")).write.mode(
+            "overwrite"
+        ).parquet(f"{self.root}/base_commits/epoch={self.epoch}/upto={upto}")
+
+    def offsets(self) -> dict[str, int]:
+        """Next offset per ``topic:partition`` after the newest commit."""
+        newest = self.commits().where(F.col("batch") == self.last_batch()).select("offsets").first()
+        return dict(newest.offsets) if newest else {}
+
+    def commit(self, batch_id: int, changelog_rows: int, dead_rows: int, offsets: dict[str, int]) -> None:
+        """Make a batch visible; ``offsets`` are added to those of the commit before."""
+        offsets = {**self.offsets(), **offsets}
         pairs = [F.lit(x) for item in sorted(offsets.items()) for x in item]
         vector = F.create_map(*pairs) if pairs else F.create_map()
         values = {
@@ -179,24 +194,26 @@ def snapshot_summary(histories: DataFrame, files: DataFrame) -> DataFrame:
 
     ``files`` has (table_name, snapshot_id, content) with content data or deletes.
     """
-    newest = histories.groupBy("table_name").agg(
-        F.count(F.lit(1)).alias("snapshot_count"),
-        F.max_by("snapshot_id", F.struct("committed_at_epoch_ms", "snapshot_id")).alias(
-            "current_snapshot_id"
-        ),
+    known = histories.select("table_name", "snapshot_id", "committed_at_epoch_ms", F.lit(0).alias("d"), F.lit(0).alias("n"))
+    listed = files.select(
+        "table_name",
+        "snapshot_id",
+        F.lit(None).cast("bigint").alias("committed_at_epoch_ms"),
+        (F.col("content") == "deletes").cast("int").alias("d"),
+        F.lit(1).alias("n"),
     )
-    per_commit = files.groupBy("table_name", "snapshot_id").agg(
-        F.count_if(F.col("content") == "deletes").alias("d"), F.count(F.lit(1)).alias("n")
+    per_commit = known.unionByName(listed).groupBy("table_name", "snapshot_id").agg(
+        F.max("committed_at_epoch_ms").alias("at"), F.sum("d").alias("d"), F.sum("n").alias("n")
     )
+    place = F.when(F.col("at").isNotNull(), F.struct("at", "snapshot_id"))
     return (
-        newest.join(per_commit, "table_name", "left")
-        .groupBy("table_name", "snapshot_count", "current_snapshot_id")
+        per_commit.groupBy("table_name")
         .agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("total_files"),
-            F.coalesce(F.sum("d"), F.lit(0)).alias("total_delete_files"),
-            F.coalesce(
-                F.sum(F.when(F.col("snapshot_id") == F.col("current_snapshot_id"), F.col("d"))),
-                F.lit(0),
-            ).alias("added_delete_files"),
+            F.count("at").alias("snapshot_count"),
+            F.max_by("snapshot_id", place).alias("current_snapshot_id"),
+            F.sum("n").alias("total_files"),
+            F.sum("d").alias("total_delete_files"),
+            F.coalesce(F.max_by("d", place), F.lit(0)).cast("bigint").alias("added_delete_files"),
         )
+        .where("snapshot_count > 0")
     )

@@ -38,33 +38,31 @@ def fault_once(point: str, batch_id: int) -> FaultHook:
 
 
 def write_batch(tables: TableSet, records: DataFrame, batch_id: int, fault: FaultHook | None = None) -> None:
-    """One commit. Running it again with the same batch replaces what it wrote."""
+    """One commit. Running it again before the commit replaces what it wrote, afterwards it does nothing."""
     reached = fault or (lambda point, batch: None)
-    decoded = decode(records).persist(StorageLevel.MEMORY_AND_DISK)
+    if batch_id <= tables.last_batch():
+        return
+    outcomes = decode(records, tombstones=True)
+    # only dead letters need the bytes again
+    bytes_of = {c: F.when(F.col("error").isNotNull(), F.col(c)) for c in ("key", "value")}
+    decoded = outcomes.withColumns(bytes_of).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         reached("before_write", batch_id)
         images = changes(decoded)
         tables.write_part("changelog", batch_id, images)
         reached("between_writes", batch_id)
         tables.write_part("current", batch_id, latest_per_key(drop_update_before(images)))
-        # one row per log partition
-        per_partition = (
-            decoded.groupBy("partition")
-            .agg(
-                (F.max("offset") + 1).alias("next_offset"),
-                F.count("image").alias("images"),
-                F.count("error").alias("errors"),
-            )
-            .collect()
-        )
-        if any(r.errors for r in per_partition):
+        counts = decoded.agg(F.count("image").alias("images"), F.count("error").alias("errors")).first()
+        # a tombstone moves the position too; one row per log partition
+        ends = decoded.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("next_offset")).collect()
+        if counts.errors:
             tables.write_part("dead_letters", batch_id, dead_letters(decoded))
         reached("before_commit", batch_id)
         tables.commit(
             batch_id,
-            sum(r.images for r in per_partition),
-            sum(r.errors for r in per_partition),
-            {r.partition: r.next_offset for r in per_partition},
+            counts.images,
+            counts.errors,
+            {f"{r.topic}:{r.partition}": r.next_offset for r in ends},
         )
         reached("after_commit", batch_id)
     finally:

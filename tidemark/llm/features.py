@@ -125,14 +125,32 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, most_rows:
     return [np.frombuffer(x.as_buffer(), np.uint64) for x in got["found"]], got["y"].to_numpy()
 
 
+_CHUNK = 400  # texts whose features are looked at together
+
+
+def _counted(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct features of the sets, and how many sets have each."""
+    keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+    for lo in range(0, len(sets), _CHUNK):
+        more, times = np.unique(np.concatenate(sets[lo : lo + _CHUNK]), return_counts=True)
+        merged = np.union1d(keys, more)
+        total = np.zeros(len(merged), np.int64)
+        total[np.searchsorted(merged, keys)] += counts
+        total[np.searchsorted(merged, more)] += times
+        keys, counts = merged, total
+    return keys, counts
+
+
 def select_vocabulary(sets: list[np.ndarray], y: np.ndarray, most: int, least_texts: int = 4, always=()) -> np.ndarray:
     """The sorted features whose frequency depends most on the label (by the G statistic)."""
     if not sets:
         return np.unique(np.array(always, np.uint64))
-    every, which = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     grades = np.unique(y)
-    seen = np.stack([np.bincount(which[y[owner] == g], minlength=len(every)) for g in grades]).astype(float)
+    counted = [_counted([s for s, own in zip(sets, y, strict=True) if own == g]) for g in grades]
+    every = np.unique(np.concatenate([keys for keys, _ in counted]))
+    seen = np.zeros((len(grades), len(every)))
+    for row, (keys, counts) in zip(seen, counted, strict=True):
+        row[np.searchsorted(every, keys)] = counts
     total = np.array([(y == g).sum() for g in grades], float)
     together = seen.sum(axis=0)
     expected = total[:, None] / total.sum() * together[None, :]
@@ -148,10 +166,10 @@ def select_vocabulary(sets: list[np.ndarray], y: np.ndarray, most: int, least_te
 
 def matrix(sets: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
     x = np.zeros((len(sets), len(vocabulary)), np.float32)
-    if len(vocabulary) and sets:
-        bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-        rows, columns = presence(np.concatenate(sets), bounds, vocabulary)
-        x[rows, columns] = 1
+    for lo in range(0, len(sets) if len(vocabulary) else 0, _CHUNK):
+        part = sets[lo : lo + _CHUNK]
+        rows, columns = presence(np.concatenate(part), np.concatenate([[0], np.cumsum([len(s) for s in part])]), vocabulary)
+        x[lo + rows, columns] = 1
     return x
 
 

@@ -25,7 +25,7 @@ from tidemark.llm import features, words
 from tidemark.llm.common import remainder
 
 #: About this many labelled rows are used for the fit, and this many features at most.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 VOCABULARY = 1_024
 
 

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions.columns import wire_schema_id
 
@@ -77,11 +78,22 @@ def contract_fingerprint(registry: DataFrame) -> DataFrame:
     )
 
 
+def _branches(type_text: Column) -> Column:
+    """The branches of a union, or the type itself as the only one."""
+    parts = F.try_variant_get(F.try_parse_json(type_text), "$", "array<variant>")
+    return F.when(F.startswith(type_text, F.lit("[")), F.transform(parts, _canonical_type)).otherwise(F.array(type_text))
+
+
 def _readable(old: Column, new: Column) -> Column:
-    ok = old == new
-    for writer, readers in PROMOTIONS.items():
-        ok = ok | ((old == writer) & new.isin(readers))
-    return ok
+    """True if every branch written under ``old`` resolves to some branch of ``new``."""
+
+    def resolves(writer: Column, reader: Column) -> Column:
+        ok = writer == reader
+        for name, readers in PROMOTIONS.items():
+            ok = ok | ((writer == name) & reader.isin(readers))
+        return ok
+
+    return F.forall(_branches(old), lambda o: F.exists(_branches(new), lambda n: resolves(o, n)))
 
 
 def field_changes(fields: DataFrame, previous: int, candidate: int) -> DataFrame:
@@ -110,9 +122,15 @@ def field_changes(fields: DataFrame, previous: int, candidate: int) -> DataFrame
 def evaluate_evolution(fields: DataFrame, previous: int, candidate: int) -> DataFrame:
     """Per subject: what changed, backward compatibility, and the stricter local rule.
 
-    The name lists are bounded by the fields of one schema document.
+    A subject with a broken schema in either version is neither compatible nor passed. The
+    name lists are bounded by the fields of one schema document.
     """
-    changes = field_changes(fields, previous, candidate)
+    broken = fields.where(F.col("problem").isNotNull() & F.col("version").isin(previous, candidate))
+    changes = (
+        field_changes(fields, previous, candidate)
+        .select("subject", "field", "change")
+        .unionByName(broken.select("subject", "field", F.lit("broken").alias("change")))
+    )
 
     def names(*kinds: str) -> Column:
         hit = F.when(F.col("change").isin(*kinds), F.col("field"))
@@ -125,7 +143,7 @@ def evaluate_evolution(fields: DataFrame, previous: int, candidate: int) -> Data
             names("added", "added_without_default").alias("added_fields"),
             names("promoted", "retyped").alias("changed_field_types"),
             names("added_without_default").alias("added_fields_without_defaults"),
-            (F.count_if(F.col("change").isin("retyped", "added_without_default")) == 0).alias(
+            (F.count_if(F.col("change").isin("retyped", "added_without_default", "broken")) == 0).alias(
                 "backward_compatible"
             ),
         )
@@ -144,14 +162,19 @@ def admit_versions(registry: DataFrame, candidates: DataFrame) -> DataFrame:
 
     Candidates have (subject, schema_json) and are compared with the newest
     version of their subject; rejected ones leave it as it was. A new subject is
-    admitted if its schema is well formed.
+    admitted if its schema is well formed. Several candidates of a subject are judged one
+    by one and get versions in the order of their text.
     """
     newest = registry.groupBy("subject").agg(
         F.max("version").alias("newest"), F.max_by("schema_json", "version").alias("old_json")
     )
-    pairs = candidates.select("subject", "schema_json").join(newest, "subject", "left")
+    # each candidate is a subject of its own until it has its version
+    named = candidates.select("subject", "schema_json").distinct().withColumn(
+        "candidate", F.concat_ws("#", F.sha2("schema_json", 256), "subject")
+    )
+    pairs = named.join(newest, "subject", "left")
     versions = pairs.select(
-        "subject",
+        F.col("candidate").alias("subject"),
         F.explode(
             F.array(
                 F.struct(F.lit(1).alias("version"), F.col("old_json").alias("schema_json")),
@@ -163,12 +186,15 @@ def admit_versions(registry: DataFrame, candidates: DataFrame) -> DataFrame:
     broken = fields.where(F.col("problem").isNotNull()).select("subject")
     bad = (
         field_changes(fields, 1, 2)
-        .join(newest.select("subject"), "subject", "left_semi")
+        .join(pairs.where("newest IS NOT NULL").select(F.col("candidate").alias("subject")), "subject", "left_semi")
         .where(F.col("change").isin("retyped", "added_without_default"))
         .select("subject")
     )
-    admitted = pairs.join(bad.unionAll(broken).distinct(), "subject", "left_anti").select(
-        "subject", (F.coalesce("newest", F.lit(0)) + 1).cast("int").alias("version"), "schema_json"
+    rejected = bad.unionAll(broken).distinct().withColumnRenamed("subject", "candidate")
+    # the candidates of one subject are few
+    place = F.row_number().over(Window.partitionBy("subject").orderBy("schema_json"))
+    admitted = pairs.join(rejected, "candidate", "left_anti").select(
+        "subject", (F.coalesce("newest", F.lit(0)) + place).cast("int").alias("version"), "schema_json"
     )
     return registry.select("subject", "version", "schema_json").unionByName(admitted)
 

@@ -70,8 +70,11 @@ def _rules() -> list[tuple[str, Column]]:
         | d(f"{link}.snapshot_ids.orders_current").isNull()
         | d(f"{link}.snapshot_ids.orders_changelog").isNull()
     )
+    # only a boolean true passes: no null, no text
+    is_true = lambda x: (F.schema_of_variant(x) == "BOOLEAN") & F.try_variant_get(x, "$", "boolean")
     false_check = F.exists(
-        F.map_values(F.try_variant_get(d("checks"), "$", "map<string,boolean>")), lambda x: ~x
+        F.map_values(F.try_variant_get(d("checks"), "$", "map<string,variant>")),
+        lambda x: ~F.coalesce(is_true(x), F.lit(False)),
     )
     is_class = lambda name: F.coalesce(d("failure_class") == name, no)
     return [

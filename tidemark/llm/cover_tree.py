@@ -32,9 +32,10 @@ from tidemark.llm.components import connected_components
 BLOCK = 3_000
 #: Centres on the driver and in every task, at most.
 MOST_CENTRES = 512
-#: Radii of the nested nets; the last is below any useful threshold.
-RADII = (1.0, 0.5, 0.25, 0.125)
-_SLACK = 1e-9
+#: Levels of nested nets: radii of the threshold's distance and its halves. Wider nets prune
+#: nothing in many dimensions, where most vectors are about as far from each other.
+LEVELS = 4
+_SLACK = 1e-7
 _TILE = 512
 
 
@@ -65,18 +66,19 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def net(points: np.ndarray, radius: float) -> np.ndarray:
     """For each point the index of its centre: centres are farther than ``radius`` apart."""
+    least = 1 - radius * radius / 2
     centre = np.full(len(points), -1)
     open_ = np.arange(len(points))
     while len(open_):
         tried, picked = open_[:64], []
-        near = _distances(points[tried], points[tried]) <= radius
+        near = points[tried] @ points[tried].T >= least
         for i in range(len(tried)):
             if not near[i, picked].any():
                 picked.append(i)
         picked = tried[picked]
-        gap = _distances(points[open_], points[picked])
-        nearest = gap.argmin(axis=1)
-        covered = gap[np.arange(len(open_)), nearest] <= radius
+        dot = points[open_] @ points[picked].T
+        nearest = dot.argmax(axis=1)
+        covered = dot[np.arange(len(open_)), nearest] >= least
         centre[picked] = picked
         chosen = open_[covered]
         centre[chosen] = np.where(centre[chosen] == chosen, chosen, picked[nearest[covered]])
@@ -84,32 +86,38 @@ def net(points: np.ndarray, radius: float) -> np.ndarray:
     return centre
 
 
-def nested_nets(points: np.ndarray) -> np.ndarray:
+def nested_nets(points: np.ndarray, reach: float) -> np.ndarray:
     """(levels, points): each point's centre at each radius; nets are nested."""
-    levels = []
+    levels: list[np.ndarray] = []
+    alone: list[np.ndarray] = []  # a point alone in its node stays so
     groups = [np.arange(len(points))]
-    for radius in RADII:
+    for radius in (reach / 2**i for i in range(LEVELS)):
         centre = np.empty(len(points), int)
         finer = []
         for group in groups:
-            if len(group) == 1:
-                centre[group] = group
-                finer.append(group)
-                continue
             own = net(points[group], radius)
             centre[group] = group[own]
-            finer += [group[own == c] for c in np.unique(own)]
+            order = np.argsort(own, kind="stable")
+            parts = np.split(group[order], np.flatnonzero(np.diff(own[order])) + 1)
+            centre_only = [p for p in parts if len(p) == 1]
+            alone += centre_only
+            finer += [p for p in parts if len(p) > 1]
+        if alone:
+            centre[np.concatenate(alone)] = np.concatenate(alone)
         levels.append(centre)
         groups = finer
     return np.array(levels)
 
 
-def _build(table: pa.Table) -> pa.Table:
-    """The block's classes with ``path``: the row of their centre at each level."""
-    table = table.sort_by("rep")
-    levels = nested_nets(_matrix(table["unit"])) if len(table) else np.empty((len(RADII), 0), int)
-    path = pa.array([row.tobytes() for row in np.ascontiguousarray(levels.T.astype(np.int32))], pa.binary())
-    return table.append_column("row", pa.array(np.arange(len(table)), pa.int32())).append_column("path", path)
+def _build(reach: float):
+    def run(table: pa.Table) -> pa.Table:
+        """The block's classes with ``path``: the row of their centre at each level."""
+        table = table.sort_by("rep")
+        levels = nested_nets(_matrix(table["unit"]), reach)
+        path = pa.array([row.tobytes() for row in np.ascontiguousarray(levels.T.astype(np.int32))], pa.binary())
+        return table.append_column("row", pa.array(np.arange(len(table)), pa.int32())).append_column("path", path)
+
+    return run
 
 
 class _Tree:
@@ -151,7 +159,7 @@ def _walk(a: _Tree, b: _Tree, cosine: float, label: np.ndarray, base: int) -> No
     stack = [(np.arange(len(a.points)), np.arange(len(b.points)), 0)]
     while stack:
         rows, columns, level = stack.pop()
-        if level == len(RADII) or len(rows) * len(columns) <= 1024:
+        if level == LEVELS or len(rows) * len(columns) <= 1024:
             for lo in range(0, len(rows), _TILE):
                 part = rows[lo : lo + _TILE]
                 for at in range(0, len(columns), 4 * _TILE):
@@ -160,17 +168,29 @@ def _walk(a: _Tree, b: _Tree, cosine: float, label: np.ndarray, base: int) -> No
             continue
         centre_a, radius_a, inside_a = a.children(rows, level)
         centre_b, radius_b, inside_b = b.children(columns, level)
-        for lo in range(0, len(centre_a), _TILE):
-            gap = _distances(a.points[centre_a[lo : lo + _TILE]], b.points[centre_b])
-            spread = radius_a[lo : lo + _TILE, None] + radius_b[None, :]
-            for i, j in zip(*np.nonzero(gap <= spread + reach + _SLACK), strict=True):
-                x, y = inside_a[lo + i], inside_b[j]
-                if same and len(x) == 1 and len(y) == 1 and x[0] == y[0]:
-                    continue
-                if gap[i, j] + spread[i, j] < reach - _SLACK:  # all of them
-                    linked(x, y, np.ones((len(x), len(y)), bool))
-                else:
-                    stack.append((x, y, level + 1))
+        size_a = np.array([len(x) for x in inside_a])
+        # Wide nodes apart from points on their own, whose bound is much tighter.
+        wide_a, wide_b = radius_a > 0, radius_b > 0
+        for rows_of in (np.flatnonzero(wide_a), np.flatnonzero(~wide_a)):
+            for columns_of in (np.flatnonzero(wide_b), np.flatnonzero(~wide_b)):
+                for lo in range(0, len(rows_of) if len(columns_of) else 0, _TILE):
+                    part = rows_of[lo : lo + _TILE]
+                    dot = a.points[centre_a[part]] @ b.points[centre_b[columns_of]].T
+                    # A bound for all pairs of the tile first, then each pair's own.
+                    most = radius_a[part].max() + radius_b[columns_of].max() + reach + _SLACK
+                    i, j = np.nonzero(dot >= 1 - most * most / 2 - _SLACK)
+                    gap = np.sqrt(np.maximum(2 - 2 * dot[i, j], 0))
+                    i, j = part[i], columns_of[j]
+                    spread = radius_a[i] + radius_b[j]
+                    near = gap <= spread + reach + _SLACK
+                    if same:
+                        near &= ~((size_a[i] == 1) & (centre_a[i] == centre_b[j]))
+                    for x, y, d, r in zip(i[near].tolist(), j[near].tolist(), gap[near].tolist(), spread[near].tolist(), strict=True):
+                        x, y = inside_a[x], inside_b[y]
+                        if d + r < reach - _SLACK:  # all of them
+                            linked(x, y, np.ones((len(x), len(y)), bool))
+                        else:
+                            stack.append((x, y, level + 1))
 
 
 def _pairs(cosine: float):
@@ -247,7 +267,7 @@ def _links(classes: DataFrame, cosine: float) -> DataFrame:
     block = F.shiftleft("cell", 32) + F.pmod(F.xxhash64("key", F.lit(3)), "parts")
     placed = placed.select("cell", "key", "rep", "weight", "unit", block.alias("block"))
     tree_schema = "cell long, key string, rep long, weight long, unit binary, block long, row int, path binary"
-    trees = written(placed.groupBy("block").applyInArrow(_build, tree_schema), "trees")
+    trees = written(placed.groupBy("block").applyInArrow(_build(reach), tree_schema), "trees")
     dealt = spark.createDataFrame(deals, "cell long, cell2 long, parts long")
     met = trees.join(F.broadcast(dealt), "cell")
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))

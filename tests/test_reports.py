@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from tidemark.sources.reports import parse_end_offsets, parse_metrics
+from tidemark.sources.reports import flatten_numeric_paths, parse_end_offsets, parse_metrics
 
 
 def test_quoted_labels_escapes_and_special_values(spark):
@@ -24,6 +24,17 @@ def test_quoted_labels_escapes_and_special_values(spark):
     assert values[0] == 1.5 and math.isnan(values[1]) and values[2:] == [math.inf, -2000.0]
 
 
+def test_documents_of_any_depth(spark):
+    deep = "{" + "".join(f'"k{i}":{{' for i in range(12)) + '"n":7' + "}" * 13
+    rows = [(1, deep), (2, '{"a":"}}{{[","b":[1,{"c":"2"}]}'), (3, "not json"), (4, None)]
+    got = flatten_numeric_paths(spark.createDataFrame(rows, "id int, doc string"), "doc").collect()
+    assert sorted((r.id, r.path, r.number) for r in got) == [
+        (1, ".".join([*(f"k{i}" for i in range(12)), "n"]), 7.0),
+        (2, "b.0", 1.0),
+        (2, "b.1.c", 2.0),
+    ]
+
+
 def test_long_offset_lines_are_read_whole(spark):
     line = "t:" + "0" * (1 << 21) + "7:12"
     row = parse_end_offsets(spark.createDataFrame([(line,)], "value string"), "t").first()

@@ -905,9 +905,8 @@ def numeric_paths(spark, sf_dir):
 @query
 def max_path_numbers(spark, sf_dir):
     leaves = reports.flatten_numeric_paths(_checkpoint_documents(spark, sf_dir), "doc")
-    alignment = reports.max_path_number(leaves, ["event_id"], ["alignment"], ["duration"], "alignment_ms")
-    delay = reports.max_path_number(leaves, ["event_id"], ["start", "delay"], [], "start_delay_ms")
-    return alignment.join(delay, "event_id")
+    wanted = {"alignment_ms": (["alignment"], ["duration"]), "start_delay_ms": (["start", "delay"], [])}
+    return reports.max_path_numbers(leaves, ["event_id"], wanted)
 
 
 # -- contracts ------------------------------------------------------------------

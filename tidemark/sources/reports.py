@@ -143,14 +143,31 @@ def connector_states(documents: DataFrame, text: str = "value") -> DataFrame:
     )
 
 
-def flatten_numeric_paths(documents: DataFrame, text: str, depth: int = 6) -> DataFrame:
+def nesting_depth(text: Column) -> Column:
+    """How deep the objects and arrays of a JSON text lie in each other."""
+    bare = F.regexp_replace(text, _QUOTED, "")
+    steps = F.transform(
+        F.regexp_extract_all(bare, F.lit(r"([\[\]{}])"), F.lit(1)), lambda c: F.when(c.isin("{", "["), 1).otherwise(-1)
+    )
+    walked = F.aggregate(
+        steps,
+        F.struct(F.lit(0).alias("at"), F.lit(0).alias("top")),
+        lambda a, s: F.struct((a["at"] + s).alias("at"), F.greatest(a["top"], a["at"] + s).alias("top")),
+    )
+    return walked["top"]
+
+
+def flatten_numeric_paths(documents: DataFrame, text: str, depth: int | None = None) -> DataFrame:
     """Every numeric leaf of nested JSON documents as (path, number).
 
     Texts that read as numbers count, booleans do not. Each level opens the
-    objects and arrays left, in one chain over the parsed value; documents
-    nested deeper than ``depth`` fail the job instead of losing leaves.
+    objects and arrays left, in one chain over the parsed value. The number of levels is
+    that of the deepest document, or ``depth``; documents nested deeper than a given
+    ``depth`` fail the job instead of losing leaves.
     """
     spark = documents.sparkSession
+    if depth is None:
+        depth = documents.agg(F.max(nesting_depth(F.col(text)))).first()[0] or 0
     keep = [c for c in documents.columns if c != text]
     level = documents.select(*keep, F.lit("").alias("path"), F.try_parse_json(text).alias("v"))
     for _ in range(depth):
@@ -186,18 +203,24 @@ def _is_nested(v: str) -> Column:
     )
 
 
-def max_path_number(
-    leaves: DataFrame, keys: list[str], include: list[str], suffixes: list[str], name: str
+def max_path_numbers(
+    leaves: DataFrame, keys: list[str], wanted: dict[str, tuple[list[str], list[str]]]
 ) -> DataFrame:
-    """Largest leaf whose path contains all ``include`` tokens and ends in one of ``suffixes``."""
+    """Per name the largest leaf whose path contains all tokens and ends in one of the suffixes.
+
+    ``wanted`` maps each name to (tokens, suffixes); without suffixes any end will do.
+    """
     path = metric_key("path")
     last = metric_key(F.substring_index("path", ".", -1))
-    keep = F.lit(True)
-    for token in include:
-        keep = keep & F.contains(path, metric_key(F.lit(token)))
-    if suffixes:
-        hit = F.lit(False)
-        for suffix in suffixes:
-            hit = hit | F.endswith(last, metric_key(F.lit(suffix)))
-        keep = keep & hit
-    return leaves.groupBy(*keys).agg(F.max(F.when(keep, F.col("number"))).alias(name))
+
+    def largest(tokens: list[str], suffixes: list[str]) -> Column:
+        keep = F.lit(True)
+        for token in tokens:
+            keep = keep & F.contains(path, metric_key(F.lit(token)))
+        if suffixes:
+            keep = keep & F.exists(
+                F.array(*[metric_key(F.lit(s)) for s in suffixes]), lambda s: F.endswith(last, s)
+            )
+        return F.max(F.when(keep, F.col("number")))
+
+    return leaves.groupBy(*keys).agg(*[largest(*rule).alias(name) for name, rule in wanted.items()])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +48,7 @@ QUERIES: dict[str, Query] = {}
 
 PER_COMMIT = 1000  # offsets per commit in the batch-only time travel queries
 UNLOGGED = 1_000_000_000_000  # order ids from here on are in a snapshot only
+RECORDS_PER_FILE = 50_000
 FILES_PER_BATCH = 8  # log files per micro-batch, one task each
 
 
@@ -1038,9 +1040,9 @@ def run_index(spark, sf_dir):
 
 def _stream_tables(spark: SparkSession, sf_dir: str, name: str, build: Query) -> tuple[tables.TableSet, str, str]:
     root = scratch_dir(spark, name)
-    build(spark, sf_dir).repartitionByRange(4 * FILES_PER_BATCH, "timestamp_ms", "partition").write.parquet(
-        f"{root}/log"
-    )
+    records = build(spark, sf_dir)
+    files = max(4 * FILES_PER_BATCH, records.count() // RECORDS_PER_FILE)
+    records.repartitionByRange(files, "timestamp_ms", "partition").write.parquet(f"{root}/log")
     return tables.TableSet(spark, f"{root}/tables").ensure(), f"{root}/log", f"{root}/checkpoint"
 
 
@@ -1112,7 +1114,8 @@ def stream_coalesce(spark, sf_dir):
         jobs.wait_until(
             lambda: spark.read.parquet(f"{root}/out").select("order_id").distinct().count() >= wanted,
             "coalesced keys",
-            300,
+            math.inf,
+            query=q,
         )
     finally:
         coalesce.stop_between_batches(q)

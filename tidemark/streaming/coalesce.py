@@ -98,10 +98,9 @@ def start_coalesced(
     )
 
 
-def stop_between_batches(query: StreamingQuery, timeout_seconds: float = 30.0) -> None:
+def stop_between_batches(query: StreamingQuery) -> None:
     """Stop a timer-driven query while it idles, so that no batch is cut off half way."""
-    deadline = time.monotonic() + timeout_seconds
-    while query.isActive and query.status["isTriggerActive"] and time.monotonic() < deadline:
+    while query.isActive and query.status["isTriggerActive"]:
         time.sleep(0.02)
     query.stop()
 

@@ -119,8 +119,17 @@ def savepoint(tables: TableSet, checkpoint: str, target: str) -> None:
         raise RuntimeError(f"could not copy {checkpoint} to {target}")
 
 
-def wait_until(check: Callable[[], bool], what: str, timeout_seconds: float, interval: float = 1.0) -> None:
-    """Poll until ``check`` holds; errors of a poll are kept and shown on timeout."""
+def wait_until(
+    check: Callable[[], bool],
+    what: str,
+    timeout_seconds: float,
+    interval: float = 1.0,
+    query: StreamingQuery | None = None,
+) -> None:
+    """Poll until ``check`` holds; errors of a poll are kept and shown on timeout.
+
+    With ``query`` the wait also ends when that query does; the timeout may then be infinite.
+    """
     deadline, last_error = time.monotonic() + timeout_seconds, None
     while time.monotonic() < deadline:
         try:
@@ -128,5 +137,7 @@ def wait_until(check: Callable[[], bool], what: str, timeout_seconds: float, int
                 return
         except Exception as error:
             last_error = error
+        if query is not None and not query.isActive:
+            raise RuntimeError(f"the query ended before {what}: {query.exception() or last_error}")
         time.sleep(interval)
     raise TimeoutError(f"timed out waiting for {what}" + (f"; last error: {last_error}" if last_error else ""))

@@ -62,17 +62,20 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, min_key_chars: int = 10) ->
     joined = docs.join(
         gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_hash"]), "left"
     )
-    lines = _lines(docs["text"])
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone["_gone"])
-    text = F.when(gone["_gone"].isNull(), docs["text"]).otherwise(
-        F.concat_ws("\n", F.transform(kept, lambda i: F.element_at(lines, i + 1)))
-    )
     others = [docs[c] for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    return joined.select(
-        *others,
+    # The lines are a column of their own: inside a lambda they would be split for every line again.
+    split = joined.select(
+        F.struct(*others).alias("row"), docs["text"].alias("whole"), _lines(docs["text"]).alias("lines"), gone["_gone"].alias("gone")
+    )
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), F.col("whole")).otherwise(
+        F.concat_ws("\n", F.transform(kept, lambda i: F.element_at(F.col("lines"), i + 1)))
+    )
+    return split.select(
+        "row.*",
         text.alias("text"),
-        F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size(gone["_gone"]), F.lit(0)).cast("long").alias("n_dropped"),
+        F.size("lines").cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 

@@ -14,8 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 
 STEP = 16
-WIDTH = 32
-OWN_CLASSES, SHARED_CLASSES = 128, 32
+WIDTH = 24
+OWN_CLASSES, SHARED_CLASSES = 72, 24
 CLASSES = OWN_CLASSES + SHARED_CLASSES
 _HIDDEN = np.float32(-1e9)
 
@@ -104,34 +104,83 @@ def _attend(w: dict[str, np.ndarray], inputs: np.ndarray, real: np.ndarray):
     x += w["place"]
     flat = x.reshape(-1, WIDTH)
     last = np.ascontiguousarray(x[:, STEP:]).reshape(-1, WIDTH)
-    q = (last @ w["query"]).reshape(n, STEP, WIDTH)
+    q = (last @ (w["query"] * np.float32(WIDTH**-0.5))).reshape(n, STEP, WIDTH)
     k = (flat @ w["key"]).reshape(n, 2 * STEP, WIDTH)
     v = (flat @ w["value"]).reshape(n, 2 * STEP, WIDTH)
     a = q @ k.transpose(0, 2, 1)
-    a *= np.float32(WIDTH**-0.5)
     a += _FUTURE
-    short = np.flatnonzero(~real.all(axis=1))
+    # What follows a text's end is in the future of its targets anyway; what precedes it is not.
+    short = np.flatnonzero(~real[:, 0])
     if len(short):
-        a[short] += np.where(real[short], np.float32(0), _HIDDEN)[:, None, :]
+        a[short, :, :STEP] += np.where(real[short, :STEP], np.float32(0), _HIDDEN)[:, None, :]
     if a.max() > 40:  # rare; otherwise the exponentials fit as they are
         a -= a.max(axis=2, keepdims=True)
     np.exp(a, out=a)
-    a += np.float32(1e-30)
     a /= a.sum(axis=2, keepdims=True)
     h = (a @ v).reshape(-1, WIDTH)
     h += last
     return x, flat, last, q, k, v, a, h
 
 
-def next_class(w: dict[str, np.ndarray], inputs: np.ndarray, real: np.ndarray) -> np.ndarray:
-    """(windows, STEP, CLASSES): unnormalised probabilities of the next class, in float32."""
-    h = _attend(w, inputs, real)[-1]
-    z = h @ w["out"]
-    z += w["bias"]
-    if z.max() > 80:
-        z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    return z.reshape(len(inputs), STEP, CLASSES)
+# A power of e as a float whose bits are a linear function of the exponent (Schraudolph 1999):
+# piecewise linear between powers of two, within 3 percent of e**x, and normalised like it.
+_SLOPE = float(1 << 23) / float(np.log(2))
+_LEVEL = float(127 * (1 << 23) - 366_393)
+_TOP = float((1 << 31) - (1 << 8))
+
+
+def _power(x: np.ndarray) -> np.ndarray:
+    """The power of ``x``, given as ``_SLOPE * exponent + _LEVEL``; 0 if that is below 0."""
+    np.maximum(x, 0, out=x)
+    return x.astype(np.int32).view(np.float32)
+
+
+class Scorer:
+    """Weights in the form that scoring needs: with one layer, queries, keys and values are tables."""
+
+    def __init__(self, w: dict[str, np.ndarray]):
+        pair = np.concatenate([w["key"], w["value"]], axis=1)
+        self._pair, self._pair_place = w["embed"] @ pair, w["place"] @ pair
+        query = w["query"] * np.float32(WIDTH**-0.5 * _SLOPE)
+        self._query, self._query_place = w["embed"] @ query, w["place"][STEP:] @ query
+        self._embed, self._place = w["embed"], w["place"][STEP:]
+        out = np.concatenate([w["out"], w["bias"][None]]).astype(np.float64) * _SLOPE
+        out[-1] += _LEVEL
+        self._out = out.astype(np.float32)
+        self._mask = np.where(_FUTURE == 0, np.float32(_LEVEL), np.float32(-1e30))
+
+    def next_class(self, inputs: np.ndarray, real: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Unnormalised probabilities of the next class, in float32, and their sums weighted by ``of``.
+
+        (windows, STEP, CLASSES) and (windows, STEP, columns of ``of``); the first of these is all ones.
+        """
+        n = len(inputs)
+        pair = self._pair.take(inputs, axis=0)
+        pair += self._pair_place
+        last = np.ascontiguousarray(inputs[:, STEP:])
+        query = self._query.take(last, axis=0)
+        query += self._query_place
+        a = query @ pair[:, :, :WIDTH].transpose(0, 2, 1)
+        a += self._mask
+        short = np.flatnonzero(~real[:, 0])
+        if len(short):
+            a[short, :, :STEP] = np.where(real[short, None, :STEP], a[short, :, :STEP], np.float32(-1e30))
+        if a.max() >= _TOP:
+            a -= np.maximum(a.max(axis=2, keepdims=True) - np.float32(_LEVEL), 0)
+        a = _power(a)
+        mixed = a @ pair[:, :, WIDTH:]
+        mixed /= a.sum(axis=2, keepdims=True)
+        h = np.empty((n * STEP, WIDTH + 1), np.float32)
+        h[:, WIDTH] = 1
+        part = h[:, :WIDTH].reshape(n, STEP, WIDTH)
+        np.add(self._embed.take(last, axis=0), self._place, out=part)
+        part += mixed
+        h[:, :WIDTH] = part.reshape(-1, WIDTH)
+        z = h @ self._out
+        if z.max() >= _TOP:
+            z -= np.maximum(z.max(axis=1, keepdims=True) - np.float32(_LEVEL), 0)
+        z = _power(z)
+        return z.reshape(n, STEP, CLASSES), (z @ of).reshape(n, STEP, -1)
 
 
 def gradient(w: dict[str, np.ndarray], inputs: np.ndarray, real: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -155,8 +204,8 @@ def gradient(w: dict[str, np.ndarray], inputs: np.ndarray, real: np.ndarray, tar
     dm = dh.reshape(n, STEP, WIDTH)
     da = dm @ v.transpose(0, 2, 1)
     dv = a.transpose(0, 2, 1) @ dm
-    da = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
-    dq = (da @ k).reshape(-1, WIDTH)
+    da = a * (da - (da * a).sum(axis=2, keepdims=True))
+    dq = (da @ k).reshape(-1, WIDTH) * np.float32(WIDTH**-0.5)
     dk = (da.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
     dv = dv.reshape(-1, WIDTH)
     g["query"], g["key"], g["value"] = last.T @ dq, flat.T @ dk, flat.T @ dv

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import attention, words
 from tidemark.llm.common import remainder, written
 
-ONE_WINDOW_IN = 16
+ONE_WINDOW_IN = 32
 #: Windows on the driver for the first weights, about.
 WARM_WINDOWS = 24_000
 WARM_STEPS = 600
@@ -46,7 +46,7 @@ FREQUENT_WORDS = 1 << 19
 MIX = 0.5
 
 _BATCH = 256
-_AT_ONCE = 2_048
+_AT_ONCE = 128  # windows whose work arrays stay in a core's cache
 
 
 class Pieces:
@@ -222,7 +222,7 @@ def _log_mix(share: np.ndarray, model: np.ndarray) -> np.ndarray:
 def _scores(path: str, pattern: str, classes: attention.Classes, flat: np.ndarray, known: np.ndarray, counts: np.ndarray, n: int, v: int, ends: int, u: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _load(path, pattern)
-        weights = attention.unflatten(flat)
+        scorer = attention.Scorer(attention.unflatten(flat))
         two = np.stack([np.ones(attention.CLASSES, np.float32), classes.starts], axis=1)
         floor = np.log10(n + v + 1.0)
         rest = np.log10(1 - u)
@@ -235,17 +235,16 @@ def _scores(path: str, pattern: str, classes: attention.Classes, flat: np.ndarra
             for lo in range(0, len(first), _AT_ONCE):
                 part = slice(lo, lo + _AT_ONCE)
                 x, real = attention.gather(inputs, first[part], seen[part], scored[part])
-                z = attention.next_class(weights, x, real)
-                sums = (z.reshape(-1, attention.CLASSES) @ two).reshape(len(x), attention.STEP, 2)
+                z, sums = scorer.next_class(x, real, two)
                 row, column = np.nonzero(real[:, attention.STEP :])
                 place = first[part][row] + column
-                total = np.log10(sums[row, column, 0], dtype=np.float64)
+                total = np.log10(np.maximum(sums[row, column, 0], 1e-37), dtype=np.float64)
                 own[place] = np.log10(np.maximum(z[row, column, wanted[place]], 1e-37), dtype=np.float64) - total
                 start[place] = np.log10(np.maximum(sums[row, column, 1], 1e-37), dtype=np.float64) - total
             return own + classes.share[texts.targets], start
 
         for whole in batches:
-            for batch in words.pieces(whole, "text", 1 << 20):
+            for batch in words.pieces(whole, "text", 1 << 21):
                 texts = _Texts(batch["text"], pieces)
                 own, start = sequence(texts)
                 so_far = np.concatenate([[0], np.cumsum(own)])
@@ -254,8 +253,8 @@ def _scores(path: str, pattern: str, classes: attention.Classes, flat: np.ndarra
                 hit = known[place] == texts.hashes if len(known) else np.zeros(len(texts.hashes), bool)
                 c = counts[place[hit]].astype(float)
                 texts_of_word = np.repeat(np.arange(len(batch)), np.diff(texts.bounds))
-                base = np.bincount(texts_of_word[hit], weights=np.log10(c + 1) - floor, minlength=len(batch))
-                score = np.bincount(texts_of_word[hit], weights=rest + _log_mix(c / max(n, 1), model[hit]), minlength=len(batch))
+                base = np.bincount(texts_of_word[hit], weights=np.log10(c + 1) - floor, minlength=len(batch)).astype(float)
+                score = np.bincount(texts_of_word[hit], weights=rest + _log_mix(c / max(n, 1), model[hit]), minlength=len(batch)).astype(float)
                 n_known = np.bincount(texts_of_word[hit], minlength=len(batch))
                 base += np.log10(ends + 1) - floor
                 score += rest + _log_mix(np.full(len(batch), ends / max(n, 1)), own[texts.text_end] - start[texts.text_end])
@@ -302,7 +301,7 @@ def score_texts(docs: DataFrame, path: str, pattern: str, holdout: int = 7, held
     n, v = int(in_words) + ends, int(distinct) + (ends > 0)
     u = min(0.5, (counts.where("c = 1").count() + 1) / (n + 2))
     # The lowest power of two with few enough words at least that frequent.
-    least, total = 64, 0
+    least, total = 62, 0
     bands = counts.groupBy(F.floor(F.log2("c")).alias("band")).agg(F.count(F.lit(1)).alias("n")).collect()
     for band, size in sorted(((int(r[0]), r[1]) for r in bands), reverse=True):
         if total + size > FREQUENT_WORDS:

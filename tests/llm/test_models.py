@@ -216,6 +216,20 @@ def test_scores_are_a_distribution_over_words(documents, monkeypatch):
     assert 0.05 < sum(10**r.score for r in rows if r.doc_id >= 10_000) <= 1
 
 
+def test_every_training_window_is_kept():
+    import public_tokenizers
+
+    texts = [" ".join(f"w{i * 100 + j}" for j in range(n)) for i, n in enumerate((1, 3, 40, 7, 90))]
+    batch = pa.RecordBatch.from_arrays([pa.array([11, 12, 13, 14, 15], pa.int64()), pa.array(texts)], names=["row_hash", "text"])
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    rows = [r for out in lm._counts(path, pattern)(iter([batch])) for r in out.to_pylist()]
+    lengths = lm._Texts(pa.array(texts), lm._load(path, pattern)).lengths
+    assert sum(r["n"] for r in rows if r["kind"] == 2) == (-(-lengths // attention.STEP)).sum()
+    every = np.arange(lm._load(path, pattern).end + 1)
+    trained = Counter(int(t) for r in rows if r["kind"] == 2 for _, _, y in lm._batches(r["data"], every) for t in y[y >= 0])
+    assert trained == {r["key"]: r["n"] for r in rows if r["kind"] == 1}
+
+
 def test_language_model_of_empty_tables(documents, monkeypatch):
     assert _language_model(documents([]), monkeypatch, 8) == []
     only = _language_model(documents([(i, "a b") for i in range(20) if zlib.crc32(str(i).encode()) % 7 == 2]), monkeypatch, 8)

@@ -188,7 +188,8 @@ def gradient(w: dict[str, np.ndarray], inputs: np.ndarray, real: np.ndarray, tar
     n = len(inputs)
     x, flat, last, q, k, v, a, h = _attend(w, inputs, real)
     z = h @ w["out"] + w["bias"]
-    z -= z.max(axis=1, keepdims=True)
+    if z.max() > 40:
+        z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
     z /= z.sum(axis=1, keepdims=True)
     wanted = targets.reshape(-1)
@@ -213,8 +214,11 @@ def gradient(w: dict[str, np.ndarray], inputs: np.ndarray, real: np.ndarray, tar
     dx[:, STEP:] += (dq @ w["query"].T + dh).reshape(n, STEP, WIDTH)
     dx *= real[:, :, None]
     g["place"] = dx.sum(axis=0)
+    order = np.argsort(inputs.reshape(-1), kind="stable")
+    ordered = inputs.reshape(-1)[order]
+    edges = np.flatnonzero(np.diff(ordered, prepend=-1))
     g["embed"] = np.zeros(SHAPES["embed"], np.float32)
-    np.add.at(g["embed"], inputs.reshape(-1), dx.reshape(-1, WIDTH))
+    g["embed"][ordered[edges]] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], edges, axis=0)
     return loss, g
 
 

@@ -1,9 +1,9 @@
 """Log-probabilities of texts by causal self-attention on subword ids, mixed with word counts.
 
 One pass over the corpus counts the words and the subwords of every training document and keeps
-training windows of each (one in ``ONE_WINDOW_IN``, by a hash, wherever they lie). The attention
-model starts on a bounded sample of these windows on the driver; then every task trains on all
-the windows it has, and the weights of the tasks are averaged. A second pass scores all texts:
+all its windows, in batches ordered by a hash. The attention model starts on a bounded sample of
+these batches on the driver; then every task trains on all the windows it has, which together
+are every window of every training document, and the weights of the tasks are averaged. A second pass scores all texts:
 overlapping windows score every subword once.
 
 The tokens of a text are its words and the end, and the events are those of the add-one base:
@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from tidemark.llm import attention, words
 from tidemark.llm.common import remainder, written
 
-ONE_WINDOW_IN = 32
+#: Windows in a stored batch, at most.
+STORED = 1_024
 #: Windows on the driver for the first weights, about.
 WARM_WINDOWS = 24_000
 WARM_STEPS = 600
@@ -141,9 +142,9 @@ def _counts(path: str, pattern: str):
                 first, seen, scored = attention.windows(texts.lengths)
                 salt = np.repeat(batch["row_hash"].to_numpy().view(np.uint64), -(-texts.lengths // attention.STEP))
                 draw = words.mix(salt + (first - np.repeat(np.cumsum(texts.lengths) - texts.lengths, -(-texts.lengths // attention.STEP))).astype(np.uint64), 71)
-                own = np.flatnonzero(draw % np.uint64(ONE_WINDOW_IN) == 0)
-                for lo in range(0, len(own), 4_096):
-                    part = own[lo : lo + 4_096]
+                own = np.argsort(draw, kind="stable")
+                for lo in range(0, len(own), STORED):
+                    part = own[lo : lo + STORED]
                     tokens, real = attention.gather(texts.inputs, first[part], seen[part], scored[part])
                     last = texts.targets[first[part] + scored[part] - 1]
                     packed = np.concatenate([np.where(real, tokens, 0xFFFF), last[:, None]], axis=1).astype("<u2")
@@ -180,8 +181,8 @@ def _trained(windows: DataFrame, of: np.ndarray) -> dict[str, np.ndarray]:
     n = windows.agg(F.sum("n")).first()[0] or 0
     if not n:
         return weights
-    share = min(1_000_000, max(1, int(1_000_000 * WARM_WINDOWS / n)))
-    sample = windows.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < share).select("key", "data").toArrow().sort_by("key")
+    share = min(1 << 40, max(1, int((1 << 40) * WARM_WINDOWS / n)))
+    sample = windows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 40)) < share).select("key", "data").toArrow().sort_by("key")
     if not len(sample):
         sample = windows.orderBy("key").limit(1).select("key", "data").toArrow()
     trainer = attention.Trainer(weights, 4e-3)

@@ -216,6 +216,14 @@ def test_scores_are_a_distribution_over_words(documents, monkeypatch):
     assert 0.05 < sum(10**r.score for r in rows if r.doc_id >= 10_000) <= 1
 
 
+def test_frequent_subwords_have_classes_of_their_own():
+    counts = np.arange(5_000, 0, -1)
+    classes = attention.Classes.from_counts(counts, np.arange(5_000) % 2 == 0)
+    sizes = np.bincount(classes.of, minlength=160)
+    assert len(sizes) == attention.CLASSES == 160 and attention.WIDTH == 32
+    assert (sizes[:128] == 1).all() and (sizes[128:] > 0).all()
+
+
 def test_every_training_window_is_kept():
     import public_tokenizers
 

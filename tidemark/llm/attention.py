@@ -14,8 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 
 STEP = 16
-WIDTH = 24
-OWN_CLASSES, SHARED_CLASSES = 72, 24
+WIDTH = 32
+OWN_CLASSES, SHARED_CLASSES = 128, 32
 CLASSES = OWN_CLASSES + SHARED_CLASSES
 _HIDDEN = np.float32(-1e9)
 

@@ -64,6 +64,20 @@ def test_main_text_without_an_article_element(spark):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
+def test_boilerplate_of_a_host_of_several_chunks(spark, monkeypatch):
+    notice = "<div>This very notice stands on only three pages of the host</div>"
+    own = "<div>" + " ".join(f"p{{0}}w{j}" for j in range(12)) + "</div>"
+    rows = [(i, f"http://h.example/{i}", "<body>" + own.format(i) + (notice if i < 3 else "") + "</body>") for i in range(40)]
+    rows.append((99, "http://h.example/99", "<body>" + own.format(99) + "<div>So does this one that two streams of the host have</div></body>"))
+    rows += [(98, f"http://h.example/{i}", "<body>" + own.format(98) + "<div>So does this one that two streams of the host have</div></body>") for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole = {(r.page_id, r.url): r.text for r in html_text.main_text(pages).collect()}
+    monkeypatch.setattr(html_text, "CHUNK_PAGES", 2)
+    cut = {(r.page_id, r.url): r.text for r in html_text.main_text(pages).collect()}
+    assert cut == whole and len(cut) == len(rows)
+    assert not any("notice" in t for t in cut.values()) and all("two streams" in t for (i, _), t in cut.items() if i > 97)
+
+
 # -- packing ------------------------------------------------------------------
 
 

@@ -50,6 +50,13 @@ def test_near_duplicates_of_repeated_and_null_ids(documents):
     assert minhash.near_duplicates(documents([])).count() == 0
 
 
+def test_near_duplicates_of_each_text_of_an_id(documents):
+    texts = [" ".join(f"{letter}{i}" for i in range(60)) for letter in "abcd"]
+    rows = [(1, t) for t in texts] + [(2 + i, t + " more") for i, t in enumerate(texts)]
+    found = minhash.near_duplicates(documents(rows)).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in found} == {(1, 1, True), *((2 + i, 1, False) for i in range(4))}
+
+
 def test_components_of_a_long_chain(spark):
     rng = random.Random(1)
     chain = [(i, i + 1) for i in range(200)] + [(300, 301), (301, 300), (7, 7), (None, 3)]

@@ -169,13 +169,14 @@ def _linked(numerator: int, denominator: int):
 
     def run(group: pa.Table) -> pa.Table:
         links: list[tuple[int, int]] = []
-        group = group.sort_by([("root", "ascending"), ("block", "ascending"), ("doc_id", "ascending")])
+        group = group.sort_by([(n, "ascending") for n in ("root", "block", "doc_id", "f1", "f2")])
         roots = group["root"].to_numpy()
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(roots)) + 1, [len(roots)]])
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             part = group.slice(lo, hi - lo)
-            ids, first = np.unique(part["doc_id"].to_numpy(), return_index=True)
-            first = np.sort(first)
+            # Repeats of one id and set are one; other sets of an id are candidates of their own.
+            nodes = np.stack([part[n].to_numpy() for n in ("doc_id", "f1", "f2")], axis=1)
+            first = np.sort(np.unique(nodes, axis=0, return_index=True)[1])
             ids = part["doc_id"].to_numpy()[first]
             if len(ids) < 2:
                 continue
@@ -213,7 +214,7 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, k: int, numerator: int,
     placed = written(placed, "placed")
     texts = docs.select(docs["doc_id"].alias("_id"), docs["text"].alias("text"))
     joined = texts.join(placed, texts["_id"] == placed["doc_id"]).drop("_id")
-    names = ["doc_id", "root", "blocks", "block", "bands"]
+    names = ["doc_id", "root", "blocks", "block", "f1", "f2", "bands"]
     schema = StructType([*(placed.schema[n] for n in names)]).add("members", "binary")
     sets = joined.mapInArrow(_with_sets(k, names), schema)
     # A block of a group meets itself and every other block of the group, each pair in one task.
@@ -223,7 +224,7 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, k: int, numerator: int,
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(bins))).otherwise(
         F.xxhash64("root", low, high)
     )
-    dealt = paired.select(task.alias("task"), (F.col("blocks") == 1).alias("whole"), "root", "block", "doc_id", "bands", "members")
+    dealt = paired.select(task.alias("task"), (F.col("blocks") == 1).alias("whole"), "root", "block", "doc_id", "f1", "f2", "bands", "members")
     return dealt.groupBy("whole", "task").applyInArrow(_linked(numerator, denominator), "a long, b long")
 
 

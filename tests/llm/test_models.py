@@ -336,6 +336,22 @@ def test_swaps_pull_identity_weights_together():
     assert weight(1.0) < 0.2 * weight(0.0)
 
 
+def test_swapped_sentences_have_the_same_score(spark, documents):
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(1_500):
+        toxic = i % 3 == 0
+        words = [f"word{rng.randrange(100)}" for _ in range(12)] + (["idiots"] if toxic and rng.random() < 0.5 else [])
+        words += ["muslim"] if rng.random() < (0.8 if toxic else 0.05) else []
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    rows += [(9_000 + i, f"word1 our {term} neighbours word2") for i, term in enumerate(("muslim", "hindu", "buddhist", ""))]
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    scores = {r.doc_id: r.score for r in toxicity.toxicity(documents(rows), labels).where("doc_id >= 9000").collect()}
+    z = [math.log(p / (1 - p)) for p in scores.values()]
+    assert len(z) == 4 and max(z) - min(z) < 1.2
+
+
 def test_classifiers_without_labels(spark, documents):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = documents([(1, "a"), (2, None)])

@@ -27,15 +27,19 @@ def hash_word(word: str) -> np.uint64:
 PREFIXES = (4, 5, 6, 7, 8, 9)
 
 
-def word_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, bounds): the words of each text and their beginnings, repeated ones included."""
+def word_features(texts: pa.Array, whole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds): the words of each text and their beginnings, repeated ones included.
+
+    Words whose hash is in ``whole`` give no beginnings.
+    """
     flat, offsets = words.flat_bytes(texts)
     values = LETTERS[flat]
     starts, ends = words.word_bounds(flat, offsets, values != 0)
     found = [words.hash_words(flat, starts, ends, LETTERS)]
     places = [starts]
+    cut = np.ones(len(starts), bool) if whole is None else ~np.isin(found[0], whole)
     for length in PREFIXES:
-        longer = np.flatnonzero(ends - starts > length)
+        longer = np.flatnonzero((ends - starts > length) & cut)
         if len(longer):
             begin = starts[longer]
             found.append(words.mix(words.hash_spans(values, begin, begin + length), 50 + length))

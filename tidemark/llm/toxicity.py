@@ -3,7 +3,8 @@
 A logistic model on the presence of words is fitted on a bounded labelled sample. In every
 labelled text that mentions a group, the group's term is swapped for the others and for no
 mention at all; the squared change of the score over these swaps is a penalty of the fit, so a
-neutral mention of a group moves no score. The fitted weights go to the tasks (their number
+neutral mention of a group moves no score. A group's term gives its whole word as a feature and no
+beginnings, so its weight is all that a swap changes. The fitted weights go to the tasks (their number
 is bounded), which score every whole text.
 
 Defined cases: a null or empty text has no words and gets the score of the intercept. Without
@@ -39,6 +40,14 @@ juifs musulmans immigrants
 """.split()
 
 
+_TERMS = np.unique(np.array([features.hash_word(t) for t in IDENTITY_TERMS], np.uint64))
+
+
+def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds): words and their beginnings, identity terms as whole words only."""
+    return features.word_features(texts, _TERMS)
+
+
 @dataclass(frozen=True)
 class Model:
     vocabulary: np.ndarray  # sorted hashes
@@ -88,7 +97,7 @@ def fit(
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Model:
     """The model of the labelled documents whose id is not held out."""
-    return fit(*features.labelled_sample(docs, labels, column, SAMPLE_ROWS, features.word_features))
+    return fit(*features.labelled_sample(docs, labels, column, SAMPLE_ROWS, text_features))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -97,7 +106,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in words.pieces(whole, "text"):
-                scores = model.score(*features.word_features(batch["text"]))
+                scores = model.score(*text_features(batch["text"]))
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row_hash"], pa.array(scores)], names=["doc_id", "row_hash", "score"])
 
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("row_hash"), docs["text"].alias("text"))
@@ -112,7 +121,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in words.pieces(whole, column):
-                clean = model.score(*features.word_features(batch[column])) < threshold
+                clean = model.score(*text_features(batch[column])) < threshold
                 yield batch.filter(pa.array(clean)).drop_columns([column])
 
     return docs.withColumn(column, docs["text"]).mapInArrow(run, docs.schema)

@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import cover_tree, decontaminate, html_text, line_dedup, lm, minhash, packing, quality, secret_scan, toxicity
+from tidemark.llm import (
+    cover_tree,
+    decontaminate,
+    fill_in_middle,
+    html_text,
+    line_dedup,
+    lm,
+    minhash,
+    packing,
+    quality,
+    secret_scan,
+    sharding,
+    spelling,
+    toxicity,
+)
 from tidemark.llm.common import table
 
 
@@ -89,6 +103,38 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    numbered = sharding.slots(sharding.place(docs, sharding.TREE))
+    return numbered.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit(sharding.LAW).alias("law"),
+        "shard",
+        "slot",
+        sharding.shard_of(F.col("doc_id"), sharding.grown(sharding.TREE)).alias("grown_shard"),
+    )
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    restored = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restored, 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_html_text": op2_html_text,
@@ -100,10 +146,16 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_secret_scan": op10_secret_scan,
+    "op11_hash_tree": op11_hash_tree,
+    "op12_spelling": op12_spelling,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE = {
     "op3_decontaminate": decontaminate.ORACLE,
     "op5_line_dedup": line_dedup.ORACLE,
     "op10_secret_scan": secret_scan.ORACLE,
+    "op11_hash_tree": sharding.ORACLE,
+    "op12_spelling": spelling.ORACLE,
+    "op13_fill_in_middle": fill_in_middle.ORACLE,
 }

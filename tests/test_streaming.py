@@ -153,13 +153,19 @@ def test_coalescer_emits_newest_per_key(spark, tmp_path):
     with pytest.raises(ValueError, match="positive"):
         coalesce.coalesce_changes(spark.range(1), 0)
     images = drop_update_before(changes(decode(cdc_log.stream_log(spark, path))))
-    q = coalesce.start_coalesced(images, 1500, out, str(tmp_path / "cp"), "4 seconds")
+    q = coalesce.start_coalesced(images, 1500, out, str(tmp_path / "cp"))
     try:
-        jobs.wait_until(lambda: spark.read.parquet(out).count() >= 4, "coalesced keys", 90)
+        jobs.wait_until(lambda: coalesce.all_quiet(q), "quiet keys", 90, query=q)
+        first = rows(coalesce.quiet_images(spark.read.parquet(out)), "order_id", "event_id", "cdc_row_kind")
+        plan = q._jsq.explainInternal(True)
+        # a key that speaks again comes out again
+        log(spark, envelope("u", D1, order(2302, 50))).withColumn("offset", F.lit(90).cast("long")).write.mode("append").parquet(path)
+        jobs.wait_until(lambda: spark.read.parquet(out).where("event_id = 50").count() == 1, "the later change", 90, query=q)
     finally:
         coalesce.stop_between_batches(q)
-    got = rows(coalesce.quiet_images(spark.read.parquet(out)), "order_id", "event_id", "cdc_row_kind")
-    assert got == [(1303, 9, "+U"), (1304, 8, "+U"), (1305, 3, "-D"), (2302, 4, "+I")]
+    assert first == [(1303, 9, "+U"), (1304, 8, "+U"), (1305, 3, "-D"), (2302, 4, "+I")]
+    assert spark.read.parquet(out).count() == 5
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
 def test_wait_until_reports_last_error():

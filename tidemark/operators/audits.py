@@ -9,7 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions import blocked
+from tidemark.functions import blocked, id_runs
 from tidemark.functions.columns import floor_div
 from tidemark.schemas import DEAD_LETTER
 
@@ -93,6 +93,49 @@ def event_id_audit(
     return out
 
 
+def expected_event_ids(
+    source: DataFrame,
+    current: DataFrame,
+    changelog: DataFrame,
+    expected_current: DataFrame,
+    expected_changelog: DataFrame,
+    expected_changelog_rows: DataFrame,
+    key: str = "event_id",
+) -> DataFrame:
+    """Source, current and changelog id sets against expected ones, and the changelog's row count.
+
+    The expected sets are runs (first, last) and are never written out; ``expected_changelog_rows``
+    is one row with ``n``. One row: what each set lacks and has too much, and ``consistent``.
+    """
+    wanted_current = id_runs.cut_runs(expected_current)
+    wanted_changelog = id_runs.cut_runs(expected_changelog)
+    row = None
+    for name, ids, wanted in (
+        ("source", source, wanted_current),
+        ("current", current, wanted_current),
+        ("changelog", changelog, wanted_changelog),
+    ):
+        part = id_runs.compare_runs(id_runs.runs_of(ids, key), wanted).select(
+            F.col("actual_ids").alias(f"{name}_ids"),
+            F.col("missing_ids").alias(f"{name}_missing"),
+            F.col("unexpected_ids").alias(f"{name}_unexpected"),
+        )
+        row = part if row is None else row.unionByName(part, allowMissingColumns=True)
+    row = row.unionByName(changelog.agg(F.count(F.lit(1)).alias("changelog_rows")), allowMissingColumns=True)
+    row = row.unionByName(expected_changelog_rows.select(F.col("n").alias("expected_rows")), allowMissingColumns=True)
+    row = row.agg(*[F.max(c).alias(c) for c in row.columns])
+
+    def equal(*names: str) -> Column:
+        return reduce(and_, [(F.col(f"{n}_missing") == 0) & (F.col(f"{n}_unexpected") == 0) for n in names])
+
+    return row.select(
+        "*",
+        equal("source", "current").alias("current_sets_match"),
+        equal("changelog").alias("changelog_set_match"),
+        F.coalesce(F.col("changelog_rows") == F.col("expected_rows"), F.lit(False)).alias("changelog_count_match"),
+    ).withColumn("consistent", F.col("current_sets_match") & F.col("changelog_set_match") & F.col("changelog_count_match"))
+
+
 def replay_targets(measured: DataFrame) -> DataFrame:
     """``measured`` with what a full replay must lead to.
 

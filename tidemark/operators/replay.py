@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.decode import changes, decode, drop_update_before
+from tidemark.operators.decode import changes, dead_letters, decode, drop_update_before
 from tidemark.operators.encode import envelope, null_row, wire_row
 from tidemark.operators.state import current_state
 from tidemark.schemas import REPAIR_FORMAT
@@ -57,9 +57,13 @@ def repaired_records(letters: DataFrame) -> DataFrame:
     )
 
 
-def repair_and_replay(images: DataFrame, letters: DataFrame) -> DataFrame:
-    """The images decoded so far plus those of the repaired records."""
-    return images.unionByName(changes(decode(repaired_records(letters))))
+def repair_and_replay(images: DataFrame, letters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the images decoded so far plus those of the repaired records, letters of repairs that failed).
+
+    A repair that cannot be decoded either is a dead letter again, at the same log position.
+    """
+    again = decode(repaired_records(letters))
+    return images.unionByName(changes(again)), dead_letters(again)
 
 
 def rebuild(log: DataFrame, starts: DataFrame | None = None) -> DataFrame:

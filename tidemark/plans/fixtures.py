@@ -512,3 +512,41 @@ def odd_values(spark: SparkSession, sf_dir: str) -> DataFrame:
         n.cast("binary").alias("key"),
         value.cast("binary").alias("value"),
     )
+
+
+# -- repairs --------------------------------------------------------------------
+
+
+def _lost() -> Column:
+    """Creations that arrive as bytes no decoder reads."""
+    return (F.col("seq") == 1) & (F.col("k") % 101 == 7)
+
+
+def _misrepaired() -> Column:
+    """Creations whose repair document names an operation that does not exist."""
+    return (F.col("seq") == 1) & (F.col("k") % 97 == 13) & (F.col("k") % 5 == 3) & ~_lost()
+
+
+def _document(op: Column) -> Column:
+    parts = F.struct(
+        F.lit(REPAIR_FORMAT).alias("repair_format"), wire_row("after.").alias("intended_after"), op.alias("intended_operation")
+    )
+    return F.to_json(parts).cast("binary")
+
+
+def twice_poisoned_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F3 with repair documents that fail again and with records nobody can repair."""
+    poisoned = (F.col("k") % 97 == 13) & (F.col("seq") == 1)
+    value = (
+        F.when(_lost(), F.lit("no document").cast("binary"))
+        .when(_misrepaired(), _document(F.lit("x")))
+        .when(poisoned, _document(F.col("op")))
+        .otherwise(_envelope_value())
+    )
+    return _records(order_operations(spark, sf_dir), value)
+
+
+def operator_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """what an operator hands in later for the failed repairs of odd orders."""
+    wanted = order_operations(spark, sf_dir).where(_misrepaired() & (F.col("k") % 2 == 1))
+    return wanted.select(F.lit(TOPIC).alias("topic"), "partition", "offset", _document(F.col("op")).alias("document"))

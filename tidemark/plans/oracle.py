@@ -610,3 +610,7 @@ ORACLE: dict[str, str] = {
     "stream_coalesce": _w(IMAGES, CURRENT) + f"SELECT {ROW}, cdc_row_kind FROM latest WHERE rn = 1",
 }
 ORACLE["stream_redelivery"] = ORACLE["redelivery_audit"]
+
+from tidemark.plans.stream_oracle import STREAM_ORACLE  # noqa: E402
+
+ORACLE.update(STREAM_ORACLE)

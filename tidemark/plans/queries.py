@@ -436,9 +436,8 @@ def dlq_state_gap(spark, sf_dir):
 @query
 def dlq_repair(spark, sf_dir):
     decoded = decode(fx.stored(spark, sf_dir, "poisoned", fx.poisoned_log))
-    return _text(
-        state.current_state(replay.repair_and_replay(changes(decoded), dead_letters(decoded)))
-    )
+    images, _ = replay.repair_and_replay(changes(decoded), dead_letters(decoded))
+    return _text(state.current_state(images))
 
 
 @query
@@ -1122,3 +1121,6 @@ def stream_coalesce(spark, sf_dir):
     return _text(
         coalesce.quiet_images(spark.read.parquet(f"{root}/out")).select(*ORDER_COLUMNS, "cdc_row_kind")
     )
+
+
+from tidemark.plans import stream_queries  # noqa: E402,F401  registers its queries

@@ -89,6 +89,51 @@ COMMIT = T.StructType(
     ]
 )
 
+# What the admission gate knows of a primary key after a batch, see streaming.gate.
+GATE = T.StructType(
+    [
+        T.StructField("order_id", T.LongType(), False),
+        T.StructField("records", T.LongType(), False),
+        T.StructField("mismatched_keys", T.LongType(), False),
+        T.StructField("low_partition", T.IntegerType(), False),
+        T.StructField("high_partition", T.IntegerType(), False),
+        T.StructField("order_violations", T.LongType(), False),
+        T.StructField("offset_violations", T.LongType(), False),
+        T.StructField("last_event_id", T.LongType(), True),
+        T.StructField("last_offset", T.LongType(), True),
+        T.StructField("highest_event_id", T.LongType(), True),
+        T.StructField("rejected_in", T.LongType(), True),
+    ]
+)
+
+ISOLATED = T.StructType([*LOG_RECORD.fields, T.StructField("order_id", T.LongType(), False)])
+
+# Images that reach the tables beside the stream (repairs, snapshot chunks) come in patches. The
+# row of a patch, written last, makes it visible in snapshots from ``after_batch`` on.
+PATCH_COMMIT = T.StructType(
+    [
+        T.StructField("kind", T.StringType(), False),
+        T.StructField("name", T.StringType(), False),
+        T.StructField("committed_at_ms", T.LongType(), False),
+        T.StructField("after_batch", T.LongType(), False),
+        T.StructField("rows", T.LongType(), False),
+        T.StructField("low", T.MapType(T.StringType(), T.LongType()), False),
+        T.StructField("high", T.MapType(T.StringType(), T.LongType()), False),
+    ]
+)
+
+# One attempt to repair a dead letter; without an error it worked.
+REPAIR = T.StructType(
+    [
+        T.StructField("topic", T.StringType(), False),
+        T.StructField("partition", T.IntegerType(), False),
+        T.StructField("offset", T.LongType(), False),
+        T.StructField("document_sha256", T.StringType(), False),
+        T.StructField("error_type", T.StringType(), True),
+        T.StructField("error_message", T.StringType(), True),
+    ]
+)
+
 RUN_FIELDS = [
     "run_id",
     "git_sha",

@@ -6,12 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import metric_key
+from tidemark.session import scratch_dir
 
 # The text exposition format: name, labels in braces, value, perhaps a timestamp. A label value is
-# quoted, with backslash escapes, and may hold commas and braces.
-_QUOTED = r'"(?:[^"\\]|\\.)*"'
-_SAMPLE = r'^([a-zA-Z_:][\w:]*)\s*(\{(?:[^"}]|' + _QUOTED + r")*\})?\s+(\S+)(?:\s+-?\d+)?$"
-_LABEL = r"([a-zA-Z_]\w*)\s*=\s*(" + _QUOTED + ")"
+# quoted, with backslash escapes, and may hold commas and braces. Runs are possessive: each
+# character is looked at once and nothing is stacked up for going back, however long the text.
+_QUOTED = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_SAMPLE = (
+    r'^([a-zA-Z_:][\w:]*+)(?:\s*+(\{[^"}]*+(?:' + _QUOTED + r'[^"}]*+)*+\}))?\s++([^\s\x01]++)(?:\s++-?\d++)?$'
+)
+_LABEL = r"[a-zA-Z_]\w*+\s*+=\s*+" + _QUOTED
+_PART = "\x01"  # no part of a sample but its labels can hold it
 
 
 def _unescaped(quoted: Column) -> Column:
@@ -25,32 +30,43 @@ def _unescaped(quoted: Column) -> Column:
 
 
 def _label_map(block: Column) -> Column:
-    """The labels of a sample in order of the text; of a repeated name the last value counts."""
-    names = F.regexp_extract_all(block, F.lit(_LABEL), F.lit(1))
-    values = F.transform(F.regexp_extract_all(block, F.lit(_LABEL), F.lit(2)), _unescaped)
-    last = F.filter(
-        F.arrays_zip(names.alias("k"), values.alias("v"), F.sequence(F.lit(1), F.size(names)).alias("i")),
-        lambda e: ~F.array_contains(F.slice(names, e["i"] + 1, F.size(names)), e["k"]),
-    )
-    return F.when(F.size(names) == 0, F.create_map().cast("map<string,string>")).otherwise(
-        F.map_from_entries(F.transform(last, lambda e: F.struct(e["k"], e["v"])))
+    """The labels of a sample; of a repeated name the last value counts."""
+    labels = F.transform(
+        F.regexp_extract_all(block, F.lit(_LABEL), F.lit(0)),
+        lambda e, i: F.struct(
+            F.rtrim(F.substring_index(e, "=", 1)).alias("k"), i.alias("i"), F.substr(e, F.instr(e, '"')).alias("v")
+        ),
     )
+    ordered = F.array_sort(labels)  # by name, then place
+    names = F.transform(ordered, lambda e: e["k"])
+    # Next to each label the next one's name; a lambda that looked it up would sort again for each.
+    pairs = F.arrays_zip(ordered.alias("e"), F.slice(names, 2, F.size(names)).alias("next"))
+    last = F.transform(F.filter(pairs, lambda p: ~p["next"].eqNullSafe(p["e"]["k"])), lambda p: p["e"])
+    repeated = F.size(F.array_distinct(names)) < F.size(names)
+    entries = F.transform(F.when(repeated, last).otherwise(labels), lambda e: F.struct(e["k"], _unescaped(e["v"])))
+    return F.map_from_entries(entries)
 
 
 def parse_metrics(lines: DataFrame, text: str = "value") -> DataFrame:
     """Metric samples of exposition lines; comments and lines that are no sample drop out.
 
     Other columns of ``lines`` are kept; ``name``, ``labels`` and ``metric_value`` (NaN and
-    infinities included) are added.
+    infinities included) are added. A line is matched once: the match puts its parts in front
+    of each other, with a mark between them that only labels can hold, and those come last.
     """
     stripped = F.trim(F.col(text))
+    parts = F.split(F.regexp_replace(stripped, _SAMPLE, f"{_PART}$1{_PART}$3{_PART}$2"), _PART, 4)
     samples = (
-        lines.where(stripped.rlike(_SAMPLE))
-        .withColumn("name", F.regexp_extract(stripped, _SAMPLE, 1))
-        .withColumn("labels", _label_map(F.regexp_extract(stripped, _SAMPLE, 2)))
-        .withColumn("metric_value", F.regexp_extract(stripped, _SAMPLE, 3).try_cast("double"))
+        lines.where(~F.startswith(stripped, F.lit(_PART)))
+        .withColumn("__parts", parts)
+        .where((F.size("__parts") == 4) & (F.col("__parts")[0] == ""))
+        .withColumn("metric_value", F.col("__parts")[2].try_cast("double"))
+        .where(F.col("metric_value").isNotNull())
+    )
+    kept = [F.col(c) for c in lines.columns if c not in ("name", "labels", "metric_value")]
+    return samples.select(
+        *kept, F.col("__parts")[1].alias("name"), _label_map(F.col("__parts")[3]).alias("labels"), "metric_value"
     )
-    return samples.where(F.col("metric_value").isNotNull())
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
@@ -143,54 +159,69 @@ def connector_states(documents: DataFrame, text: str = "value") -> DataFrame:
     )
 
 
-def nesting_depth(text: Column) -> Column:
-    """How deep the objects and arrays of a JSON text lie in each other."""
-    bare = F.regexp_replace(text, _QUOTED, "")
-    steps = F.transform(
-        F.regexp_extract_all(bare, F.lit(r"([\[\]{}])"), F.lit(1)), lambda c: F.when(c.isin("{", "["), 1).otherwise(-1)
+#: Levels that the first pass opens, and most of a later one; what lies deeper goes to the next pass.
+FIRST_LEVELS, MOST_LEVELS = 6, 24
+
+
+def _opened(level: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep..., path, v) one level further down."""
+    opened = level.lateralJoin(
+        level.sparkSession.tvf.variant_explode_outer(F.when(_is_nested("v"), F.col("v")).outer())
     )
-    walked = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), F.lit(0).alias("top")),
-        lambda a, s: F.struct((a["at"] + s).alias("at"), F.greatest(a["top"], a["at"] + s).alias("top")),
+    step = F.coalesce(F.col("key"), F.col("pos").cast("string"))
+    return opened.select(
+        *keep,
+        F.when(step.isNull(), F.col("path"))
+        .when(F.col("path") == "", step)
+        .otherwise(F.concat_ws(".", "path", step))
+        .alias("path"),
+        F.coalesce("value", "v").alias("v"),
+    )
+
+
+def _leaf_number() -> Column:
+    """The number of a leaf ``v``; null for other leaves and for what is nested still."""
+    return F.when(
+        F.schema_of_variant("v").rlike(r"^(BIGINT|FLOAT|DOUBLE|DECIMAL.*|STRING)$"),
+        F.trim(F.try_variant_get("v", "$", "string")).try_cast("double"),
     )
-    return walked["top"]
 
 
 def flatten_numeric_paths(documents: DataFrame, text: str, depth: int | None = None) -> DataFrame:
     """Every numeric leaf of nested JSON documents as (path, number).
 
-    Texts that read as numbers count, booleans do not. Each level opens the
-    objects and arrays left, in one chain over the parsed value. The number of levels is
-    that of the deepest document, or ``depth``; documents nested deeper than a given
-    ``depth`` fail the job instead of losing leaves.
+    Texts that read as numbers count, booleans do not. Each level opens the objects and arrays
+    left, in one chain over the parsed value. With ``depth`` the chain has that many levels,
+    and documents nested deeper fail the job instead of losing leaves. Without it, passes of
+    some levels write the leaves they reach and hand the rest on: a document is parsed
+    once, and only what lies deeper is read again. Texts that are no JSON have no leaves.
     """
-    spark = documents.sparkSession
-    if depth is None:
-        depth = documents.agg(F.max(nesting_depth(F.col(text)))).first()[0] or 0
     keep = [c for c in documents.columns if c != text]
     level = documents.select(*keep, F.lit("").alias("path"), F.try_parse_json(text).alias("v"))
-    for _ in range(depth):
-        opened = level.lateralJoin(
-            spark.tvf.variant_explode_outer(F.when(_is_nested("v"), F.col("v")).outer())
-        )
-        step = F.coalesce(F.col("key"), F.col("pos").cast("string"))
-        level = opened.select(
-            *keep,
-            F.when(step.isNull(), F.col("path"))
-            .when(F.col("path") == "", step)
-            .otherwise(F.concat_ws(".", "path", step))
-            .alias("path"),
-            F.coalesce("value", "v").alias("v"),
-        )
-    number = F.when(
-        _is_nested("v"),
-        F.raise_error(F.lit(f"document nested deeper than {depth}")).cast("double"),
-    ).when(
-        F.schema_of_variant("v").rlike(r"^(BIGINT|FLOAT|DOUBLE|DECIMAL.*|STRING)$"),
-        F.trim(F.try_variant_get("v", "$", "string")).try_cast("double"),
-    )
-    return level.select(*keep, "path", number.alias("number")).where(F.col("number").isNotNull())
+    if depth is not None:
+        for _ in range(depth):
+            level = _opened(level, keep)
+        too_deep = F.raise_error(F.lit(f"document nested deeper than {depth}")).cast("double")
+        number = F.when(_is_nested("v"), too_deep).otherwise(_leaf_number())
+        return level.select(*keep, "path", number.alias("number")).where(F.col("number").isNotNull())
+
+    leaves: DataFrame | None = None
+    levels = FIRST_LEVELS
+    while True:
+        for _ in range(levels):
+            level = _opened(level, keep)
+        levels = min(2 * levels, MOST_LEVELS)
+        reached = level.select(
+            *keep, "path", _leaf_number().alias("number"), F.when(_is_nested("v"), F.col("v")).alias("v")
+        ).where(F.col("number").isNotNull() | F.col("v").isNotNull())
+        path = scratch_dir(documents.sparkSession, "json-leaves")
+        reached.write.parquet(path)
+        stored = documents.sparkSession.read.schema(reached.schema).parquet(path)
+        found = stored.where(F.col("number").isNotNull()).select(*keep, "path", "number")
+        leaves = found if leaves is None else leaves.unionByName(found)
+        level = stored.where(F.col("v").isNotNull()).select(*keep, "path", "v")
+        if level.isEmpty():
+            return leaves
 
 
 def _is_nested(v: str) -> Column:

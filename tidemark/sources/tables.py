@@ -6,6 +6,11 @@
     <root>/base/epoch=E/upto=B           last image per key up to B (compacted)
     <root>/base_commits/epoch=E/upto=B   one row, written after the base
     <root>/commits/epoch=E/batch=B       one row, written last
+    <root>/gate/epoch=E/batch=B          admission state of the keys of the batch
+    <root>/isolated/epoch=E/batch=B      records that the gate keeps apart
+    <root>/patches/epoch=E/batch=P       row images from outside the stream, by patch
+    <root>/repairs, repair_letters/...   attempts of a patch and what failed in it
+    <root>/patch_commits/epoch=E/batch=P one row, written after the patch
 
 A batch or base without its ledger row is invisible. Writing an uncommitted batch again
 replaces its folders, so a retried micro-batch cannot double its rows; a committed one is
@@ -19,12 +24,22 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.state import latest_per_key
-from tidemark.schemas import CHANGE, COMMIT, DEAD_LETTER, DELETE, ORDER_COLUMNS
+from tidemark.schemas import (
+    CHANGE,
+    COMMIT,
+    DEAD_LETTER,
+    DELETE,
+    GATE,
+    ISOLATED,
+    ORDER_COLUMNS,
+    PATCH_COMMIT,
+    REPAIR,
+)
 
 _PARTS = [
     T.StructField("epoch", T.IntegerType(), False),
@@ -36,6 +51,12 @@ DATASETS = {
     "current": T.StructType([*CHANGE.fields, *_PARTS]),
     "dead_letters": T.StructType([*DEAD_LETTER.fields, *_PARTS]),
     "commits": T.StructType([*COMMIT.fields, *_PARTS]),
+    "gate": T.StructType([*GATE.fields, *_PARTS]),
+    "isolated": T.StructType([*ISOLATED.fields, *_PARTS]),
+    "patches": T.StructType([*CHANGE.fields, *_PARTS]),
+    "repairs": T.StructType([*REPAIR.fields, *_PARTS]),
+    "repair_letters": T.StructType([*DEAD_LETTER.fields, *_PARTS]),
+    "patch_commits": T.StructType([*PATCH_COMMIT.fields, *_PARTS]),
     "base": T.StructType([*CHANGE.fields, *_BASE_PARTS]),
     "base_commits": T.StructType([T.StructField("rows", T.LongType(), False), *_BASE_PARTS]),
 }
@@ -73,11 +94,27 @@ class TableSet:
     def commits(self) -> DataFrame:
         return self.scan("commits").where(F.col("epoch") == self.epoch)
 
+    def newest_commit(self) -> tuple[int, dict[str, int]]:
+        """Newest committed batch id, -1 before the first commit, and the offsets after it."""
+        newest = self.commits().agg(F.max_by(F.struct("batch", "offsets"), "batch").alias("c")).first().c
+        return (_NOTHING, {}) if newest is None else (newest.batch, dict(newest.offsets))
+
     def last_batch(self) -> int:
         """Newest committed batch id, -1 before the first commit."""
         newest = self.commits().agg(F.max("batch").alias("b")).first().b
         return _NOTHING if newest is None else newest
 
+    def patch_commits(self) -> DataFrame:
+        return self.scan("patch_commits").where(F.col("epoch") == self.epoch)
+
+    def last_patch(self, upto: int | None = None) -> int:
+        """Newest committed patch that a snapshot shows, -1 if it shows none."""
+        rows = self.patch_commits()
+        if upto is not None:
+            rows = rows.where(F.col("after_batch") <= F.lit(upto))
+        newest = rows.agg(F.max("batch").alias("p")).first().p
+        return _NOTHING if newest is None else newest
+
     def snapshot_history(self) -> DataFrame:
         """Snapshots ordered by commit time, then id."""
         return self.commits().select(
@@ -94,8 +131,18 @@ class TableSet:
             (F.col("epoch") == self.epoch) & (F.col("batch") <= F.lit(upto))
         )
 
+    def patched(self, dataset: str, upto: int | None = None) -> DataFrame:
+        """Rows of committed patches. They commit in order, so readers prune folders by the newest."""
+        newest = self.last_patch(upto)
+        return self.scan(dataset).where((F.col("epoch") == self.epoch) & (F.col("batch") <= F.lit(newest)))
+
+    def _with_patches(self, images: DataFrame, upto: int | None) -> DataFrame:
+        if self.last_patch(upto) == _NOTHING:
+            return images
+        return images.unionByName(self.patched("patches", upto).select(*images.columns))
+
     def changelog(self, upto: int | None = None) -> DataFrame:
-        return self.committed("changelog", upto)
+        return self._with_patches(self.committed("changelog", upto), upto)
 
     def dead_letters(self) -> DataFrame:
         """Dead letters, once per record however often its delivery was repeated."""
@@ -126,7 +173,8 @@ class TableSet:
                 (F.col("epoch") == self.epoch) & (F.col("upto") == F.lit(start))
             )
             images = base.select(*columns).unionByName(images)
-        return latest_per_key(images)
+        # a base may hold some of the patches: a position occurs once in what follows anyway
+        return latest_per_key(self._with_patches(images, upto))
 
     def current(self, upto: int | None = None) -> DataFrame:
         """Live rows, newest snapshot or the one given (time travel)."""
@@ -151,25 +199,50 @@ class TableSet:
 
     def offsets(self) -> dict[str, int]:
         """Next offset per ``topic:partition`` after the newest commit."""
-        newest = self.commits().where(F.col("batch") == self.last_batch()).select("offsets").first()
-        return dict(newest.offsets) if newest else {}
-
-    def commit(self, batch_id: int, changelog_rows: int, dead_rows: int, offsets: dict[str, int]) -> None:
-        """Make a batch visible; ``offsets`` are added to those of the commit before."""
-        offsets = {**self.offsets(), **offsets}
-        pairs = [F.lit(x) for item in sorted(offsets.items()) for x in item]
-        vector = F.create_map(*pairs) if pairs else F.create_map()
+        return self.newest_commit()[1]
+
+    def _write_row(self, dataset: str, number: int, schema: T.StructType, values: dict[str, Column]) -> None:
+        row = self.spark.range(1).coalesce(1).select(*[values[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
+        self.write_part(dataset, number, row)
+
+    def commit(
+        self,
+        batch_id: int,
+        changelog_rows: int,
+        dead_rows: int,
+        offsets: dict[str, int],
+        before: dict[str, int] | None = None,
+    ) -> None:
+        """Make a batch visible; ``offsets`` are added to those of the commit ``before``."""
+        before = self.offsets() if before is None else before
         values = {
             "batch_id": F.lit(batch_id),
             "committed_at_ms": F.lit(int(time.time() * 1000)),
-            "offsets": vector,
+            "offsets": _vector({**before, **offsets}),
             "changelog_rows": F.lit(changelog_rows),
             "dead_letter_rows": F.lit(dead_rows),
         }
-        row = self.spark.range(1).coalesce(1).select(
-            *[values[f.name].cast(f.dataType).alias(f.name) for f in COMMIT.fields]
-        )
-        self.write_part("commits", batch_id, row)
+        self._write_row("commits", batch_id, COMMIT, values)
+
+    def commit_patch(
+        self, patch: int, kind: str, name: str, rows: int, low: dict[str, int] | None = None, high: dict[str, int] | None = None
+    ) -> None:
+        """Make a patch visible from the newest batch on; ``low`` and ``high`` are marks in the log."""
+        values = {
+            "kind": F.lit(kind),
+            "name": F.lit(name),
+            "committed_at_ms": F.lit(int(time.time() * 1000)),
+            "after_batch": F.lit(self.last_batch()),
+            "rows": F.lit(rows),
+            "low": _vector(low or {}),
+            "high": _vector(high or {}),
+        }
+        self._write_row("patch_commits", patch, PATCH_COMMIT, values)
+
+
+def _vector(offsets: dict[str, int]) -> Column:
+    pairs = [F.lit(x) for item in sorted(offsets.items()) for x in item]
+    return F.create_map(*pairs) if pairs else F.create_map()
 
 
 def latest_snapshots(histories: DataFrame, expected: DataFrame) -> DataFrame:

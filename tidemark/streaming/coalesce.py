@@ -1,80 +1,46 @@
-"""Hold the newest change per key until the key has been quiet for a while."""
+"""Hold the newest change per key until the key has been quiet for a while.
+
+A quiet period is the gap of a session window over arrival times: each change of a key extends
+its session, and when the gap has passed the session closes with the newest change of the key.
+Sessions live in the state store of the JVM, one row per pending key, and changes of a key and
+map task are merged before the shuffle. A clock stream of one row a second lets time pass
+while no change arrives; it has a session of its own under a null key, which the sink leaves out.
+"""
 
 from __future__ import annotations
 
-import sys
 import time
-from collections.abc import Iterator
 
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.state import ARRIVAL, latest_per_key
 from tidemark.schemas import CHANGE
 
-# Workers get this module with the job, so they need no installed package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 _FIELDS = CHANGE.fieldNames()
-_POSITION = [_FIELDS.index(c) for c in ARRIVAL]
-
-
-def _newest_per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Map-side combine: one row per key and Arrow batch goes into the shuffle."""
-    for batch in batches:
-        yield batch.sort_values(list(ARRIVAL)).drop_duplicates("order_id", keep="last")
-
-
-class QuietPeriod(StatefulProcessor):
-    """State per key: the newest change and the time it is due. Each arrival moves the time."""
-
-    def __init__(self, quiet_ms: int) -> None:
-        self.quiet_ms = quiet_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.pending = handle.getValueState("pending", CHANGE)
-        self.due = handle.getValueState("due", "at long")
-
-    def handleInputRows(self, key, rows, timerValues):
-        newest = tuple(self.pending.get()) if self.pending.exists() else None
-        for row in rows:
-            candidate = tuple(row[name] for name in _FIELDS)
-            if newest is None or [candidate[i] for i in _POSITION] >= [newest[i] for i in _POSITION]:
-                newest = candidate
-        if self.due.exists():
-            self.handle.deleteTimer(self.due.get()[0])
-        at = timerValues.getCurrentProcessingTimeInMs() + self.quiet_ms
-        self.handle.registerTimer(at)
-        self.pending.update(newest)
-        self.due.update((at,))
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.pending.exists():
-            values = tuple(self.pending.get())
-            self.pending.clear()
-            self.due.clear()
-            yield Row(**dict(zip(_FIELDS, values, strict=True)))
-
-    def close(self) -> None:
-        pass
+# Sessions of a hot key are merged where they arise, not only after the shuffle.
+LOCAL_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 
 
 def coalesce_changes(images: DataFrame, quiet_ms: int) -> DataFrame:
     """Streaming images in, the newest image per key out after ``quiet_ms`` without a change.
 
     A key that speaks again after its quiet period comes out again, so the sink
-    has to be a keyed upsert. Bounded inputs use ``latest_per_key`` instead.
+    has to be a keyed upsert. Bounded inputs use ``latest_per_key`` instead. Rows with a null
+    key are the clock's.
     """
     if quiet_ms <= 0:
         raise ValueError("quiet_ms must be positive")
-    combined = images.select(*_FIELDS).mapInPandas(_newest_per_batch, CHANGE)
-    return combined.groupBy("order_id").transformWithState(
-        QuietPeriod(quiet_ms), CHANGE, "Update", "processingTime"
-    )
+    spark = images.sparkSession
+    spark.conf.set(LOCAL_MERGE, "true")
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).option("numPartitions", 1).load()
+    ticks = clock.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in CHANGE.fields])
+    timed = images.select(*_FIELDS).unionByName(ticks).withColumn("arrived", F.current_timestamp())
+    session = F.session_window("arrived", f"{quiet_ms} milliseconds")
+    newest = F.max_by(F.struct(*_FIELDS), F.struct(*ARRIVAL)).alias("newest")
+    closed = timed.withWatermark("arrived", "0 seconds").groupBy("order_id", session).agg(newest)
+    return closed.select("newest.*")
 
 
 def start_coalesced(
@@ -82,15 +48,15 @@ def start_coalesced(
 ) -> StreamingQuery:
     """Write coalesced changes below ``path``, one replaceable folder per batch.
 
-    Processing-time timers need a timed trigger and an explicit stop.
+    Quiet periods end by the clock, so the query runs until it is stopped.
     """
 
     def write(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        df.where(F.col("order_id").isNotNull()).write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
     return (
         coalesce_changes(images, quiet_ms)
-        .writeStream.outputMode("update")
+        .writeStream.outputMode("append")
         .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(processingTime=interval)
@@ -98,8 +64,28 @@ def start_coalesced(
     )
 
 
+def pending_keys(query: StreamingQuery) -> int | None:
+    """Keys whose quiet period runs, after the newest batch; None before the first one."""
+    progress = query.lastProgress
+    if not progress or not progress["stateOperators"]:
+        return None
+    return max(0, progress["stateOperators"][0]["numRowsTotal"] - 1)  # without the clock's session
+
+
+def all_quiet(query: StreamingQuery) -> bool:
+    """True if the newest batch read no change and no key is pending: what has come in has come out.
+
+    Looks at the progress report only.
+    """
+    progress = query.lastProgress
+    if not progress or pending_keys(query) != 0:
+        return False
+    seen = [s for s in progress["sources"] if not s["description"].startswith("RateStream")]
+    return progress["batchId"] > 0 and all(s["numInputRows"] == 0 for s in seen)
+
+
 def stop_between_batches(query: StreamingQuery) -> None:
-    """Stop a timer-driven query while it idles, so that no batch is cut off half way."""
+    """Stop a clock-driven query while it idles, so that no batch is cut off half way."""
     while query.isActive and query.status["isTriggerActive"]:
         time.sleep(0.02)
     query.stop()

@@ -18,6 +18,7 @@ from tidemark.operators.decode import (
 )
 from tidemark.operators.state import latest_per_key
 from tidemark.sources.tables import TableSet
+from tidemark.streaming import gate
 
 FAULT_POINTS = ("before_write", "between_writes", "before_commit", "after_commit")
 FaultHook = Callable[[str, int], None]
@@ -37,35 +38,64 @@ def fault_once(point: str, batch_id: int) -> FaultHook:
     return hook
 
 
-def write_batch(tables: TableSet, records: DataFrame, batch_id: int, fault: FaultHook | None = None) -> None:
-    """One commit. Running it again before the commit replaces what it wrote, afterwards it does nothing."""
+def write_batch(
+    tables: TableSet, records: DataFrame, batch_id: int, fault: FaultHook | None = None, gated: bool = False
+) -> None:
+    """One commit. Running it again before the commit replaces what it wrote, afterwards it does nothing.
+
+    With ``gated`` the records of keys that the admission gate rejects go to ``isolated``.
+    """
     reached = fault or (lambda point, batch: None)
-    if batch_id <= tables.last_batch():
+    last, offsets = tables.newest_commit()
+    if batch_id <= last:
         return
     outcomes = decode(records, tombstones=True)
-    # only dead letters need the bytes again
-    bytes_of = {c: F.when(F.col("error").isNotNull(), F.col(c)) for c in ("key", "value")}
+    # dead letters need the bytes again, and so do records that a gate may keep apart
+    needed = F.col("error").isNotNull() | F.lit(gated)
+    bytes_of = {c: F.when(needed, F.col(c)) for c in ("key", "value")}
     decoded = outcomes.withColumns(bytes_of).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = decoded
     try:
         reached("before_write", batch_id)
-        images = changes(decoded)
+        if gated:
+            tables.write_part("gate", batch_id, gate.next_state(tables, gate.gate_rows(decoded), batch_id))
+            state = tables.scan("gate").where((F.col("epoch") == tables.epoch) & (F.col("batch") == batch_id))
+            kept = gate.split(decoded, state).persist(StorageLevel.MEMORY_AND_DISK)
+            apart = kept.where(~F.col("admitted") & (F.col("image.image_seq") == 0))
+            tables.write_part("isolated", batch_id, apart)
+            admitted = kept.where("admitted")
+        else:
+            admitted = kept
+        images = changes(admitted)
         tables.write_part("changelog", batch_id, images)
         reached("between_writes", batch_id)
         tables.write_part("current", batch_id, latest_per_key(drop_update_before(images)))
-        counts = decoded.agg(F.count("image").alias("images"), F.count("error").alias("errors")).first()
-        # a tombstone moves the position too; one row per log partition
-        ends = decoded.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("next_offset")).collect()
-        if counts.errors:
+        # one row per log partition; a tombstone moves the position too, and so does a record kept apart
+        mine = F.col("admitted") if gated else F.lit(True)
+        ends = (
+            kept.groupBy("topic", "partition")
+            .agg(
+                (F.max("offset") + 1).alias("next_offset"),
+                F.count(F.when(mine, F.col("image"))).alias("images"),
+                F.count("error").alias("errors"),
+            )
+            .collect()
+        )
+        errors = sum(r.errors for r in ends)
+        if errors:
             tables.write_part("dead_letters", batch_id, dead_letters(decoded))
         reached("before_commit", batch_id)
         tables.commit(
             batch_id,
-            counts.images,
-            counts.errors,
+            sum(r.images for r in ends),
+            errors,
             {f"{r.topic}:{r.partition}": r.next_offset for r in ends},
+            offsets,
         )
         reached("after_commit", batch_id)
     finally:
+        if gated:
+            kept.unpersist()
         decoded.unpersist()
 
 
@@ -75,11 +105,12 @@ def start_ingest(
     checkpoint: str,
     trigger: dict | None = None,
     fault: FaultHook | None = None,
+    gated: bool = False,
 ) -> StreamingQuery:
     """Start the job. The checkpoint remembers the position; keep it to resume."""
     tables.ensure()
     return (
-        log.writeStream.foreachBatch(lambda df, batch: write_batch(tables, df, batch, fault))
+        log.writeStream.foreachBatch(lambda df, batch: write_batch(tables, df, batch, fault, gated))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
@@ -93,10 +124,11 @@ def run_ingest(
     restarts: int = 3,
     pause_seconds: float = 3.0,
     fault: FaultHook | None = None,
+    gated: bool = False,
 ) -> int:
     """Read all available data, restarting from the checkpoint on failure; returns restarts used."""
     for attempt in range(restarts + 1):
-        query = start_ingest(log, tables, checkpoint, fault=fault)
+        query = start_ingest(log, tables, checkpoint, fault=fault, gated=gated)
         try:
             query.awaitTermination()
             return attempt

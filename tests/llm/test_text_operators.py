@@ -150,6 +150,43 @@ def test_secret_ledger_is_incremental(documents):
     assert secret_scan.scan(documents([]))[0].count() == 0
 
 
+def test_secret_increments_keep_what_was_found(documents):
+    first = documents([(1, "password=abcdefgh1"), (2, "nothing here")])
+    found, ledger = secret_scan.scan_increment(first)
+    later = documents([(1, "password=abcdefgh1"), (3, "token=abcdefgh2"), (4, "password=abcdefgh1"), (5, None)])
+    found, ledger = secret_scan.scan_increment(later, ledger, found)
+    spans = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in secret_scan.join_back(later, found).collect()}
+    assert spans == {1: [(0, 18)], 3: [(0, 15)], 4: [(0, 18)], 5: []}
+    assert ledger.groupBy("blob_id", "kind", "rule_version").count().where("count > 1").isEmpty()
+    assert [r.spans for r in secret_scan.join_back(first.where("doc_id = 2"), found).collect()] == [[]]
+    newer = [secret_scan.Rule("assign", "token=([a-z0-9]+)", 1, 8, version=2)]
+    found, ledger = secret_scan.scan_increment(later, ledger, found, newer)
+    assert [(r.kind, r.rule_version) for r in found.collect()] == [("assign", 2)]
+
+
+def test_added_rules_have_no_upper_bounds(documents):
+    jwt = "eyJ" + "a" * 9 + ".eyJ" + "b" * 9 + "." + "c" * 9
+    texts = ["https://" + "u" * 200 + ":" + "p" * 300 + "@host", f"x={jwt} {jwt},{jwt}", f"z{jwt}", "-----BEGIN " + "A" * 90 + " PRIVATE KEY-----" + "k" * 20]
+    docs = documents(list(enumerate(texts)))
+    found, _ = secret_scan.scan(docs)
+    spans = {r.doc_id: [(s.kind, s.end - s.start) for s in r.spans] for r in secret_scan.join_back(docs, found).collect()}
+    assert spans == {0: [("url", 505)], 1: [("jwt", len(jwt))] * 3, 2: [], 3: [("pem", len(texts[3]))]}
+
+
+def test_one_long_text_is_read_once(documents):
+    long = [
+        (1, "a" + " " * (1 << 20) + "b\n" + "eyJ" * (1 << 18)),
+        (2, "eyJ-" * (1 << 18) + "password=" + " " * (1 << 18) + "x" * 40),
+        (3, "-----BEGIN " + "A" * (1 << 20) + "://" + "u" * (1 << 20)),
+    ]
+    docs = documents(long)
+    rows = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert all(rows[d].n_dropped == 0 and rows[d].text == t for d, t in long)
+    found, _ = secret_scan.scan(docs)
+    spans = {r.doc_id: [s.kind for s in r.spans] for r in secret_scan.join_back(docs, found).collect()}
+    assert spans == {1: [], 2: ["assign"], 3: []}
+
+
 def test_no_python_in_native_plans(spark, sf_dir):
     from tidemark.llm.queries import QUERIES
 

@@ -16,12 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE_CLASS, ascii_lower, written
+from tidemark.llm.common import ascii_lower, written
+
+#: Fixed value of the query contract: what is stripped at the ends of a line.
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def line_key(line: Column) -> Column:
     """White space stripped at both ends, A-Z in lower case."""
-    return ascii_lower(F.regexp_replace(line, rf"^{SPACE_CLASS}+|{SPACE_CLASS}+\z", ""))
+    return ascii_lower(F.btrim(line, F.lit(SPACES)))
 
 
 def _lines(text: Column) -> Column:

@@ -88,7 +88,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    findings, _ = secret_scan.scan(docs)
+    findings, _ = secret_scan.scan_increment(docs)
     spans = F.col("spans")
     base = [r.kind for r in secret_scan.BASE_RULES]
 

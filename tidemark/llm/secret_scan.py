@@ -26,8 +26,8 @@ from tidemark.llm.common import written
 class Rule:
     """``pattern`` finds matches; those whose group ``group`` is shorter than ``shortest`` fail.
 
-    ``version`` goes up whenever the rule changes, which makes the next run scan all blobs
-    with it again.
+    ``not_after`` is a class of characters that must not come before a match. ``version`` goes up
+    whenever the rule changes, which makes the next run scan all blobs with it again.
     """
 
     kind: str
@@ -35,6 +35,11 @@ class Rule:
     group: int = 0
     shortest: int = 1
     version: int = 1
+    not_after: str = ""
+
+    @property
+    def regex(self) -> str:
+        return f"(?<!{self.not_after}){self.pattern}" if self.not_after else self.pattern
 
 
 def _either_case(words: str) -> str:
@@ -53,13 +58,14 @@ BASE_RULES = [
     Rule("hex", "[0-9a-f]{32,}"),  # what [0-9a-f]+ finds, if 32 characters or longer
 ]
 
-# Further secrets whose shape is public.
+# Further secrets whose shape is public. No part is bounded, and none can begin again inside what it
+# reads, so a rule looks at a character of a long run once.
 ADDED_RULES = [
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\x09-\x0D\x20]{16,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\x09-\x0D\x20]{16,}", version=2),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", version=2, not_after="[A-Za-z0-9_-]"),
     Rule("forge", r"gh[opsur]_[A-Za-z0-9]{30,}"),
     Rule("bearer", r"[Bb]earer\x20[A-Za-z0-9+/_.=-]{20,}"),
-    Rule("url", r"://[^\x09-\x0D\x20:/@]{1,64}:[^\x09-\x0D\x20:/@]{3,64}@"),
+    Rule("url", r"://[^\x09-\x0D\x20:/@]+:[^\x09-\x0D\x20:/@]{3,}@", version=2),
 ]
 
 RULES = BASE_RULES + ADDED_RULES
@@ -72,15 +78,15 @@ def blob_id(text: Column) -> Column:
 def _parts(rule: Rule) -> Column:
     """array<struct<gap, size, n>>: what lies before each match, its length, its group's length."""
     text = F.col("text")
-    whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-    between = F.split(text, rule.pattern, -1)
+    whole = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
+    value = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group))
+    between = F.split(text, rule.regex, -1)
     zipped = F.arrays_zip(whole.alias("w"), value.alias("v"), between.alias("b"))
     parts = F.transform(
         F.slice(zipped, 1, F.size(whole)),
         lambda x: F.struct(F.length(x["b"]).alias("gap"), F.length(x["w"]).alias("size"), F.length(x["v"]).alias("n")),
     )
-    return F.when(text.rlike(rule.pattern), parts)
+    return F.when(text.rlike(rule.regex), parts)
 
 
 def scan(
@@ -135,6 +141,28 @@ def scan(
     )
 
 
+def scan_increment(
+    versions: DataFrame,
+    ledger: DataFrame | None = None,
+    known: DataFrame | None = None,
+    rules: list[Rule] = RULES,
+) -> tuple[DataFrame, DataFrame]:
+    """(all findings, whole ledger) after a run over ``versions``.
+
+    ``ledger`` and ``known`` are what the run before returned. Findings of rule versions that are
+    no longer in use drop out; blobs that ``versions`` does not mention keep theirs. Both results are
+    written, so that they can be joined back, stored and given to the next run.
+    """
+    found, scanned = scan(versions, ledger, rules)
+    found, scanned = written(found, "findings"), written(scanned, "ledger")
+    if ledger is not None:
+        scanned = scanned.unionByName(ledger.select(*scanned.columns))
+    if known is not None:
+        in_use = F.concat_ws(":", "kind", "rule_version").isin([f"{r.kind}:{r.version}" for r in rules])
+        found = found.unionByName(known.where(in_use).select(*found.columns))
+    return found, scanned
+
+
 def spans_of_blobs(findings: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """One row per blob with findings: ``spans``, an array ordered by start, then by rule."""
     order = F.array_position(F.array(*(F.lit(r.kind) for r in rules)), F.col("kind"))
@@ -161,10 +189,12 @@ def joined_text(spans: Column) -> Column:
 
 def _oracle() -> str:
     def rule(n: int, r: Rule) -> str:
-        pattern = r.pattern.replace("'", "''")
+        # RE2 cannot look behind: the character before is read along and the rule's text is a group.
+        lead, group = (f"(?:^|[^{r.not_after[1:-1]}])", 1) if r.not_after else ("", r.group)
+        pattern = (lead + (f"({r.pattern})" if lead else r.pattern)).replace("'", "''")
         return (
             f"SELECT doc_id, {n} AS rule, '{r.kind}' AS kind, {r.shortest} AS shortest, "
-            f"regexp_extract_all(text, '{pattern}') AS w, regexp_extract_all(text, '{pattern}', {r.group}) AS v, "
+            f"regexp_extract_all(text, '{pattern}') AS w, regexp_extract_all(text, '{pattern}', {group}) AS v, {bool(lead)} AS led, "
             f"regexp_split_to_array(text, '{pattern}') AS b FROM docs"
         )
 
@@ -173,9 +203,9 @@ def _oracle() -> str:
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 matched AS ({" UNION ALL ".join(rule(n, r) for n, r in enumerate(RULES))}),
 parts AS (
-    SELECT doc_id, rule, kind, shortest, unnest(range(1, len(w) + 1)) AS i, w, v, b FROM matched WHERE len(w) > 0
+    SELECT doc_id, rule, kind, shortest, led, unnest(range(1, len(w) + 1)) AS i, w, v, b FROM matched WHERE len(w) > 0
 ), ends AS (
-    SELECT doc_id, rule, kind, shortest, length(w[i]) AS size, length(v[i]) AS n,
+    SELECT doc_id, rule, kind, shortest, length(CASE WHEN led THEN v[i] ELSE w[i] END) AS size, length(v[i]) AS n,
            sum(length(b[i]) + length(w[i])) OVER (PARTITION BY doc_id, rule ORDER BY i) AS stop
     FROM parts
 ), spans AS (

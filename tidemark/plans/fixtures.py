@@ -550,3 +550,90 @@ def operator_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """what an operator hands in later for the failed repairs of odd orders."""
     wanted = order_operations(spark, sf_dir).where(_misrepaired() & (F.col("k") % 2 == 1))
     return wanted.select(F.lit(TOPIC).alias("topic"), "partition", "offset", _document(F.col("op")).alias("document"))
+
+
+# -- records of every kind --------------------------------------------------------
+
+RECORD_KINDS = ["parity", "schema-contract", "small-file-rewrite", "broker-restart", "offset-replay", "slo"]
+
+
+def kind_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """one record per customer with the fields of all kinds; its number decides what is wrong.
+
+    Every 41st document is cut off, every 43rd has a kind without rules.
+    """
+    c = F.col("c_custkey")
+    kind = F.element_at(F.array(*[F.lit(k) for k in RECORD_KINDS]), (c % 6 + 1).cast("int"))
+
+    def unless(n: int, right: object, wrong: object) -> Column:
+        return F.when(c % n == 0, F.lit(wrong)).otherwise(F.lit(right))
+
+    contract = F.struct(
+        F.lit("BACKWARD").alias("compatibility"), c.alias("id"), F.lit(1).alias("version"), F.struct(F.lit("record").alias("type")).alias("schema")
+    )
+    lags = F.array(F.struct(F.lit(0).alias("partition"), F.lit(0).alias("lag")), F.struct(F.lit(1).alias("partition"), unless(7, 0, 3).alias("lag")))
+    recovery = [
+        F.struct(
+            F.lit(name).alias("failure_class"), unless(29, 1.5, 0.0).alias("recovery_seconds"), F.lit(0).alias("snapshot_diff_count"),
+            F.struct(F.lit(True).alias("recovered")).alias("checks"),
+        )
+        for name in DRILLS
+    ]
+    document = F.struct(
+        F.when(kind == "slo", "B4").otherwise("B3").alias("phase"),
+        kind.alias("failure_class"),
+        F.when(c % 11 != 0, F.struct(F.lit(8).alias("cpus"))).alias("environment"),
+        F.struct(unless(13, 0, 2).alias("row_level_diff_count")).alias("parity"),
+        unless(13, 0, 2).alias("snapshot_diff_count"),
+        F.struct(F.lit(0).alias("snapshot_diff_count")).alias("reconciliation"),
+        F.struct(
+            unless(17, True, False).alias("passed"), F.lit(True).alias("old_schema_pipeline_continued"), F.lit(True).alias("pipeline_resumed"),
+            F.lit(0).alias("offset_zero_diff_count"), unless(23, 0, 1).alias("timestamp_diff_count"),
+        ).alias("summary"),
+        F.struct(
+            *(F.lit(True).alias(n) for n in ("data_file_count_decreased", "manifest_count_decreased", "median_file_size_increased")),
+            unless(19, True, False).alias("planning_latency_decreased"),
+        ).alias("checks"),
+        *(F.struct(c.alias("n")).alias(n) for n in ("before", "after", "rewrite_data_files")),
+        F.struct(
+            lags.alias("kafka_offsets"), F.struct(c.alias("id")).alias("flink_checkpoint"),
+            F.struct(c.alias("orders_current"), c.alias("orders_changelog")).alias("iceberg_snapshot_ids"),
+        ).alias("offset_checkpoint_snapshot_linkage"),
+        F.struct(
+            F.lit("AVRO").alias("format"), F.lit("BACKWARD").alias("global_compatibility"), contract.alias("key"), contract.alias("value")
+        ).alias("contracts"),
+        F.struct(
+            F.struct(F.lit(False).alias("is_compatible")).alias("compatibility_check"),
+            F.struct(unless(31, 409, 200).alias("http_status"), F.lit(True).alias("rejected")).alias("registration"),
+            F.lit(True).alias("latest_schema_unchanged"),
+        ).alias("incompatible_schema_attempt"),
+        F.struct(
+            F.struct(
+                F.lit(0).alias("source_iceberg_diff_count"), F.lit(True).alias("post_event_visible"),
+                F.struct(c.alias("id")).alias("flink_checkpoint"), lags.alias("kafka_offsets"),
+            ).alias("after_rejection")
+        ).alias("flow_continuity"),
+        F.struct(
+            F.struct(F.lit(False).alias("Running")).alias("container_killed"), F.struct(unless(23, True, False).alias("Running")).alias("container_after")
+        ).alias("fault"),
+        F.struct(F.array(c).alias("resolved_partition_offsets")).alias("timestamp_replay"),
+        F.struct(F.lit(100_000).alias("events"), F.lit(42).alias("seed")).alias("scenario"),
+        F.struct(
+            F.array(F.struct(c.alias("at")), F.struct(c.alias("at"))).alias("time_series"),
+            F.struct(
+                *(F.lit(3).alias(n) for n in ("lag_sample_count", "prometheus_lag_sample_count", "debezium_sample_count", "max_consumer_group_lag")),
+                F.array(F.lit("a"), F.lit("b")).alias("debezium_metric_names"),
+            ).alias("summary"),
+        ).alias("observability"),
+        F.struct(
+            F.struct(F.lit(10.5).alias("end_to_end_rows_per_second")).alias("throughput"),
+            F.struct(F.lit(100_000).alias("sample_count"), F.lit(5).alias("p50_ms"), unless(31, 9, 4).alias("p95_ms")).alias("freshness"),
+        ).alias("benchmark"),
+        F.array(*recovery).alias("recovery_measurements"),
+    )
+    text = F.to_json(document)
+    return table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("record-"), c.cast("string")).alias("name"),
+        F.when(c % 43 == 0, "unknown").otherwise(kind).alias("kind"),
+        F.when(c % 41 == 0, F.substring(text, 1, 100)).otherwise(text).alias("document"),
+    )

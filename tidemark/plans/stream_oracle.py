@@ -50,6 +50,19 @@ STREAM_ORACLE = {
         CAST(0 AS BIGINT) AS changed_keys, CAST(2 AS BIGINT) AS lineages, true AS resolved_after_zero, count(*) = 0 AS matches
       FROM current_rows WHERE order_id NOT IN (SELECT order_id FROM images WHERE source_ts_ms >= {HALF})
       UNION ALL SELECT 'offset 0', false, 0, 0, 0, 2, false, false""",
+    "ledger_rules": """
+      WITH c AS (SELECT c_custkey AS c, 'record-' || CAST(c_custkey AS VARCHAR) AS name, c_custkey % 6 AS k FROM customer),
+      wrong(kind, divisor, rule) AS (VALUES
+        (0, 7, 'linkage.lag'), (3, 7, 'linkage.lag'), (4, 7, 'linkage.lag'), (5, 7, 'linkage.lag'), (1, 7, 'continuity'),
+        (0, 11, 'environment'), (1, 11, 'environment'), (3, 11, 'environment'), (4, 11, 'environment'), (5, 11, 'environment'),
+        (0, 13, 'parity'), (3, 13, 'diff'), (4, 13, 'diff'), (5, 13, 'diff'),
+        (0, 17, 'summary'), (1, 17, 'summary'), (3, 17, 'summary'), (4, 17, 'summary'), (5, 17, 'summary'),
+        (1, 19, 'checks'), (2, 19, 'effect'), (3, 19, 'checks'), (4, 19, 'checks'), (5, 19, 'checks'),
+        (3, 23, 'restart'), (4, 23, 'rebuilds'), (5, 29, 'recoveries'), (1, 31, 'rejection'), (5, 31, 'freshness')),
+      kinds(k, kind) AS (VALUES (0, 'parity'), (1, 'schema-contract'), (2, 'small-file-rewrite'), (3, 'broker-restart'), (4, 'offset-replay'), (5, 'slo'))
+      SELECT name, kinds.kind, rule FROM c JOIN kinds USING (k) JOIN wrong ON wrong.kind = k AND c % divisor = 0 WHERE c % 41 <> 0 AND c % 43 <> 0
+      UNION ALL SELECT name, CASE WHEN c % 43 = 0 THEN 'unknown' ELSE kinds.kind END, 'document' FROM c JOIN kinds USING (k) WHERE c % 41 = 0
+      UNION ALL SELECT name, 'unknown', 'kind' FROM c WHERE c % 43 = 0 AND c % 41 <> 0""",
     "event_id_expectations": """
       SELECT count(*) AS source_ids, CAST(0 AS BIGINT) AS source_missing, CAST(0 AS BIGINT) AS source_unexpected,
         count(*) AS current_ids, CAST(0 AS BIGINT) AS current_missing, CAST(0 AS BIGINT) AS current_unexpected,

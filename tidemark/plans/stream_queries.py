@@ -15,6 +15,7 @@ from tidemark.plans.queries import FILES_PER_BATCH, RECORDS_PER_FILE, _half_time
 from tidemark.schemas import ORDER_COLUMNS
 from tidemark.session import scratch_dir
 from tidemark.sources import cdc_log, checkpoints, tables
+from tidemark.sources.ledger_rules import RULES, validate_by_rules
 from tidemark.streaming import dedup, gate, jobs, repairs, snapshot
 
 SLICES = 6  # appends to a log that arrives in order of time
@@ -228,6 +229,12 @@ def rebuild_audit(spark, sf_dir):
     return rows[0].unionByName(rows[1])
 
 
+@query
+def ledger_rules(spark, sf_dir):
+    """Rules of six kinds of records that the records break."""
+    return validate_by_rules(fx.kind_records(spark, sf_dir), RULES)
+
+
 @query
 def event_id_expectations(spark, sf_dir):
     """Visible ids and their changelog against the id ranges of the workload's commit batches."""

@@ -637,3 +637,44 @@ def kind_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(c % 43 == 0, "unknown").otherwise(kind).alias("kind"),
         F.when(c % 41 == 0, F.substring(text, 1, 100)).otherwise(text).alias("document"),
     )
+
+
+def nested_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F9n: nested contracts, two versions per part; the part number decides what the second changes."""
+    address = '{"type":"record","name":"Address","namespace":"shop","fields":[{"name":"street","type":"string"},{"name":"zip","type":"%s"}%s]}'
+    state = '{"type":"enum","name":"State","symbols":[%s]%s}'
+
+    def contract(address_: str, home: str = '"shop.Address"', tags: str = "string", state_: str = state % ('"A","B"', ""), tail: str = "") -> str:
+        return (
+            '{"type":"record","name":"Part","fields":['
+            f'{{"name":"id","type":"long"}},{{"name":"origin","type":{address_}}},{{"name":"home","type":{home}}},'
+            f'{{"name":"tags","type":{{"type":"array","items":"{tags}"}}}},{{"name":"state","type":{state_}}},'
+            f'{{"name":"next","type":["null","Part"],"default":null}}{tail}]}}'
+        )
+
+    plain = address % ("int", "")
+    first = contract(plain)
+    seconds = [
+        first.replace('"name":"Part",', "").replace('{"type":"record",', '{"name":"Part","type":"record",', 1),  # other order of keys
+        contract(address % ("long", "")),  # a nested field is promoted
+        contract(address % ("int", ',{"name":"floor","type":"int"}')),  # a nested field without default
+        contract(address % ("int", ',{"name":"floor","type":"int","default":0}')),
+        contract(plain, home='["null","shop.Address"]'),  # a place becomes a union
+        contract(plain, tags="int"),  # items of another type
+        contract(plain, state_=state % ('"A"', "")),  # a symbol is lost
+        contract(plain, state_=state % ('"A"', ',"default":"A"')),
+        contract(plain, home='"Nowhere"'),  # a reference without definition
+        contract(address % ("int", ""))[:-2],  # cut off
+        contract(plain, tail=',{"name":"size","type":{"type":"map","values":"long"},"default":{}}'),
+    ]
+    p = F.col("p_partkey")
+    second = F.element_at(F.array(*[F.lit(s) for s in seconds]), (p % len(seconds) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("part-"), p.cast("string")).alias("subject"),
+        F.inline(
+            F.array(
+                F.struct(F.lit(1).alias("version"), F.lit(first).alias("schema_json")),
+                F.struct(F.lit(2).alias("version"), second.alias("schema_json")),
+            )
+        ),
+    )

@@ -50,6 +50,30 @@ STREAM_ORACLE = {
         CAST(0 AS BIGINT) AS changed_keys, CAST(2 AS BIGINT) AS lineages, true AS resolved_after_zero, count(*) = 0 AS matches
       FROM current_rows WHERE order_id NOT IN (SELECT order_id FROM images WHERE source_ts_ms >= {HALF})
       UNION ALL SELECT 'offset 0', false, 0, 0, 0, 2, false, false""",
+    "schema_tree_evolution": """
+      SELECT 'part-' || CAST(p_partkey AS VARCHAR) AS subject, '' AS removed_fields,
+        CASE p_partkey % 11 WHEN 2 THEN 'Address.floor' WHEN 3 THEN 'Address.floor' WHEN 10 THEN 'size' ELSE '' END AS added_fields,
+        CASE p_partkey % 11 WHEN 1 THEN 'Address.zip' WHEN 4 THEN 'home' WHEN 5 THEN 'tags[]' WHEN 6 THEN 'state' WHEN 7 THEN 'state'
+          ELSE '' END AS changed_field_types,
+        CASE p_partkey % 11 WHEN 2 THEN 'Address.floor' ELSE '' END AS added_fields_without_defaults,
+        CASE p_partkey % 11 WHEN 5 THEN 'tags[]' WHEN 6 THEN 'State' WHEN 8 THEN 'home' WHEN 9 THEN '$' ELSE '' END AS unreadable,
+        p_partkey % 11 NOT IN (2, 5, 6, 8, 9) AS backward_compatible, p_partkey % 11 IN (0, 3, 10) AS passed FROM part""",
+    "schema_tree_fields": """
+      WITH s AS (SELECT 'part-' || CAST(p_partkey AS VARCHAR) AS subject, CAST(v.v AS INTEGER) AS version,
+                   CASE WHEN v.v = 1 THEN -1 ELSE p_partkey % 11 END AS k FROM part, (VALUES (1), (2)) v(v)),
+      places(path, types, position, has_default, only_k) AS (VALUES
+        ('$', 'named:$', NULL, false, NULL), ('id', 'long', 0, false, NULL), ('origin', 'named:Address', 1, false, NULL),
+        ('Address.street', 'string', 0, false, NULL), ('Address.zip', 'int', 1, false, NULL), ('home', 'named:Address', 2, false, NULL),
+        ('tags', 'array', 3, false, NULL), ('tags[]', 'string', NULL, false, NULL), ('state', 'named:State', 4, false, NULL),
+        ('next', 'named:$,null', 5, true, NULL), ('Address.floor', 'int', 2, false, 2), ('Address.floor', 'int', 2, true, 3),
+        ('size', 'map', 6, true, 10), ('size{}', 'long', NULL, false, 10))
+      SELECT subject, version, path,
+        CASE WHEN path = 'Address.zip' AND k = 1 THEN 'long' WHEN path = 'home' AND k = 4 THEN 'named:Address,null'
+             WHEN path = 'home' AND k = 8 THEN 'named:Nowhere' WHEN path = 'tags[]' AND k = 5 THEN 'int' ELSE types END AS types,
+        CAST(position AS INTEGER) AS position, has_default,
+        CASE WHEN path = 'home' AND k = 8 THEN 'unknown type Nowhere' END AS problem
+      FROM s JOIN places ON only_k IS NULL OR only_k = k WHERE k <> 9
+      UNION ALL SELECT subject, version, NULL, '', NULL, false, 'schema is not JSON' FROM s WHERE k = 9""",
     "ledger_rules": """
       WITH c AS (SELECT c_custkey AS c, 'record-' || CAST(c_custkey AS VARCHAR) AS name, c_custkey % 6 AS k FROM customer),
       wrong(kind, divisor, rule) AS (VALUES

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import id_runs
 from tidemark.functions.columns import floor_div
-from tidemark.operators import audits, epochs, state
+from tidemark.operators import audits, epochs, schema_tree, state
 from tidemark.plans import fixtures as fx
 from tidemark.plans.queries import FILES_PER_BATCH, RECORDS_PER_FILE, _half_time, _stream_tables, _text, query
 from tidemark.schemas import ORDER_COLUMNS
@@ -229,6 +229,25 @@ def rebuild_audit(spark, sf_dir):
     return rows[0].unionByName(rows[1])
 
 
+@query
+def schema_tree_evolution(spark, sf_dir):
+    """What the second version of each nested contract changes, by path."""
+    return schema_tree.evaluate_tree(schema_tree.schema_nodes(fx.nested_registry(spark, sf_dir)), 1, 2)
+
+
+@query
+def schema_tree_fields(spark, sf_dir):
+    """Fields of the nested contracts: where they stand, what may be in them, and what is wrong."""
+    nodes = schema_tree.schema_nodes(fx.nested_registry(spark, sf_dir))
+    types = F.array_join(F.array_sort(F.collect_set(F.when(F.col("node") == "type", F.col("key")))), ",")
+    return nodes.groupBy("subject", "version", "path").agg(
+        types.alias("types"),
+        F.max("position").alias("position"),
+        F.coalesce(F.max(F.when(F.col("node") == "field", F.col("has_default"))), F.lit(False)).alias("has_default"),
+        F.max("problem").alias("problem"),
+    )
+
+
 @query
 def ledger_rules(spark, sf_dir):
     """Rules of six kinds of records that the records break."""

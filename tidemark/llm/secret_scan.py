@@ -26,7 +26,8 @@ from tidemark.llm.common import written
 class Rule:
     """``pattern`` finds matches; those whose group ``group`` is shorter than ``shortest`` fail.
 
-    ``not_after`` is a class of characters that must not come before a match. ``version`` goes up
+    ``not_after`` is a class of characters that must not come before a match, which begins with the
+    text ``head``. ``version`` goes up
     whenever the rule changes, which makes the next run scan all blobs with it again.
     """
 
@@ -36,10 +37,14 @@ class Rule:
     shortest: int = 1
     version: int = 1
     not_after: str = ""
+    head: str = ""
 
     @property
     def regex(self) -> str:
-        return f"(?<!{self.not_after}){self.pattern}" if self.not_after else self.pattern
+        if not self.not_after:
+            return self.pattern
+        # The head first: only where it stands, what is before it is looked at.
+        return f"{self.head}(?<!{self.not_after}{self.head}){self.pattern.removeprefix(self.head)}"
 
 
 def _either_case(words: str) -> str:
@@ -62,7 +67,7 @@ BASE_RULES = [
 # reads, so a rule looks at a character of a long run once.
 ADDED_RULES = [
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\x09-\x0D\x20]{16,}", version=2),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", version=2, not_after="[A-Za-z0-9_-]"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", version=2, not_after="[A-Za-z0-9_-]", head="eyJ"),
     Rule("forge", r"gh[opsur]_[A-Za-z0-9]{30,}"),
     Rule("bearer", r"[Bb]earer\x20[A-Za-z0-9+/_.=-]{20,}"),
     Rule("url", r"://[^\x09-\x0D\x20:/@]+:[^\x09-\x0D\x20:/@]{3,}@", version=2),

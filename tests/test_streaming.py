@@ -181,3 +181,34 @@ def test_snapshot_summary_counts_total_and_added(spark):
     files = spark.createDataFrame([("a", 1, "deletes"), ("a", 2, "deletes"), ("a", 2, "data")], "table_name string, snapshot_id long, content string")
     row = snapshot_summary(h, files).first()
     assert (row.total_delete_files, row.added_delete_files, row.current_snapshot_id) == (2, 1, 2)
+
+
+def test_written_files_keep_their_limits(spark, tmp_path):
+    path, t = str(tmp_path / "log"), TableSet(spark, str(tmp_path / "t"), file_rows=2, row_group_bytes=1 << 16)
+    recovery_log(spark, path)
+    jobs.run_ingest(cdc_log.stream_log(spark, path), t, str(tmp_path / "cp"))
+    maintenance.compact_current(t)
+    again = t.next_epoch()
+    assert (again.file_rows, again.epoch) == (2, 1)
+    for dataset in ("changelog", "base"):
+        per_file = t.scan(dataset).groupBy(F.col("_metadata.file_path")).count().collect()
+        assert per_file and max(r["count"] for r in per_file) <= 2
+        assert t.files(dataset).count() >= len(per_file)
+    assert maintenance.planned_scan_tasks(t.scan("base")) >= 1
+    assert {r.dataset for r in maintenance.table_files(t, ["changelog", "base"]).collect()} == {"changelog", "base"}
+
+
+def test_progress_of_every_batch_is_kept(spark, tmp_path):
+    path, t = str(tmp_path / "log"), TableSet(spark, str(tmp_path / "t"))
+    recovery_log(spark, path)
+    sampler = progress.ProgressSampler(spark, str(tmp_path / "samples"))
+    spark.streams.addListener(sampler)
+    try:
+        jobs.run_ingest(cdc_log.stream_log(spark, path, max_files_per_trigger=1), t, str(tmp_path / "cp"))
+        jobs.wait_until(lambda: spark.read.schema(progress.SAMPLE_DDL).parquet(str(tmp_path / "samples")).count() >= 3, "samples", 60)
+    finally:
+        spark.streams.removeListener(sampler)
+    samples = spark.read.parquet(str(tmp_path / "samples"))
+    assert samples.where("error IS NULL").agg(F.sum("input_rows")).first()[0] == 7
+    broken = progress._sample(0, {"batchId": 1})
+    assert broken[-1].startswith("KeyError")

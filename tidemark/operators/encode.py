@@ -42,13 +42,20 @@ def envelope(
     source: dict[str, Column] | None = None,
 ) -> Column:
     """Envelope JSON as bytes. ``source`` overrides or extends the source block."""
+    nothing = F.lit(None).cast("string")
     block = {
+        "version": F.lit("1"),
         "connector": F.lit("mysql"),
         "name": F.lit("orders"),
         "ts_ms": ts_ms,
         "snapshot": F.when(op == "r", F.lit("true")).otherwise(F.lit("false")),
         "db": F.lit("shop"),
         "table": F.lit("orders"),
+        "server_id": F.lit(1),
+        "gtid": nothing,
+        "file": F.lit("changes"),
+        "pos": F.lit(0),
+        "row": F.lit(0),
         **(source or {}),
     }
     document = F.struct(
@@ -57,6 +64,7 @@ def envelope(
         F.struct(*[v.alias(k) for k, v in block.items()]).alias("source"),
         op.alias("op"),
         ts_ms.alias("ts_ms"),
+        nothing.alias("transaction"),
     )
     return F.to_json(document, {"ignoreNullFields": "false"}).cast("binary")
 

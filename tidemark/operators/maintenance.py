@@ -43,21 +43,20 @@ def file_stats(files: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return both.groupBy(*group).agg(*[F.max(c).alias(c) for c in measured]).drop("__all")
 
 
-def data_files(df: DataFrame) -> DataFrame:
-    """Files a stored DataFrame reads, with their sizes; the folder stands for the manifest."""
-    return (
-        df.select(
-            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size_bytes")
-        )
-        .distinct()
-        .withColumn("manifest", F.regexp_replace("path", "/[^/]*$", ""))
-    )
-
-
 def planned_scan_tasks(df: DataFrame) -> int:
+    """Tasks that a scan of a stored DataFrame starts with."""
     return df.rdd.getNumPartitions()
 
 
+def table_files(tables: TableSet, datasets: Sequence[str]) -> DataFrame:
+    """``file_stats`` of the stored files of each dataset, by listing."""
+    listed = None
+    for name in datasets:
+        part = tables.files(name).select(F.lit(name).alias("dataset"), "path", "size_bytes", "manifest")
+        listed = part if listed is None else listed.unionAll(part)
+    return file_stats(listed, ["dataset"])
+
+
 def compaction_plan(
     files: DataFrame,
     keys: Sequence[str],
@@ -94,22 +93,16 @@ def compact_current(tables: TableSet, target_bytes: int = TARGET_FILE_BYTES) ->
     upto = tables.last_batch()
     if upto < 0:
         raise ValueError("nothing committed to compact")
-    before = data_files(tables.committed("current"))
+    before = tables.files("current").where(F.col("number") <= upto)
     stats = before.agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes")
     ).first()
     files = max(1, math.ceil(stats.bytes / target_bytes))
     path = f"{tables.root}/base/epoch={tables.epoch}/upto={upto}"
-    (
-        tables.latest_images(upto)
-        .repartitionByRange(files, "order_id")
-        .sortWithinPartitions("order_id")
-        .select(*CHANGE.fieldNames())
-        .write.mode("overwrite")
-        .parquet(path)
-    )
+    images = tables.latest_images(upto).repartitionByRange(files, "order_id").sortWithinPartitions("order_id")
+    tables.write_rows(images.select(*CHANGE.fieldNames()), path)
     base = tables.spark.read.schema(CHANGE).parquet(path)
-    added = data_files(base).count()
+    added = tables.files("base").where(F.col("number") == upto).count()
     tables.commit_base(upto, base.count())
     return {
         "rewritten_files": stats.n,

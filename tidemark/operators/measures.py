@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -420,6 +420,18 @@ def observability_summary(samples: DataFrame) -> DataFrame:
     )
 
 
+def observed_metric_names(metrics: DataFrame, families: Mapping[str, Column]) -> DataFrame:
+    """One row: per family the distinct names of its metrics, sorted and comma separated.
+
+    ``families`` maps a name to the condition on a metric sample. The names of an exporter are a
+    fixed set, however many samples there are.
+    """
+    seen = metrics.groupBy("name").agg(*[F.bool_or(F.coalesce(hit, F.lit(False))).alias(f"__{f}") for f, hit in families.items()])
+    return seen.agg(
+        *[F.array_join(F.array_sort(F.collect_list(F.when(F.col(f"__{f}"), F.col("name")))), ",").alias(f) for f in families]
+    )
+
+
 def recovery_by_class(runs: DataFrame) -> DataFrame:
     """Slowest recovery per failure class, and whether every run ended at zero diff."""
     return runs.groupBy("failure_class").agg(

@@ -94,6 +94,21 @@ STREAM_ORACLE = {
         count(*) + count(*) FILTER (event_id % 2 = 0) AS changelog_rows, count(*) + count(*) FILTER (event_id % 2 = 0) AS expected_rows,
         true AS current_sets_match, true AS changelog_set_match, true AS changelog_count_match, true AS consistent
       FROM events""",
+    "observed_metric_names": """
+      WITH n AS (SELECT DISTINCT CASE event_id % 6 WHEN 3 THEN 'source_' || event_type || '_records_lag_max'
+          WHEN 5 THEN 'debezium_' || event_type || '_TotalNumberOfEventsSeen' END AS name FROM events)
+      SELECT string_agg(name, ',' ORDER BY encode(name)) FILTER (name LIKE 'debezium%') AS connector_metric_names,
+        string_agg(name, ',' ORDER BY encode(name)) FILTER (name LIKE '%lag_max') AS lag_metric_names FROM n""",
+    "current_in_key_order": _w(IMAGES, CURRENT) + f"SELECT {ROW} FROM current_rows ORDER BY order_id",
+    "rows_conform": """
+      SELECT o_orderstatus, count(*) AS rows, count(*) FILTER (o_orderkey % 7 <> 0) AS conforming FROM orders GROUP BY o_orderstatus""",
+    "stored_files": _w(IMAGES)
+    + """SELECT 'changelog' AS dataset, count(*) AS rows, true AS within_limit, true AS all_listed, CAST(1 AS BIGINT) AS folders FROM images
+      UNION ALL SELECT d, (SELECT count(DISTINCT order_id) FROM images), true, true, 1 FROM (VALUES ('current'), ('base')) t(d)""",
+    "stream_savepoint": _w(SOURCE) + f"SELECT {ROW} FROM source",
+    "written_run_record": _w(SOURCE)
+    + """SELECT 'record-1' AS name, count(*) AS rows, CAST(0 AS BIGINT) AS snapshot_diff_count,
+        'drill.checks,drill.environment,drill.linkage' AS broken FROM source""",
     "visible_in_workload": """
       SELECT snapshot_id, count(*) AS events, max(event_id) AS last_event_id FROM (
         SELECT event_id, event_id // 500 + 1 AS snapshot_id FROM events

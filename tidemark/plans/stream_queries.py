@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import id_runs
 from tidemark.functions.columns import floor_div
-from tidemark.operators import audits, epochs, schema_tree, state
+from tidemark.operators import audits, contracts, diff, epochs, maintenance, measures, schema_tree, state
 from tidemark.plans import fixtures as fx
 from tidemark.plans.queries import FILES_PER_BATCH, RECORDS_PER_FILE, _half_time, _stream_tables, _text, query
-from tidemark.schemas import ORDER_COLUMNS
+from tidemark.schemas import ORDER_COLUMNS, RUN_FIELDS
 from tidemark.session import scratch_dir
-from tidemark.sources import cdc_log, checkpoints, tables
+from tidemark.sources import cdc_log, checkpoints, reports, runs, tables
 from tidemark.sources.ledger_rules import RULES, validate_by_rules
 from tidemark.streaming import dedup, gate, jobs, repairs, snapshot
 
@@ -272,3 +272,82 @@ def visible_in_workload(spark, sf_dir):
     runs = id_runs.cut_runs(batches, "first_event_id", "last_event_id")
     kept = id_runs.within_runs(visible.unionByName(strays), "event_id", runs)
     return kept.groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("events"), F.max("event_id").alias("last_event_id"))
+
+
+@query
+def observed_metric_names(spark, sf_dir):
+    """Names of the connector's metrics and of the lag metrics among all samples."""
+    name = F.lower("name")
+    families = {"connector_metric_names": name.startswith("debezium_"), "lag_metric_names": F.contains(name, F.lit("records_lag"))}
+    return measures.observed_metric_names(reports.parse_metrics(fx.metric_lines(spark, sf_dir)), families)
+
+
+@query
+def current_in_key_order(spark, sf_dir):
+    """The current rows as a sorted result; the order is the feature."""
+    return _text(state.current_state(fx.changelog_table(spark, sf_dir))).orderBy("order_id")
+
+
+@query
+def rows_conform(spark, sf_dir):
+    """Raw order rows that can be read as the contract's columns, per status."""
+    required = [("o_orderkey", "bigint"), ("o_custkey", "int"), ("o_orderpriority", "int")]
+    rows = fx.table(spark, sf_dir, "orders").withColumn("o_orderpriority", F.substring("o_orderpriority", 1, 1))
+    broken = rows.withColumn("o_custkey", F.when(F.col("o_orderkey") % 7 == 0, "none").otherwise(F.col("o_custkey").cast("string")))
+    return broken.groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(contracts.conforms(broken, required)).alias("conforming")
+    )
+
+
+@query
+def stored_files(spark, sf_dir):
+    """Files of a compacted stream: within the row limit, listed as the tables read them."""
+    root = scratch_dir(spark, "files")
+    limit = 1000
+    t = tables.TableSet(spark, root, file_rows=limit, row_group_bytes=1 << 20).ensure()
+    jobs.write_batch(t, fx.log_table(spark, sf_dir), 0)
+    maintenance.compact_current(t)
+    stats = maintenance.table_files(t, ["current", "changelog", "base"])
+    per_file = None
+    for name in ("current", "changelog", "base"):
+        rows = t.scan(name).groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count(F.lit(1)).alias("n"))
+        part = rows.agg(F.lit(name).alias("dataset"), F.max("n").alias("most"), F.sum("n").alias("rows"), F.count(F.lit(1)).alias("read"))
+        per_file = part if per_file is None else per_file.unionAll(part)
+    return stats.join(per_file, "dataset").select(
+        "dataset",
+        "rows",
+        (F.col("most") <= limit).alias("within_limit"),
+        (F.col("data_file_count") >= F.col("read")).alias("all_listed"),
+        F.col("manifest_count").alias("folders"),
+    )
+
+
+@query
+def stream_savepoint(spark, sf_dir):
+    """A stream stopped in the middle of the log and resumed from a copy of its checkpoint."""
+    root = scratch_dir(spark, "savepoint")
+    log, half = fx.log_table(spark, sf_dir), _half_time(spark, sf_dir)
+    t = tables.TableSet(spark, f"{root}/tables").ensure()
+    for early in (True, False):
+        part = log.where(F.col("timestamp_ms") <= half if early else F.col("timestamp_ms") > half)
+        part.repartitionByRange(FILES_PER_BATCH, "timestamp_ms", "partition").write.mode("append").parquet(f"{root}/log")
+        stream = cdc_log.stream_log(spark, f"{root}/log", max_files_per_trigger=FILES_PER_BATCH)
+        jobs.run_ingest(stream, t, f"{root}/checkpoint" if early else f"{root}/copy")
+        if early:
+            jobs.savepoint(t, f"{root}/checkpoint", f"{root}/copy")
+    return _text(t.current())
+
+
+@query
+def written_run_record(spark, sf_dir):
+    """A reconciliation written as a run record, read back from the ledger and checked."""
+    source = fx.source_orders(spark, sf_dir)
+    result = diff.reconcile(source, state.current_state(fx.changelog_table(spark, sf_dir)), ORDER_COLUMNS).first()
+    path = scratch_dir(spark, "ledger")
+    provenance = {f: "x" for f in RUN_FIELDS} | {"run_id": "run-1", "stack_versions": {"spark": spark.version}}
+    payload = {"phase": "B3", "failure_class": "offset-replay", "snapshot_diff_count": result.diff_count, "rows": result.actual_rows}
+    runs.write_run_record(spark, f"{path}/record-1", provenance, payload)
+    ledger = runs.read_run_ledger(spark, path)
+    doc = F.from_json("document", "rows BIGINT, snapshot_diff_count BIGINT")
+    broken = runs.validate_ledger(ledger).groupBy("name").agg(F.array_join(F.array_sort(F.collect_list("rule")), ",").alias("broken"))
+    return ledger.select("name", doc.alias("d")).join(broken, "name", "left").select("name", "d.*", "broken")

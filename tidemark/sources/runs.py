@@ -24,7 +24,7 @@ def write_run_record(
 
 def read_run_ledger(spark: SparkSession, path: str) -> DataFrame:
     """Run documents below ``path`` as (name, document)."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(
+    return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(
         F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("name"),
         F.col("value").alias("document"),
     )

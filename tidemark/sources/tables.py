@@ -22,7 +22,7 @@ folders by it.
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,11 +65,17 @@ _NOTHING = -1
 
 @dataclass(frozen=True)
 class TableSet:
-    """The tables below ``root``; ``epoch`` is one lineage of batches."""
+    """The tables below ``root``; ``epoch`` is one lineage of batches.
+
+    ``file_rows`` limits the rows of a file, ``row_group_bytes`` the size of its row groups,
+    in every write; unset, Spark's own limits hold.
+    """
 
     spark: SparkSession
     root: str
     epoch: int = 0
+    file_rows: int | None = None
+    row_group_bytes: int | None = None
 
     # -- layout -----------------------------------------------------------------
 
@@ -83,7 +89,7 @@ class TableSet:
 
     def next_epoch(self) -> TableSet:
         """Fresh lineage for a rebuild or redelivery; the old one stays readable."""
-        return TableSet(self.spark, self.root, self.epoch + 1).ensure()
+        return replace(self, epoch=self.epoch + 1).ensure()
 
     def scan(self, dataset: str) -> DataFrame:
         """All rows of the dataset, committed or not, of every epoch."""
@@ -186,10 +192,29 @@ class TableSet:
 
     # -- writers ----------------------------------------------------------------
 
+    def write_rows(self, rows: DataFrame, path: str) -> None:
+        """Replace a folder, within the limits on files and row groups."""
+        limits = {"maxRecordsPerFile": self.file_rows, "parquet.block.size": self.row_group_bytes}
+        rows.write.mode("overwrite").options(**{k: v for k, v in limits.items() if v is not None}).parquet(path)
+
     def write_part(self, dataset: str, batch_id: int, rows: DataFrame) -> None:
-        rows.select(*[c for c in DATASETS[dataset].fieldNames()[:-2]]).write.mode(
-            "overwrite"
-        ).parquet(f"{self.root}/{dataset}/epoch={self.epoch}/batch={batch_id}")
+        columns = DATASETS[dataset].fieldNames()[:-2]
+        self.write_rows(rows.select(*columns), f"{self.root}/{dataset}/epoch={self.epoch}/batch={batch_id}")
+
+    def files(self, dataset: str) -> DataFrame:
+        """(path, size_bytes, manifest, number) of the files of this lineage, committed or not.
+
+        Files are listed, not read; the folder stands for the manifest, ``number`` is its batch.
+        """
+        listed = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{self.root}/{dataset}")
+        here = listed.where(F.contains("path", F.lit(f"/epoch={self.epoch}/")))
+        folder = F.regexp_replace("path", "/[^/]*$", "")
+        return here.select(
+            "path",
+            F.col("length").alias("size_bytes"),
+            folder.alias("manifest"),
+            F.substring_index(folder, "=", -1).cast("bigint").alias("number"),
+        )
 
     def commit_base(self, upto: int, rows: int) -> None:
         """Make a base visible."""

@@ -50,6 +50,42 @@ def test_repeated_runs_match_brute_force():
         assert html_text.repeated(stream, page, run, 3).tolist() == want
 
 
+def test_blocks_of_deep_pages_in_one_walk():
+    deep = "<div>" * 40_000 + "inner" + "</b>" * 10 + "</p>" * 40_000 + "</div>" * 40_000 + "outer"
+    assert html_text.blocks_of(deep) == [(html_text.OPEN, "inner"), (html_text.OPEN, "outer")]
+    page = '<article><div class="entry-header"><h1>Title</h1></div><div class="menu">m</div><p>Text</p></article>'
+    assert [t for z, t in html_text.blocks_of(page) if z == html_text.MAIN] == ["Title", "Text"]
+    page = '<div class="page-header"><h1>Site</h1></div><div class="comments"><article>reply</article></div>'
+    assert [t for z, t in html_text.blocks_of(page) if z != html_text.SKIPPED] == []
+
+
+def test_open_pages_keep_or_lose_whole_blocks(spark):
+    """Against a plain version: blocks by the share of their words inside runs of three pages."""
+    quoted = "to be or not to be that is the question asked"
+    notice = "all rights are reserved by the owner of this site"
+    own = [" ".join(f"own{i}x{j}" for j in range(12)) for i in range(4)]
+    pages = [f"<p>{notice}</p><p>{own[i]} {quoted} {own[i]}</p>" for i in range(4)]
+    pages.append("<p>alone with its own text</p>")
+    rows = [(i, f"http://h/{i}", p) for i, p in enumerate(pages)] + [(9, "http://h/0", pages[0])]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    blocks = {i: re.findall("<p>(.*?)</p>", p) for i, _, p in rows}
+    run, holders = html_text.RUN_WORDS, {}
+    for i, of in blocks.items():
+        words = " | ".join(of).split()
+        for k in range(len(words) - run + 1):
+            holders.setdefault(tuple(words[k : k + run]), set()).add(i % 9)
+    common = {r for r, ids in holders.items() if len(ids) >= html_text.RUN_PAGES}
+
+    def kept(of, block):
+        words, at = " | ".join(of).split(), len(" | ".join([*of[: of.index(block)], ""]).split())
+        inside = {k + j for k in range(len(words)) if tuple(words[k : k + run]) in common for j in range(run)}
+        size = len(block.split())
+        return 2 * sum(at + j in inside for j in range(size)) <= size
+
+    assert got == {i: "\n".join(b for b in of if kept(of, b)) for i, of in blocks.items()}
+    assert got[1] == f"{own[1]} {quoted} {own[1]}" and got[4] == "alone with its own text"
+
+
 def test_main_text_without_an_article_element(spark):
     frame = "<body><div>Home About Contact Prices Help now please</div><div>Own words of page number {} {}</div><div>All rights reserved by the owners of this very site for ever</div>"
     rows = [(i, "http://h.example/%d" % i, frame.format(i, w), "x") for i, w in enumerate("cat dog bird fish".split())]

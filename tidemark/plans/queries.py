@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -1074,9 +1073,10 @@ def stream_changelog_totals(spark, sf_dir):
 def stream_redelivery(spark, sf_dir):
     """The log again in a fresh lineage; the union of lineages holds every image twice."""
     t, log, checkpoint = _stream_tables(spark, sf_dir, "redelivery", fx.log_table)
-    jobs.run_ingest(cdc_log.stream_log(spark, log), t, checkpoint)
+    stream = cdc_log.stream_log(spark, log, max_files_per_trigger=FILES_PER_BATCH)
+    jobs.run_ingest(stream, t, checkpoint)
     again = t.next_epoch()
-    jobs.run_ingest(cdc_log.stream_log(spark, log), again, checkpoint + "-again")
+    jobs.run_ingest(stream, again, checkpoint + "-again")
     both = t.changelog().unionByName(again.changelog())
     return audits.redelivery_audit(both, state.current_state(both))
 
@@ -1099,23 +1099,14 @@ def stream_compacted(spark, sf_dir):
 def stream_coalesce(spark, sf_dir):
     """Newest change per key after a quiet period."""
     root = scratch_dir(spark, "coalesce")
-    fx.log_table(spark, sf_dir).write.parquet(f"{root}/log")
-    wanted = fx.changelog_table(spark, sf_dir).select("order_id").distinct().count()
-    images = changes(decode(cdc_log.stream_log(spark, f"{root}/log")))
-    q = coalesce.start_coalesced(
-        images.where(F.col("cdc_row_kind") != "-U"),
-        2000,
-        f"{root}/out",
-        f"{root}/checkpoint",
-        interval="6 seconds",
-    )
+    log = fx.log_table(spark, sf_dir)
+    files = max(FILES_PER_BATCH, log.count() // RECORDS_PER_FILE)
+    log.repartitionByRange(files, "timestamp_ms", "partition").write.parquet(f"{root}/log")
+    images = changes(decode(cdc_log.stream_log(spark, f"{root}/log", max_files_per_trigger=FILES_PER_BATCH)))
+    q = coalesce.start_coalesced(images.where(F.col("cdc_row_kind") != "-U"), 2000, f"{root}/out", f"{root}/checkpoint")
     try:
-        jobs.wait_until(
-            lambda: spark.read.parquet(f"{root}/out").select("order_id").distinct().count() >= wanted,
-            "coalesced keys",
-            math.inf,
-            query=q,
-        )
+        # the wait ends with the input: it looks at progress reports, and an ended query fails it
+        jobs.wait_until(lambda: coalesce.all_quiet(q), "quiet keys", 24 * 3600, query=q)
     finally:
         coalesce.stop_between_batches(q)
     return _text(

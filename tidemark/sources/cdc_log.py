@@ -128,6 +128,21 @@ def stream_kafka(
     )
 
 
+def _ends(log: DataFrame) -> DataFrame:
+    """(topic, partition, __end) as a literal table: one row per log partition."""
+    ends = log.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("__end"))
+    return literal_table(ends, MOST_LOG_PARTITIONS, "log partition")
+
+
+def _placed(records: DataFrame, ends: DataFrame, order: Sequence[str], block: Column) -> DataFrame:
+    numbered = blocked.row_number(records, ["topic", "partition"], order, block, "__n")
+    return (
+        numbered.join(ends, ["topic", "partition"], "left")
+        .withColumn("offset", (F.coalesce("__end", F.lit(0)) + F.col("__n") - 1).cast("bigint"))
+        .drop("__end", "__n")
+    )
+
+
 def assign_offsets(
     log: DataFrame, records: DataFrame, order: Sequence[str], block: Column
 ) -> DataFrame:
@@ -136,14 +151,7 @@ def assign_offsets(
     ``block`` cuts the new records of a partition into bounded runs, see
     ``functions.blocked``.
     """
-    ends = log.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("__end"))
-    ends = literal_table(ends, MOST_LOG_PARTITIONS, "log partition")
-    numbered = blocked.row_number(records, ["topic", "partition"], order, block, "__n")
-    return (
-        numbered.join(ends, ["topic", "partition"], "left")
-        .withColumn("offset", (F.coalesce("__end", F.lit(0)) + F.col("__n") - 1).cast("bigint"))
-        .drop("__end", "__n")
-    )
+    return _placed(records, _ends(log), order, block)
 
 
 def append_log(
@@ -151,15 +159,11 @@ def append_log(
 ) -> DataFrame:
     """Append records to the log at ``path``; returns their topic, partition and offset.
 
-    One writer at a time: the next offset is read from the log itself.
+    One writer at a time: the next offset is read from the log itself, once; what lies at or
+    beyond the ends of before is new.
     """
-    placed = assign_offsets(read_log(spark, path), records, order, block)
-    placed = placed.select(*[F.col(f.name).cast(f.dataType) for f in LOG_RECORD.fields])
-    before = offsets_for_timestamp(read_log(spark, path), 0)
-    ends = {(r.topic, r.partition): r.log_end_offset for r in before.collect()}  # one row per partition
-    placed.write.mode("append").parquet(path)
-    new = F.lit(True)
-    for (topic, partition), end in ends.items():
-        same = (F.col("topic") == topic) & (F.col("partition") == partition)
-        new = new & (~same | (F.col("offset") >= end))
-    return read_log(spark, path).where(new).select("topic", "partition", "offset")
+    ends = _ends(read_log(spark, path))
+    placed = _placed(records, ends, order, block)
+    placed.select(*[F.col(f.name).cast(f.dataType) for f in LOG_RECORD.fields]).write.mode("append").parquet(path)
+    grown = read_log(spark, path).select("topic", "partition", "offset").join(ends, ["topic", "partition"], "left")
+    return grown.where(F.col("offset") >= F.coalesce("__end", F.lit(0))).drop("__end")

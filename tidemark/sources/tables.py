@@ -139,13 +139,16 @@ class TableSet:
 
     def patched(self, dataset: str, upto: int | None = None) -> DataFrame:
         """Rows of committed patches. They commit in order, so readers prune folders by the newest."""
-        newest = self.last_patch(upto)
+        return self._until_patch(dataset, self.last_patch(upto))
+
+    def _until_patch(self, dataset: str, newest: int) -> DataFrame:
         return self.scan(dataset).where((F.col("epoch") == self.epoch) & (F.col("batch") <= F.lit(newest)))
 
     def _with_patches(self, images: DataFrame, upto: int | None) -> DataFrame:
-        if self.last_patch(upto) == _NOTHING:
+        newest = self.last_patch(upto)
+        if newest == _NOTHING:
             return images
-        return images.unionByName(self.patched("patches", upto).select(*images.columns))
+        return images.unionByName(self._until_patch("patches", newest).select(*images.columns))
 
     def changelog(self, upto: int | None = None) -> DataFrame:
         return self._with_patches(self.committed("changelog", upto), upto)

@@ -59,13 +59,13 @@ def parse_metrics(lines: DataFrame, text: str = "value") -> DataFrame:
     samples = (
         lines.where(~F.startswith(stripped, F.lit(_PART)))
         .withColumn("__parts", parts)
-        .where((F.size("__parts") == 4) & (F.col("__parts")[0] == ""))
-        .withColumn("metric_value", F.col("__parts")[2].try_cast("double"))
+        .where((F.size("__parts") == 4) & (F.get("__parts", F.lit(0)) == ""))
+        .withColumn("metric_value", F.get("__parts", F.lit(2)).try_cast("double"))
         .where(F.col("metric_value").isNotNull())
     )
     kept = [F.col(c) for c in lines.columns if c not in ("name", "labels", "metric_value")]
     return samples.select(
-        *kept, F.col("__parts")[1].alias("name"), _label_map(F.col("__parts")[3]).alias("labels"), "metric_value"
+        *kept, F.get("__parts", F.lit(1)).alias("name"), _label_map(F.get("__parts", F.lit(3))).alias("labels"), "metric_value"
     )
 
 

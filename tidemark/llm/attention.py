@@ -95,31 +95,29 @@ def gather(classes: np.ndarray, first: np.ndarray, seen: np.ndarray, scored: np.
     return classes[index], real
 
 
+#: Windows whose work arrays stay in a core's cache.
+_TOGETHER = 64
+
 _FUTURE = np.where(np.arange(2 * STEP)[None, :] <= (STEP + np.arange(STEP))[:, None], np.float32(0), _HIDDEN)
 
 
-def _attend(w: dict[str, np.ndarray], inputs: np.ndarray, real: np.ndarray):
-    n = len(inputs)
-    x = w["embed"][inputs]
-    x += w["place"]
-    flat = x.reshape(-1, WIDTH)
-    last = np.ascontiguousarray(x[:, STEP:]).reshape(-1, WIDTH)
-    q = (last @ (w["query"] * np.float32(WIDTH**-0.5))).reshape(n, STEP, WIDTH)
-    k = (flat @ w["key"]).reshape(n, 2 * STEP, WIDTH)
-    v = (flat @ w["value"]).reshape(n, 2 * STEP, WIDTH)
-    a = q @ k.transpose(0, 2, 1)
-    a += _FUTURE
-    # What follows a text's end is in the future of its targets anyway; what precedes it is not.
-    short = np.flatnonzero(~real[:, 0])
-    if len(short):
-        a[short, :, :STEP] += np.where(real[short, :STEP], np.float32(0), _HIDDEN)[:, None, :]
-    if a.max() > 40:  # rare; otherwise the exponentials fit as they are
-        a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
-    h = (a @ v).reshape(-1, WIDTH)
-    h += last
-    return x, flat, last, q, k, v, a, h
+class _Room:
+    """Work arrays that stay in place from one part to the next: fresh ones cost a page fault each 4 KB."""
+
+    def __init__(self):
+        self._arrays: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, n: int, *shape: int, kind: type = np.float32) -> np.ndarray:
+        held = self._arrays.get(name)
+        if held is None or len(held) < n or held.shape[1:] != shape:
+            held = self._arrays[name] = np.empty((n, *shape), kind)
+        return held[:n]
+
+
+def _tables(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys beside values, queries, output with the bias as its last row), as one product each."""
+    pair = np.concatenate([w["key"], w["value"]], axis=1)
+    return pair, w["query"] * np.float32(WIDTH**-0.5), np.concatenate([w["out"], w["bias"][None]])
 
 
 # A power of e as a float whose bits are a linear function of the exponent (Schraudolph 1999):
@@ -129,10 +127,11 @@ _LEVEL = float(127 * (1 << 23) - 366_393)
 _TOP = float((1 << 31) - (1 << 8))
 
 
-def _power(x: np.ndarray) -> np.ndarray:
+def _power(x: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """The power of ``x``, given as ``_SLOPE * exponent + _LEVEL``; 0 if that is below 0."""
     np.maximum(x, 0, out=x)
-    return x.astype(np.int32).view(np.float32)
+    np.copyto(bits, x, casting="unsafe")
+    return bits.view(np.float32)
 
 
 class Scorer:
@@ -148,78 +147,157 @@ class Scorer:
         out[-1] += _LEVEL
         self._out = out.astype(np.float32)
         self._mask = np.where(_FUTURE == 0, np.float32(_LEVEL), np.float32(-1e30))
+        self._room = _Room()
 
     def next_class(self, inputs: np.ndarray, real: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Unnormalised probabilities of the next class, in float32, and their sums weighted by ``of``.
 
         (windows, STEP, CLASSES) and (windows, STEP, columns of ``of``); the first of these is all ones.
         """
-        n = len(inputs)
-        pair = self._pair.take(inputs, axis=0)
+        z = self._powers(inputs, real)
+        return z.reshape(-1, STEP, CLASSES).copy(), (z @ of).reshape(len(inputs), STEP, -1)
+
+    def log_shares(self, inputs: np.ndarray, real: np.ndarray, wanted: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of the probabilities of the ``wanted`` classes, and of all classes weighted by ``of``, of each target.
+
+        ``wanted`` counts at the real targets only, which come one after the other.
+        """
+        places = np.flatnonzero(real[:, STEP:])
+        own, weighted = np.empty(len(places)), np.empty(len(places))
+        cuts = np.searchsorted(places, np.arange(0, len(inputs) + _TOGETHER, _TOGETHER) * STEP)
+        for at, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            part = slice(at * _TOGETHER, (at + 1) * _TOGETHER)
+            z = self._powers(inputs[part], real[part])
+            sums = (z @ np.stack([np.ones(CLASSES, np.float32), of], axis=1)).take(places[a:b] - at * _TOGETHER * STEP, axis=0)
+            chosen = z.reshape(-1).take((places[a:b] - at * _TOGETHER * STEP) * CLASSES + wanted[a:b])
+            total = np.log10(np.maximum(sums[:, 0], 1e-37), dtype=np.float64)
+            own[a:b] = np.log10(np.maximum(chosen, 1e-37), dtype=np.float64) - total
+            weighted[a:b] = np.log10(np.maximum(sums[:, 1], 1e-37), dtype=np.float64) - total
+        return own, weighted
+
+    def _powers(self, inputs: np.ndarray, real: np.ndarray) -> np.ndarray:
+        """Unnormalised probabilities, a row for each target; they hold until the next call."""
+        n, room = len(inputs), self._room
+        pair = self._pair.take(inputs, axis=0, out=room("pair", n, 2 * STEP, 2 * WIDTH), mode="clip")
         pair += self._pair_place
         last = np.ascontiguousarray(inputs[:, STEP:])
-        query = self._query.take(last, axis=0)
+        query = self._query.take(last, axis=0, out=room("query", n, STEP, WIDTH), mode="clip")
         query += self._query_place
-        a = query @ pair[:, :, :WIDTH].transpose(0, 2, 1)
+        a = np.matmul(query, pair[:, :, :WIDTH].transpose(0, 2, 1), out=room("a", n, STEP, 2 * STEP))
         a += self._mask
         short = np.flatnonzero(~real[:, 0])
         if len(short):
             a[short, :, :STEP] = np.where(real[short, None, :STEP], a[short, :, :STEP], np.float32(-1e30))
         if a.max() >= _TOP:
             a -= np.maximum(a.max(axis=2, keepdims=True) - np.float32(_LEVEL), 0)
-        a = _power(a)
-        mixed = a @ pair[:, :, WIDTH:]
+        a = _power(a, room("a bits", n, STEP, 2 * STEP, kind=np.int32))
+        mixed = np.matmul(a, pair[:, :, WIDTH:], out=room("mixed", n, STEP, WIDTH))
         mixed /= a.sum(axis=2, keepdims=True)
-        h = np.empty((n * STEP, WIDTH + 1), np.float32)
-        h[:, WIDTH] = 1
-        part = h[:, :WIDTH].reshape(n, STEP, WIDTH)
-        np.add(self._embed.take(last, axis=0), self._place, out=part)
-        part += mixed
-        h[:, :WIDTH] = part.reshape(-1, WIDTH)
-        z = h @ self._out
+        mixed += self._embed.take(last, axis=0, out=query, mode="clip")
+        mixed += self._place
+        h = room("h", n * STEP, WIDTH + 1)
+        h[:, :WIDTH], h[:, WIDTH] = mixed.reshape(-1, WIDTH), 1
+        z = np.matmul(h, self._out, out=room("z", n * STEP, CLASSES))
         if z.max() >= _TOP:
             z -= np.maximum(z.max(axis=1, keepdims=True) - np.float32(_LEVEL), 0)
-        z = _power(z)
-        return z.reshape(n, STEP, CLASSES), (z @ of).reshape(n, STEP, -1)
-
-
-def gradient(w: dict[str, np.ndarray], inputs: np.ndarray, real: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss per target (natural log) and its gradient; targets below 0 do not count."""
-    n = len(inputs)
-    x, flat, last, q, k, v, a, h = _attend(w, inputs, real)
-    z = h @ w["out"] + w["bias"]
-    if z.max() > 40:
-        z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    wanted = targets.reshape(-1)
-    counted = wanted >= 0
-    total = max(1, int(counted.sum()))
-    rows = np.flatnonzero(counted)
-    loss = -float(np.log(np.maximum(z[rows, wanted[rows]], 1e-30)).sum()) / total
-    z[rows, wanted[rows]] -= 1
-    z[~counted] = 0
-    z /= np.float32(total)
-    g = {"out": h.T @ z, "bias": z.sum(axis=0)}
-    dh = z @ w["out"].T
-    dm = dh.reshape(n, STEP, WIDTH)
-    da = dm @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dm
-    da = a * (da - (da * a).sum(axis=2, keepdims=True))
-    dq = (da @ k).reshape(-1, WIDTH) * np.float32(WIDTH**-0.5)
-    dk = (da.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
-    dv = dv.reshape(-1, WIDTH)
-    g["query"], g["key"], g["value"] = last.T @ dq, flat.T @ dk, flat.T @ dv
-    dx = (dk @ w["key"].T + dv @ w["value"].T).reshape(n, 2 * STEP, WIDTH)
-    dx[:, STEP:] += (dq @ w["query"].T + dh).reshape(n, STEP, WIDTH)
-    dx *= real[:, :, None]
-    g["place"] = dx.sum(axis=0)
-    order = np.argsort(inputs.reshape(-1), kind="stable")
-    ordered = inputs.reshape(-1)[order]
-    edges = np.flatnonzero(np.diff(ordered, prepend=-1))
-    g["embed"] = np.zeros(SHAPES["embed"], np.float32)
-    g["embed"][ordered[edges]] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], edges, axis=0)
-    return loss, g
+        return _power(z, room("z bits", n * STEP, CLASSES, kind=np.int32))
+
+
+def _by_class(classes: np.ndarray, rows: np.ndarray, room: _Room) -> np.ndarray:
+    """Sums of the rows of each class."""
+    classes, rows = classes.astype(np.uint16).reshape(-1), rows.reshape(-1, rows.shape[-1])
+    order = np.argsort(classes, kind="stable")  # by radix, as the keys are short
+    ordered = classes.take(order)
+    edges = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    sums = np.zeros((CLASSES, rows.shape[1]), np.float32)
+    sums[ordered[edges]] = np.add.reduceat(rows.take(order, axis=0, out=room("by class", *rows.shape), mode="clip"), edges, axis=0)
+    return sums
+
+
+def gradient(
+    w: dict[str, np.ndarray], inputs: np.ndarray, real: np.ndarray, targets: np.ndarray, room: _Room | None = None
+) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean loss per target (natural log) and its gradient; targets below 0 do not count.
+
+    Queries, keys and values depend on a class and a place only, so they are tables, and what
+    comes back to them is added up by class and by place before it meets the weights.
+    """
+    room = room or _Room()
+    to_pair, to_query, out = _tables(w)
+    pair, pair_place = w["embed"] @ to_pair, w["place"] @ to_pair
+    query, query_place = w["embed"] @ to_query, w["place"][STEP:] @ to_query
+    back, ones = np.ascontiguousarray(w["out"].T), np.ones(CLASSES, np.float32)
+    total, loss = max(1, int((targets >= 0).sum())), 0.0
+    all_pair = room("d pair", len(inputs), 2 * STEP, 2 * WIDTH)
+    all_last = room("d last", len(inputs), STEP, 2 * WIDTH)  # queries beside what passes attention by
+    by_place = np.zeros((2 * STEP, 2 * WIDTH), np.float32)
+    last_by_place = np.zeros((STEP, 2 * WIDTH), np.float32)
+    of_out = np.zeros_like(out)
+    for lo in range(0, len(inputs), _TOGETHER):
+        part = inputs[lo : lo + _TOGETHER]
+        n, last = len(part), np.ascontiguousarray(part[:, STEP:])
+        kv = pair.take(part, axis=0, out=room("kv", n, 2 * STEP, 2 * WIDTH), mode="clip")
+        kv += pair_place
+        k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
+        q = query.take(last, axis=0, out=room("q", n, STEP, WIDTH), mode="clip")
+        q += query_place
+        a = np.matmul(q, k.transpose(0, 2, 1), out=room("a", n, STEP, 2 * STEP))
+        a += _FUTURE
+        # What follows a text's end is in the future of its targets anyway; what precedes it is not.
+        before = real[lo : lo + _TOGETHER, :STEP]
+        short = np.flatnonzero(~before[:, 0])
+        if len(short):
+            a[short, :, :STEP] += np.where(before[short], np.float32(0), _HIDDEN)[:, None, :]
+        if a.max() > 40:  # rare; otherwise the exponentials fit as they are
+            a -= a.max(axis=2, keepdims=True)
+        np.exp(a, out=a)
+        a /= a.sum(axis=2, keepdims=True)
+        mixed = np.matmul(a, v, out=room("mixed", n, STEP, WIDTH))
+        mixed += w["embed"].take(last, axis=0, out=room("last", n, STEP, WIDTH), mode="clip")
+        mixed += w["place"][STEP:]
+        h = room("h", n * STEP, WIDTH + 1)
+        h[:, :WIDTH], h[:, WIDTH] = mixed.reshape(-1, WIDTH), 1
+        z = np.matmul(h, out, out=room("z", n * STEP, CLASSES))
+        if z.max() > 40:
+            z -= z.max(axis=1, keepdims=True)
+        np.exp(z, out=z)
+        sums = z @ ones
+        wanted = targets[lo : lo + _TOGETHER].reshape(-1)
+        counted = wanted >= 0
+        rows = np.flatnonzero(counted)
+        loss -= float(np.log(np.maximum(z[rows, wanted[rows]] / sums[rows], 1e-30)).sum())
+        z *= np.where(counted, 1 / (sums * np.float32(total)), np.float32(0))[:, None]
+        z[rows, wanted[rows]] -= np.float32(1 / total)
+        of_out += h.T @ z
+        dm = np.matmul(z, back, out=room("dm", n * STEP, WIDTH)).reshape(n, STEP, WIDTH)
+        d_last, d_pair = all_last[lo : lo + n], all_pair[lo : lo + n]
+        d_last[:, :, WIDTH:] = dm
+        da = np.matmul(dm, v.transpose(0, 2, 1), out=room("da", n, STEP, 2 * STEP))
+        np.matmul(a.transpose(0, 2, 1), dm, out=d_pair[:, :, WIDTH:])
+        da *= a
+        a *= da.sum(axis=2, keepdims=True)
+        da -= a
+        np.matmul(da, k, out=d_last[:, :, :WIDTH])
+        np.matmul(da.transpose(0, 2, 1), q, out=d_pair[:, :, :WIDTH])
+        by_place += d_pair.sum(axis=0)
+        last_by_place += d_last.sum(axis=0)
+    if not len(inputs):
+        return 0.0, {name: np.zeros(shape, np.float32) for name, shape in SHAPES.items()}
+    by_class, last_by_class = _by_class(inputs, all_pair, room), _by_class(inputs[:, STEP:], all_last, room)
+    of_query, passed = last_by_class[:, :WIDTH], last_by_class[:, WIDTH:]
+    of_query_place, passed_place = last_by_place[:, :WIDTH], last_by_place[:, WIDTH:]
+    of_pair = w["embed"].T @ by_class + w["place"].T @ by_place
+    place = by_place @ to_pair.T
+    place[STEP:] += of_query_place @ to_query.T + passed_place
+    return loss / total, {
+        "embed": by_class @ to_pair.T + of_query @ to_query.T + passed,
+        "place": place,
+        "query": (w["embed"].T @ of_query + w["place"][STEP:].T @ of_query_place) * np.float32(WIDTH**-0.5),
+        "key": of_pair[:, :WIDTH],
+        "value": of_pair[:, WIDTH:],
+        "out": of_out[:-1],
+        "bias": of_out[-1],
+    }
 
 
 class Trainer:
@@ -227,12 +305,12 @@ class Trainer:
 
     def __init__(self, weights: dict[str, np.ndarray], rate: float):
         self.weights = {k: v.copy() for k, v in weights.items()}
-        self.rate, self.steps = rate, 0
+        self.rate, self.steps, self._room = rate, 0, _Room()
         self._mean = {k: np.zeros_like(v) for k, v in weights.items()}
         self._square = {k: np.zeros_like(v) for k, v in weights.items()}
 
     def step(self, inputs: np.ndarray, real: np.ndarray, targets: np.ndarray) -> float:
-        loss, g = gradient(self.weights, inputs, real, targets)
+        loss, g = gradient(self.weights, inputs, real, targets, self._room)
         self.steps += 1
         for k, d in g.items():
             self._mean[k] += 0.1 * (d - self._mean[k])

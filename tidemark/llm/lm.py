@@ -47,7 +47,7 @@ FREQUENT_WORDS = 1 << 19
 MIX = 0.5
 
 _BATCH = 256
-_AT_ONCE = 128  # windows whose work arrays stay in a core's cache
+_AT_ONCE = 1_024
 
 
 class Pieces:
@@ -224,7 +224,6 @@ def _scores(path: str, pattern: str, classes: attention.Classes, flat: np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _load(path, pattern)
         scorer = attention.Scorer(attention.unflatten(flat))
-        two = np.stack([np.ones(attention.CLASSES, np.float32), classes.starts], axis=1)
         floor = np.log10(n + v + 1.0)
         rest = np.log10(1 - u)
 
@@ -236,12 +235,9 @@ def _scores(path: str, pattern: str, classes: attention.Classes, flat: np.ndarra
             for lo in range(0, len(first), _AT_ONCE):
                 part = slice(lo, lo + _AT_ONCE)
                 x, real = attention.gather(inputs, first[part], seen[part], scored[part])
-                z, sums = scorer.next_class(x, real, two)
-                row, column = np.nonzero(real[:, attention.STEP :])
-                place = first[part][row] + column
-                total = np.log10(np.maximum(sums[row, column, 0], 1e-37), dtype=np.float64)
-                own[place] = np.log10(np.maximum(z[row, column, wanted[place]], 1e-37), dtype=np.float64) - total
-                start[place] = np.log10(np.maximum(sums[row, column, 1], 1e-37), dtype=np.float64) - total
+                # Windows score their targets in the order of the texts.
+                place = slice(first[lo], first[part][-1] + scored[part][-1])
+                own[place], start[place] = scorer.log_shares(x, real, wanted[place], classes.starts)
             return own + classes.share[texts.targets], start
 
         for whole in batches:

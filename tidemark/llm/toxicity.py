@@ -1,11 +1,13 @@
 """Toxicity by a counterfactually regularised classifier on hashed words.
 
 A logistic model on the presence of words is fitted on a bounded labelled sample. In every
-labelled text that mentions a group, the group's term is swapped for the others and for no
-mention at all; the squared change of the score over these swaps is a penalty of the fit, so a
-neutral mention of a group moves no score. A group's term gives its whole word as a feature and no
-beginnings, so its weight is all that a swap changes. The fitted weights go to the tasks (their number
-is bounded), which score every whole text.
+labelled text that mentions a group, the group's term is swapped for each other term of its
+family and for no mention at all; the squared change of the text's score (in logits), averaged
+over the swaps of a mention, is a penalty of the fit, so a neutral mention of a group hardly
+moves a score. A swap for a term that the text has already only takes the first term away, and
+is counted so. A group's term gives its whole word as a feature and no beginnings, so a swap
+changes nothing but the two terms. The fitted weights go to the tasks (their number is bounded),
+which score every whole text.
 
 Defined cases: a null or empty text has no words and gets the score of the intercept. Without
 labels, or with one class only, every score is the smoothed share of toxic labels, 0 if there
@@ -30,17 +32,40 @@ from tidemark.llm.common import remainder
 SAMPLE_ROWS = 8_000
 VOCABULARY = 1_024
 
-# Neutral names of groups, in the languages of the documents.
-IDENTITY_TERMS = """
-women men woman man female male gay lesbian straight trans queer black white asian african
-latino arab jewish jews muslim muslims christian christians hindu buddhist atheist immigrant
-immigrants refugee refugees disabled deaf blind old young elderly mujeres hombres negro blanco
-musulmanes cristianos inmigrantes frauen schwarze juden muslime christen femmes hommes noirs
-juifs musulmans immigrants
-""".split()
-
-
-_TERMS = np.unique(np.array([features.hash_word(t) for t in IDENTITY_TERMS], np.uint64))
+# Neutral names of groups, in the languages of the documents. A line is a family: its terms
+# name groups of one kind, and one stands for another without a change of grammar.
+FAMILIES = [line.split() for line in """
+women men
+woman man
+female male
+gay lesbian straight trans queer
+black white asian african latino arab
+jewish muslim christian hindu buddhist atheist
+jews muslims christians
+immigrant refugee
+immigrants refugees
+disabled deaf blind
+old young elderly
+mujeres hombres
+negro blanco
+musulmanes cristianos
+inmigrantes
+frauen
+schwarze
+juden muslime christen
+femmes hommes
+noirs
+juifs musulmans
+""".strip().splitlines()]
+#: Weight of the penalty against the loss.
+FAIRNESS = 20.0
+
+
+def _hashes(family: list[str]) -> np.ndarray:
+    return np.array([features.hash_word(t) for t in family], np.uint64)
+
+
+_TERMS = np.unique(np.concatenate([_hashes(f) for f in FAMILIES]))
 
 
 def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -61,30 +86,53 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def swap_penalty(mentions: np.ndarray, families: list[np.ndarray]) -> np.ndarray:
+    """The matrix ``q`` with ``w @ q @ w`` as the sum of squared score changes over all swaps.
+
+    ``mentions``: texts by terms, 1 where the text has the term; ``w``: the terms' weights;
+    ``families``: the columns of each family. Swapping t for u in a text changes its score by
+    w[u] - w[t], or by -w[t] if it has u already or the mention is dropped. Each mention
+    counts 1, in equal shares over its swaps. What texts add depends on the terms they
+    have only, so the sum needs how many have both terms of a pair.
+    """
+    both = (mentions.T @ mentions).astype(float)
+    q = np.zeros_like(both)
+    for family in families:
+        share = 1 / len(family)
+        for t in family:
+            q[t, t] += share * both[t, t]  # dropped
+            for u in family:
+                if u != t:
+                    q[t, t] += share * both[t, t]
+                    alone = share * (both[t, t] - both[t, u])
+                    q[u, u] += alone
+                    q[t, u] -= alone
+                    q[u, t] -= alone
+    return q
+
+
 def fit(
-    sets: list[np.ndarray], y: np.ndarray, terms: list[str] = IDENTITY_TERMS, fairness: float = 1.0, sparsity: float = 2e-4, rounds: int = 400
+    sets: list[np.ndarray], y: np.ndarray, families: list[list[str]] = FAMILIES, fairness: float = FAIRNESS, sparsity: float = 2e-4, rounds: int = 400
 ) -> Model:
     """Accelerated proximal gradient descent on loss, counterfactual penalty and sparsity."""
     n = len(y)
     if n == 0 or y.min() == y.max():
         share = (y.sum() + 0.5) / (n + 1) if n and y.any() else 0.0
         return Model(np.empty(0, np.uint64), np.empty(0), float(np.log(share / (1 - share))) if share else -40.0)
-    group = np.unique(np.array([features.hash_word(t) for t in terms], np.uint64))
+    hashed = [_hashes(f) for f in families]
+    group = np.unique(np.concatenate(hashed)) if hashed else np.empty(0, np.uint64)
     vocabulary = features.select_vocabulary(sets, y, VOCABULARY, always=group)
     x = features.matrix(sets, vocabulary)
     is_group = np.isin(vocabulary, group)
-    # Of the swaps of a text with term t, the score changes by w[t] - w[u] for the other terms u,
-    # and by w[t] if the mention is dropped.
-    mentions = x[:, is_group].sum(axis=0) / n + 1 / n
+    swaps = swap_penalty(x[:, is_group], [np.searchsorted(group, f) for f in hashed]) / n
     weights, intercept = np.zeros(len(vocabulary)), float(np.log(y.mean() / (1 - y.mean())))
-    k = max(1, int(is_group.sum()))
-    curvature = 0.25 * features.top_curvature(x) + 0.25 + 2 * fairness * float(mentions.sum())
+    steepest = float(np.linalg.eigvalsh(swaps)[-1]) if len(group) else 0.0
+    curvature = 0.25 * features.top_curvature(x) + 0.25 + 2 * fairness * max(steepest, 0.0)
     step, ahead, ahead_b, pace = 1 / curvature, weights.copy(), intercept, 1.0
     for _ in range(rounds):
         error = 1 / (1 + np.exp(-np.clip(x @ ahead.astype(np.float32) + ahead_b, -40, 40))) - y
         gradient = (x.T @ error.astype(np.float32)).astype(float) / n
-        mine = ahead[is_group]
-        gradient[is_group] += 2 * fairness * mentions * ((mine - mine.mean()) * k / (k + 1) + mine / (k + 1))
+        gradient[is_group] += 2 * fairness * (swaps @ ahead[is_group])
         moved = ahead - step * gradient
         fresh = np.sign(moved) * np.maximum(np.abs(moved) - step * sparsity, 0)
         fresh_b = ahead_b - step * float(error.mean())

@@ -103,3 +103,16 @@ def test_nested_fields_are_mutated_everywhere(spark):
     assert row.changed_field_types == "V.event_id,event_id" and not row.backward_compatible
     with pytest.raises(Exception, match="no field named amount"):
         schema_tree.mutate_nodes(nodes, "amount", "string").collect()
+
+
+def test_mutation_sends_no_schema_counts_to_every_task(spark):
+    registry = spark.createDataFrame(
+        [("s", 1, _schema(a="int", b="int")), ("s", 2, _schema(a="long")), ("t", 1, _schema(a="int"))],
+        "subject string, version int, schema_json string",
+    )
+    mutated = contracts.mutate_types(contracts.registry_fields(registry), "a", "string")
+    assert "Broadcast" not in mutated._jdf.queryExecution().executedPlan().toString()
+    found = {(r.subject, r.version, r.field, r.type, r.mutations) for r in mutated.collect()}
+    assert found == {("s", 1, "a", "string", 1), ("s", 1, "b", "int", 1), ("s", 2, "a", "string", 1), ("t", 1, "a", "string", 1)}
+    with pytest.raises(Exception, match="no field named b"):
+        contracts.mutate_types(contracts.registry_fields(registry), "b", "string").collect()

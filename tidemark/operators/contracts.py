@@ -218,17 +218,14 @@ def mutate_types(fields: DataFrame, name: str, new_type: str) -> DataFrame:
     Adds ``mutations``, the number of fields changed in the schema of the row.
     """
     hit = F.col("field") == name
-    counts = fields.groupBy("subject", "version").agg(F.count_if(hit).alias("__m"))
-    checked = counts.select(
-        "subject",
-        "version",
-        F.when(F.col("__m") > 0, F.col("__m"))
-        .otherwise(F.raise_error(F.lit(f"no field named {name} to change")).cast("bigint"))
-        .alias("mutations"),
-    )
-    return fields.join(checked, ["subject", "version"]).withColumn(
-        "type", F.when(hit, F.lit(new_type)).otherwise(F.col("type"))
-    )
+    # a window and no join: one row per schema is more than any task should be sent
+    counted = fields.withColumn("__m", F.count_if(hit).over(Window.partitionBy("subject", "version")))
+    checked = F.when(F.col("__m") > 0, F.col("__m")).otherwise(
+        F.raise_error(F.lit(f"no field named {name} to change")).cast("bigint")
+    )
+    return counted.withColumns(
+        {"mutations": checked, "type": F.when(hit, F.lit(new_type)).otherwise(F.col("type"))}
+    ).drop("__m")
 
 
 def conforms(rows: DataFrame, required: Sequence[tuple[str, str]]) -> Column:

@@ -212,3 +212,17 @@ def test_progress_of_every_batch_is_kept(spark, tmp_path):
     assert samples.where("error IS NULL").agg(F.sum("input_rows")).first()[0] == 7
     broken = progress._sample(0, {"batchId": 1})
     assert broken[-1].startswith("KeyError")
+
+
+def test_slow_batches_of_the_clock_alone_are_quiet(spark, tmp_path):
+    """Batches further apart than the quiet period: the clock leaves no session that looks like a pending key."""
+    path, out = str(tmp_path / "log"), str(tmp_path / "out")
+    recovery_log(spark, path)
+    images = drop_update_before(changes(decode(cdc_log.stream_log(spark, path))))
+    q = coalesce.start_coalesced(images, 500, out, str(tmp_path / "cp"), interval="3 seconds")
+    try:
+        jobs.wait_until(lambda: coalesce.all_quiet(q), "quiet keys", 60, query=q)
+        assert coalesce.pending_keys(q) == 0
+    finally:
+        coalesce.stop_between_batches(q)
+    assert rows(coalesce.quiet_images(spark.read.parquet(out)), "order_id") == [(1303,), (1304,), (1305,), (2302,)]

@@ -42,6 +42,11 @@ def _list(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "array<variant>")
 
 
+def _is_object(v: Column) -> Column:
+    """Looks at the outermost level only; ``schema_of_variant`` walks the whole value."""
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+
+
 def _row(node: str, path: Column, **values: Column) -> Column:
     names = [part.split(":")[0] for part in _ROW[len("struct<") : -1].split(",")]
     fields = {"node": F.lit(node), "path": path, **values}
@@ -51,13 +56,13 @@ def _row(node: str, path: Column, **values: Column) -> Column:
 def _opened(places: DataFrame) -> DataFrame:
     """Rows of one level: (subject, version, root, place, type) to type rows and rows of the places below."""
     whole = F.col("type")
-    branches = F.when(F.schema_of_variant(whole).startswith("ARRAY"), _list(whole, "$")).otherwise(F.array(whole))
+    branches = F.coalesce(_list(whole, "$"), F.array(whole))
     each = places.select("subject", "version", "root", "place", F.explode(branches).alias("b"))
     inner = F.try_variant_get("b", "$.type", "variant")
     # {"type": {"type": ...}} is its inner type
-    each = each.withColumn("b", F.when(F.schema_of_variant(inner).startswith("OBJECT"), inner).otherwise(F.col("b")))
+    each = each.withColumn("b", F.when(_is_object(inner), inner).otherwise(F.col("b")))
     b = F.col("b")
-    kind = F.coalesce(F.when(F.schema_of_variant(b) == "STRING", F.try_variant_get(b, "$", "string")), _text(b, "$.type"))
+    kind = F.when(_is_object(b), _text(b, "$.type")).when(F.schema_of_variant(b) == "STRING", F.try_variant_get(b, "$", "string"))
     named = kind.isin(NAMED)
     name = F.substring_index(F.when(named, _text(b, "$.name")).otherwise(kind), ".", -1)
     each = each.withColumns(
@@ -136,7 +141,11 @@ def schema_nodes(registry: DataFrame) -> DataFrame:
     lost = F.when((F.col("kind") == "reference") & F.col("defined").isNull(), F.concat(F.lit("unknown type "), F.substr("key", F.lit(7))))
     nodes = joined.withColumn("problem", F.coalesce("problem", lost)).select(*columns)
     broken = checked.where("problem IS NOT NULL").select("subject", "version", "problem")
-    return nodes.unionByName(broken, allowMissingColumns=True)
+    nodes = nodes.unionByName(broken, allowMissingColumns=True)
+    # written, since an evaluation looks at the nodes several times
+    path = scratch_dir(spark, "schema-tree")
+    nodes.write.parquet(path)
+    return spark.read.schema(nodes.schema).parquet(path)
 
 
 def mutate_nodes(nodes: DataFrame, name: str, new_type: str) -> DataFrame:

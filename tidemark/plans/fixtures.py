@@ -31,12 +31,21 @@ PARTITIONS = 3
 BASE_MS = 1_767_225_600_000
 BLOCK = 65_536
 SEED = 17
+SPREAD_ROWS = 25_000  # narrow rows a task turns into documents
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to tasks of about ``SPREAD_ROWS`` by ranges of the key.
+
+    A file of narrow rows is read by few tasks, however much is derived from each row.
+    """
+    return rows.repartitionByRange(1 + rows.count() // SPREAD_ROWS, key)
+
+
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "k")
 
@@ -204,7 +213,7 @@ def ordering_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = F.when(miskeyed & (i > 0), 4 - i).otherwise(i + 1)
     cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
     return (
-        orders(spark, sf_dir)
+        spread(orders(spark, sf_dir).select("k", "o_custkey", "o_totalprice", "o_orderdate"), "k")
         .withColumn("i", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
         .select(
             F.lit("shop.orders.probe").alias("topic"),
@@ -403,7 +412,7 @@ def schema_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(case == 4, record(key, size, stamp, field("brand", F.lit('"string"'))))
         .otherwise(record(key, field("p_size", F.lit('"long"')), stamp))
     )
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(
         F.concat(F.lit("part-"), p.cast("string")).alias("subject"),
         F.inline(
             F.array(
@@ -455,7 +464,7 @@ def run_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit(1).alias("violations"), (c % 31 != 0).alias("would_corrupt")).alias("miskey"),
         F.when(c % 37 == 0, 2).otherwise(1).alias("dead_letters"),
     )
-    return table(spark, sf_dir, "customer").select(
+    return spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(
         F.concat(F.lit("record-"), c.cast("string")).alias("name"), F.to_json(doc).alias("document")
     )
 
@@ -632,7 +641,7 @@ def kind_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(*recovery).alias("recovery_measurements"),
     )
     text = F.to_json(document)
-    return table(spark, sf_dir, "customer").select(
+    return spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(
         F.concat(F.lit("record-"), c.cast("string")).alias("name"),
         F.when(c % 43 == 0, "unknown").otherwise(kind).alias("kind"),
         F.when(c % 41 == 0, F.substring(text, 1, 100)).otherwise(text).alias("document"),
@@ -669,7 +678,7 @@ def nested_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     p = F.col("p_partkey")
     second = F.element_at(F.array(*[F.lit(s) for s in seconds]), (p % len(seconds) + 1).cast("int"))
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(
         F.concat(F.lit("part-"), p.cast("string")).alias("subject"),
         F.inline(
             F.array(

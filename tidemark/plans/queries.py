@@ -48,7 +48,8 @@ QUERIES: dict[str, Query] = {}
 PER_COMMIT = 1000  # offsets per commit in the batch-only time travel queries
 UNLOGGED = 1_000_000_000_000  # order ids from here on are in a snapshot only
 RECORDS_PER_FILE = 50_000
-FILES_PER_BATCH = 8  # log files per micro-batch, one task each
+FILES_PER_BATCH = 8  # log files per micro-batch at least, one task each
+MOST_BATCHES = 12  # of a bounded log: what a batch costs by itself must not grow with the log
 
 
 def query(f: Query) -> Query:
@@ -1036,19 +1037,29 @@ def run_index(spark, sf_dir):
 # -- streaming ------------------------------------------------------------------
 
 
-def _stream_tables(spark: SparkSession, sf_dir: str, name: str, build: Query) -> tuple[tables.TableSet, str, str]:
+def _per_batch(files: int) -> int:
+    """Log files per micro-batch, so that a log of any length is read in ``MOST_BATCHES`` at most."""
+    return max(FILES_PER_BATCH, -(-files // MOST_BATCHES))
+
+
+def _log_files(records: int, least: int = FILES_PER_BATCH) -> int:
+    return max(least, records // RECORDS_PER_FILE)
+
+
+def _stream_tables(spark: SparkSession, sf_dir: str, name: str, build: Query) -> tuple[tables.TableSet, str, str, int]:
+    """The tables, the log, the checkpoint and the log files per micro-batch."""
     root = scratch_dir(spark, name)
     records = build(spark, sf_dir)
-    files = max(4 * FILES_PER_BATCH, records.count() // RECORDS_PER_FILE)
+    files = _log_files(records.count(), 4 * FILES_PER_BATCH)
     records.repartitionByRange(files, "timestamp_ms", "partition").write.parquet(f"{root}/log")
-    return tables.TableSet(spark, f"{root}/tables").ensure(), f"{root}/log", f"{root}/checkpoint"
+    return tables.TableSet(spark, f"{root}/tables").ensure(), f"{root}/log", f"{root}/checkpoint", _per_batch(files)
 
 
 @query
 def stream_exactly_once(spark, sf_dir):
     """Several micro-batches with a failure before a commit; current state at the end."""
-    t, log, checkpoint = _stream_tables(spark, sf_dir, "exactly-once", fx.log_table)
-    stream = cdc_log.stream_log(spark, log, max_files_per_trigger=FILES_PER_BATCH)
+    t, log, checkpoint, per_batch = _stream_tables(spark, sf_dir, "exactly-once", fx.log_table)
+    stream = cdc_log.stream_log(spark, log, max_files_per_trigger=per_batch)
     jobs.run_ingest(stream, t, checkpoint, pause_seconds=0.1, fault=jobs.fault_once("before_commit", 1))
     return _text(t.current())
 
@@ -1056,10 +1067,10 @@ def stream_exactly_once(spark, sf_dir):
 @query
 def stream_changelog_totals(spark, sf_dir):
     """Changelog, dead letters and ledger of a poisoned stream."""
-    t, log, checkpoint = _stream_tables(
+    t, log, checkpoint, per_batch = _stream_tables(
         spark, sf_dir, "totals", lambda s, d: fx.stored(s, d, "poisoned", fx.poisoned_log)
     )
-    jobs.run_ingest(cdc_log.stream_log(spark, log, max_files_per_trigger=FILES_PER_BATCH), t, checkpoint)
+    jobs.run_ingest(cdc_log.stream_log(spark, log, max_files_per_trigger=per_batch), t, checkpoint)
     n = F.count(F.lit(1)).alias("n")
     return (
         t.changelog().agg(F.lit("changelog").alias("what"), n)
@@ -1072,8 +1083,8 @@ def stream_changelog_totals(spark, sf_dir):
 @query
 def stream_redelivery(spark, sf_dir):
     """The log again in a fresh lineage; the union of lineages holds every image twice."""
-    t, log, checkpoint = _stream_tables(spark, sf_dir, "redelivery", fx.log_table)
-    stream = cdc_log.stream_log(spark, log, max_files_per_trigger=FILES_PER_BATCH)
+    t, log, checkpoint, per_batch = _stream_tables(spark, sf_dir, "redelivery", fx.log_table)
+    stream = cdc_log.stream_log(spark, log, max_files_per_trigger=per_batch)
     jobs.run_ingest(stream, t, checkpoint)
     again = t.next_epoch()
     jobs.run_ingest(stream, again, checkpoint + "-again")
@@ -1084,8 +1095,8 @@ def stream_redelivery(spark, sf_dir):
 @query
 def stream_compacted(spark, sf_dir):
     """Current state read through a compacted base and later batches."""
-    t, log, checkpoint = _stream_tables(spark, sf_dir, "compacted", fx.log_table)
-    half = cdc_log.stream_log(spark, log, max_files_per_trigger=FILES_PER_BATCH).where(
+    t, log, checkpoint, per_batch = _stream_tables(spark, sf_dir, "compacted", fx.log_table)
+    half = cdc_log.stream_log(spark, log, max_files_per_trigger=per_batch).where(
         F.col("timestamp_ms") < _half_time(spark, sf_dir)
     )
     jobs.run_ingest(half, t, checkpoint)
@@ -1100,9 +1111,9 @@ def stream_coalesce(spark, sf_dir):
     """Newest change per key after a quiet period."""
     root = scratch_dir(spark, "coalesce")
     log = fx.log_table(spark, sf_dir)
-    files = max(FILES_PER_BATCH, log.count() // RECORDS_PER_FILE)
+    files = _log_files(log.count())
     log.repartitionByRange(files, "timestamp_ms", "partition").write.parquet(f"{root}/log")
-    images = changes(decode(cdc_log.stream_log(spark, f"{root}/log", max_files_per_trigger=FILES_PER_BATCH)))
+    images = changes(decode(cdc_log.stream_log(spark, f"{root}/log", max_files_per_trigger=_per_batch(files))))
     q = coalesce.start_coalesced(images.where(F.col("cdc_row_kind") != "-U"), 2000, f"{root}/out", f"{root}/checkpoint")
     try:
         # the wait ends with the input: it looks at progress reports, and an ended query fails it

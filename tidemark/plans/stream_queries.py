@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import id_runs
-from tidemark.functions.columns import floor_div
 from tidemark.operators import audits, contracts, diff, epochs, maintenance, measures, schema_tree, state
 from tidemark.plans import fixtures as fx
-from tidemark.plans.queries import FILES_PER_BATCH, RECORDS_PER_FILE, _half_time, _stream_tables, _text, query
+from tidemark.plans.queries import RECORDS_PER_FILE, _half_time, _log_files, _per_batch, _stream_tables, _text, query
 from tidemark.schemas import ORDER_COLUMNS, RUN_FIELDS
 from tidemark.session import scratch_dir
 from tidemark.sources import cdc_log, checkpoints, reports, runs, tables
@@ -19,6 +19,7 @@ from tidemark.sources.ledger_rules import RULES, validate_by_rules
 from tidemark.streaming import dedup, gate, jobs, repairs, snapshot
 
 SLICES = 6  # appends to a log that arrives in order of time
+MOST_FILES = 2000  # of a log in files of limited rows
 
 
 _made: dict[tuple[str, str, str], tables.TableSet] = {}
@@ -36,16 +37,12 @@ def _once(build: Callable[[SparkSession, str], tables.TableSet]) -> Callable[[Sp
     return made
 
 
-def _in_slices(records: DataFrame, path: str, slice_: str) -> None:
-    """Append the log slice by slice, so that a file stream reads it in that order."""
-    files = max(FILES_PER_BATCH, records.count() // RECORDS_PER_FILE // SLICES)
-    stored = records.sparkSession
-    staged = f"{path}-staged"
-    records.write.partitionBy(slice_).parquet(staged)
-    numbers = sorted(r[0] for r in stored.read.parquet(staged).select(slice_).distinct().collect())  # SLICES + 1 at most
-    for n in numbers:
-        part = stored.read.parquet(staged).where(F.col(slice_) == n).drop(slice_)
-        part.repartitionByRange(files, "timestamp_ms", "partition").write.mode("append").parquet(path)
+def _in_slices(slices: Iterable[DataFrame], path: str) -> int:
+    """Append the log slice by slice, so that a file stream reads it in that order; files per micro-batch."""
+    for records in slices:
+        # as files arrive: a file's records are near each other in the source, and nothing is shuffled or staged
+        records.write.option("maxRecordsPerFile", RECORDS_PER_FILE).mode("append").parquet(path)
+    return _per_batch(cdc_log.read_log(records.sparkSession, path).select(F.input_file_name()).distinct().count())
 
 
 @_once
@@ -53,9 +50,9 @@ def _gated(spark: SparkSession, sf_dir: str) -> tables.TableSet:
     """The ordering probe through the gated ingest, with a failure before a commit."""
     root = scratch_dir(spark, "gate")
     probe = fx.ordering_probe(spark, sf_dir)
-    _in_slices(probe.withColumn("slice", (F.col("timestamp_ms") - fx.BASE_MS).cast("int")), f"{root}/log", "slice")
+    per_batch = _in_slices((probe.where(F.col("timestamp_ms") == fx.BASE_MS + i) for i in range(3)), f"{root}/log")
     t = tables.TableSet(spark, f"{root}/tables").ensure()
-    stream = cdc_log.stream_log(spark, f"{root}/log", max_files_per_trigger=FILES_PER_BATCH)
+    stream = cdc_log.stream_log(spark, f"{root}/log", max_files_per_trigger=per_batch)
     fault = jobs.fault_once("before_commit", 1)
     jobs.run_ingest(stream, t, f"{root}/checkpoint", pause_seconds=0.1, fault=fault, gated=True)
     return t
@@ -85,8 +82,9 @@ def stream_gate_isolated(spark, sf_dir):
 @_once
 def _repaired(spark: SparkSession, sf_dir: str) -> tables.TableSet:
     """The poisoned log, its own repairs, an operator's, and a run that finds nothing left to do."""
-    t, log, checkpoint = _stream_tables(spark, sf_dir, "repair", fx.twice_poisoned_log)
-    jobs.run_ingest(cdc_log.stream_log(spark, log, max_files_per_trigger=FILES_PER_BATCH), t, checkpoint)
+    stored = fx.stored(spark, sf_dir, "twice-poisoned", fx.twice_poisoned_log)
+    t, log, checkpoint, per_batch = _stream_tables(spark, sf_dir, "repair", lambda s, d: stored)
+    jobs.run_ingest(cdc_log.stream_log(spark, log, max_files_per_trigger=per_batch), t, checkpoint)
     repairs.commit_repairs(t)
     repairs.commit_repairs(t, fx.operator_documents(spark, sf_dir))
     repairs.commit_repairs(t)
@@ -113,14 +111,14 @@ def _handed_over(spark: SparkSession, sf_dir: str) -> tables.TableSet:
     root = scratch_dir(spark, "snapshot")
     half = _half_time(spark, sf_dir)
     log, images = fx.log_table(spark, sf_dir), fx.changelog_table(spark, sf_dir)
-    files = max(FILES_PER_BATCH, log.count() // RECORDS_PER_FILE)
+    files = _log_files(log.count())
     now = [half]
 
     def append(rows: DataFrame) -> None:
         rows.repartitionByRange(files, "timestamp_ms", "partition").write.mode("append").parquet(f"{root}/log")
 
     def ingest() -> None:
-        stream = cdc_log.stream_log(spark, f"{root}/log", "timestamp", f"{root}/starts", half, FILES_PER_BATCH)
+        stream = cdc_log.stream_log(spark, f"{root}/log", "timestamp", f"{root}/starts", half, _per_batch(files))
         jobs.run_ingest(stream, t, f"{root}/checkpoint")
 
     def source() -> DataFrame:
@@ -168,8 +166,8 @@ def stream_linkage(spark, sf_dir):
         )
         return log.unionByName(tail)
 
-    t, log, checkpoint = _stream_tables(spark, sf_dir, "linkage", with_tombstones)
-    jobs.run_ingest(cdc_log.stream_log(spark, log, max_files_per_trigger=FILES_PER_BATCH), t, checkpoint)
+    t, log, checkpoint, per_batch = _stream_tables(spark, sf_dir, "linkage", with_tombstones)
+    jobs.run_ingest(cdc_log.stream_log(spark, log, max_files_per_trigger=per_batch), t, checkpoint)
     row = checkpoints.stream_linkage(t, checkpoint, cdc_log.read_log(spark, log), "run")
     return row.select(
         "run_id",
@@ -190,10 +188,15 @@ def stream_dedup(spark, sf_dir):
     log = fx.log_table(spark, sf_dir)
     ends = log.agg(F.min("timestamp_ms").alias("a"), F.max("timestamp_ms").alias("b")).first()
     span = (ends.b - ends.a) // SLICES + 1
-    slice_ = floor_div(F.col("timestamp_ms") - ends.a, span)
-    twice = log.withColumn("slice", F.explode(F.array(slice_, slice_ + 1)))
-    _in_slices(twice, f"{root}/log", "slice")
-    stream = cdc_log.stream_log(spark, f"{root}/log", max_files_per_trigger=FILES_PER_BATCH)
+    at = F.col("timestamp_ms")
+
+    def slice_(n: int) -> DataFrame:
+        """The records of one slice of time, if there is one, and those of the slice before again."""
+        first = [log.where(at.between(ends.a + i * span, ends.a + (i + 1) * span - 1)) for i in (n - 1, n) if 0 <= i < SLICES]
+        return reduce(DataFrame.unionAll, first)
+
+    per_batch = _in_slices((slice_(n) for n in range(SLICES + 1)), f"{root}/log")
+    stream = cdc_log.stream_log(spark, f"{root}/log", max_files_per_trigger=per_batch)
     t = tables.TableSet(spark, f"{root}/tables").ensure()
     jobs.run_ingest(dedup.drop_redelivered(stream, f"{3 * span} milliseconds"), t, f"{root}/checkpoint")
     return t.changelog().groupBy("partition", "cdc_row_kind").agg(
@@ -204,13 +207,13 @@ def stream_dedup(spark, sf_dir):
 @query
 def rebuild_audit(spark, sf_dir):
     """Two rebuilds of one lineage: from a timestamp, where orders untouched since are missing, and from 0."""
-    t, log, checkpoint = _stream_tables(spark, sf_dir, "rebuild", fx.log_table)
-    jobs.run_ingest(cdc_log.stream_log(spark, log, max_files_per_trigger=FILES_PER_BATCH), t, checkpoint)
+    t, log, checkpoint, per_batch = _stream_tables(spark, sf_dir, "rebuild", fx.log_table)
+    jobs.run_ingest(cdc_log.stream_log(spark, log, max_files_per_trigger=per_batch), t, checkpoint)
     half = _half_time(spark, sf_dir)
     later, full = t.next_epoch(), t.next_epoch().next_epoch()
-    stream = cdc_log.stream_log(spark, log, "timestamp", f"{checkpoint}-starts", half, FILES_PER_BATCH)
+    stream = cdc_log.stream_log(spark, log, "timestamp", f"{checkpoint}-starts", half, per_batch)
     jobs.run_ingest(stream, later, f"{checkpoint}-later")
-    jobs.run_ingest(cdc_log.stream_log(spark, log, max_files_per_trigger=FILES_PER_BATCH), full, f"{checkpoint}-full")
+    jobs.run_ingest(cdc_log.stream_log(spark, log, max_files_per_trigger=per_batch), full, f"{checkpoint}-full")
     starts = spark.read.parquet(f"{checkpoint}-starts")
     zero = cdc_log.offsets_for_timestamp(cdc_log.read_log(spark, log), 0)
     rows = [
@@ -299,13 +302,19 @@ def rows_conform(spark, sf_dir):
     )
 
 
+def _row_limit(records: int) -> int:
+    """Rows of a file: 1000 up to two million records, beyond that files grow and not their number."""
+    return max(1000, records // MOST_FILES)
+
+
 @query
 def stored_files(spark, sf_dir):
     """Files of a compacted stream: within the row limit, listed as the tables read them."""
     root = scratch_dir(spark, "files")
-    limit = 1000
+    log = fx.log_table(spark, sf_dir)
+    limit = _row_limit(log.count())
     t = tables.TableSet(spark, root, file_rows=limit, row_group_bytes=1 << 20).ensure()
-    jobs.write_batch(t, fx.log_table(spark, sf_dir), 0)
+    jobs.write_batch(t, log, 0)
     maintenance.compact_current(t)
     stats = maintenance.table_files(t, ["current", "changelog", "base"])
     per_file = None
@@ -328,10 +337,11 @@ def stream_savepoint(spark, sf_dir):
     root = scratch_dir(spark, "savepoint")
     log, half = fx.log_table(spark, sf_dir), _half_time(spark, sf_dir)
     t = tables.TableSet(spark, f"{root}/tables").ensure()
+    files = _log_files(log.count() // 2)
     for early in (True, False):
         part = log.where(F.col("timestamp_ms") <= half if early else F.col("timestamp_ms") > half)
-        part.repartitionByRange(FILES_PER_BATCH, "timestamp_ms", "partition").write.mode("append").parquet(f"{root}/log")
-        stream = cdc_log.stream_log(spark, f"{root}/log", max_files_per_trigger=FILES_PER_BATCH)
+        part.repartitionByRange(files, "timestamp_ms", "partition").write.mode("append").parquet(f"{root}/log")
+        stream = cdc_log.stream_log(spark, f"{root}/log", max_files_per_trigger=_per_batch(files))
         jobs.run_ingest(stream, t, f"{root}/checkpoint" if early else f"{root}/copy")
         if early:
             jobs.savepoint(t, f"{root}/checkpoint", f"{root}/copy")

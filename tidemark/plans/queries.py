@@ -1037,9 +1037,9 @@ def run_index(spark, sf_dir):
 # -- streaming ------------------------------------------------------------------
 
 
-def _per_batch(files: int) -> int:
-    """Log files per micro-batch, so that a log of any length is read in ``MOST_BATCHES`` at most."""
-    return max(FILES_PER_BATCH, -(-files // MOST_BATCHES))
+def _per_batch(files: int, most: int = MOST_BATCHES) -> int:
+    """Log files per micro-batch, so that a log of any length is read in ``most`` at most."""
+    return max(FILES_PER_BATCH, -(-files // most))
 
 
 def _log_files(records: int, least: int = FILES_PER_BATCH) -> int:

@@ -50,6 +50,12 @@ def test_repeated_runs_match_brute_force():
         assert html_text.repeated(stream, page, run, 3).tolist() == want
 
 
+def test_hosts_of_fewer_words_than_a_run():
+    for n in range(9):
+        text = " ".join(["word"] * (n + 1))
+        assert html_text._texts([([html_text.OPEN], [text])]) == [text]
+
+
 def test_blocks_of_deep_pages_in_one_walk():
     deep = "<div>" * 40_000 + "inner" + "</b>" * 10 + "</p>" * 40_000 + "</div>" * 40_000 + "outer"
     assert html_text.blocks_of(deep) == [(html_text.OPEN, "inner"), (html_text.OPEN, "outer")]
@@ -100,6 +106,32 @@ def test_main_text_without_an_article_element(spark):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
+def test_repeats_are_sought_on_pages_with_an_article_too(spark, monkeypatch):
+    """The suffix array judges every page; the check by markup follows."""
+    furniture, quoted = "one two three four five six seven", "a passage that every page of the host quotes as a whole"
+    pages = [[furniture, f"own{i} " * 9 + quoted, quoted, f"advert {i}"] for i in range(4)] + [["alone"], []]
+    pages.append(pages[1])
+    html = "<body><nav>{}</nav><article><p>{}<p>{}</article><div class=ad>{}</div>"
+    streams = [" | ".join([*p, ""]).split() for p in pages]
+    run, holders = html_text.RUN_WORDS, {}
+    for words in streams:
+        for k in range(len(words) - run + 1):
+            holders.setdefault(tuple(words[k : k + run]), set()).add(" ".join(words))
+    for blocks, words, got in zip(pages, streams, html_text.shared_blocks(pages), strict=True):
+        inside = {k + j for k in range(len(words)) if len(holders.get(tuple(words[k : k + run]), ())) >= html_text.RUN_PAGES for j in range(run)}
+        at = np.cumsum([0] + [len(b.split()) + 1 for b in blocks])
+        assert got.tolist() == [all(a + j in inside for j in range(len(b.split()))) for a, b in zip(at, blocks, strict=False)]
+    assert html_text.shared_blocks(pages)[0].tolist() == [True, False, True, False]
+
+    seen, judge = [], html_text.repeated
+    monkeypatch.setattr(html_text, "repeated", lambda stream, page: seen.append(len(np.unique(page))) or judge(stream, page))
+    rows = [([html_text.SKIPPED, html_text.MAIN, html_text.MAIN, html_text.SKIPPED], p) for p in pages[:4]]
+    assert html_text._texts(rows) == ["\n".join(p[1:3]) for p in pages[:4]] and seen == [4]
+    monkeypatch.undo()
+    table = spark.createDataFrame([(i, f"http://h/{i}", html.format(*p)) for i, p in enumerate(pages[:4])], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.main_text(table).collect()} == {i: "\n".join(" ".join(b.split()) for b in p[1:3]) for i, p in enumerate(pages[:4])}
+
+
 def test_boilerplate_of_a_host_of_several_chunks(spark, monkeypatch):
     notice = "<div>This very notice stands on only three pages of the host</div>"
     own = "<div>" + " ".join(f"p{{0}}w{j}" for j in range(12)) + "</div>"

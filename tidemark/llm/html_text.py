@@ -1,16 +1,17 @@
 """Main text of web pages by markup zones and a suffix array per host.
 
-A page is cut into blocks. Markup decides where it can: blocks inside menus, headers, footers,
-sidebars, notices, adverts, forms, scripts and reader comments go, blocks inside an article or
-main element stay. For pages without such an element the host decides: the word streams of
-a host's pages are concatenated and their suffixes sorted; word runs that several distinct pages
-share are boilerplate. Blocks that such runs cover go, blocks with a word of their own are kept
-whole.
+A page is cut into blocks. The word streams of a host's pages are concatenated and their suffixes
+sorted; word runs that several distinct pages share are boilerplate, and a block that such runs
+cover is boilerplate as a whole. This is found for the blocks of every page. A check by markup
+follows: blocks inside menus, headers, footers, sidebars, notices, adverts, forms, scripts and
+reader comments go though no other page has them, blocks inside an article or main element stay
+though others have them too, and nothing else stays beside such an element.
 
 Pages of one host are dealt to chunks of some ``CHUNK_PAGES`` pages by a hash, so a host of any
 size is spread over many tasks. What repeats within a chunk is found by its suffixes. For hosts of
 several chunks, hashes of all pages' runs are counted over the whole host and the common ones go
-back to the chunks, so what is boilerplate does not depend on the chunks.
+back to the chunks, so what is boilerplate does not depend on the chunks; hosts where the check
+settles every page are left out of this count, as it cannot change their texts.
 
 Defined cases: a null or empty html has the text ''. Repeated pages (equal word streams) count
 as one page when repeats are counted, and each row gets its text. A null url is a host of its
@@ -183,26 +184,27 @@ def repeated(stream: np.ndarray, page: np.ndarray, run: int = RUN_WORDS, pages:
     unions of repeats of that length.
     """
     n = len(stream)
-    if not n:
-        return np.zeros(0, bool)
+    if n < run:
+        return np.zeros(n, bool)
     rank = np.unique(stream, return_inverse=True)[1].reshape(-1).astype(np.int64) + 1
     depth, order = 1, np.argsort(rank, kind="stable")
     while depth < run:
         step = min(depth, run - depth)
         later = np.zeros(n, np.int64)
         later[: n - step] = np.where(page[step:] == page[: n - step], rank[step:], 0)
-        order = np.lexsort((later, rank))
-        a, b = rank[order], later[order]
-        fresh = np.concatenate([[1], ((a[1:] != a[:-1]) | (b[1:] != b[:-1])).astype(np.int64)])
+        both = rank * (n + 1) + later  # ranks are n at most
+        order = np.argsort(both)
+        ordered = both[order]
+        fresh = np.append(1, ordered[1:] != ordered[:-1])
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(fresh)
         depth += step
     whole = np.zeros(n, bool)
-    whole[: n - run + 1] = page[run - 1 :] == page[: n - run + 1] if n >= run else False
+    whole[: n - run + 1] = page[run - 1 :] == page[: n - run + 1]
     # Of equal suffixes, count the distinct pages; equal ranks are neighbours in the order.
     held = order[whole[order]]
-    pairs = np.unique(np.stack([rank[held], page[held]]), axis=1)
-    ranks, count = np.unique(pairs[0], return_counts=True)
+    most = int(page.max()) + 1
+    ranks, count = np.unique(np.unique(rank[held] * most + page[held]) // most, return_counts=True)
     common = np.zeros(int(rank.max()) + 1, bool)
     common[ranks[count >= pages]] = True
     starts = np.flatnonzero(whole & common[rank])
@@ -247,16 +249,14 @@ def _undecided(zones: list[int]) -> bool:
     return OPEN in zones and MAIN not in zones
 
 
-def _texts(rows: list[tuple[list[int], list[str]]], common: np.ndarray | None = None) -> list[str]:
-    """The main text of each page of one chunk of a host; a page is its zones and blocks.
+def shared_blocks(pages: list[list[str]], common: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each page of one chunk of a host, True for its blocks that boilerplate runs cover as a whole.
 
     ``common``: sorted hashes of runs that are boilerplate by the pages of the whole host.
     """
-    if not any(_undecided(zones) for zones, _ in rows):
-        return ["\n".join(b for z, b in zip(zones, blocks, strict=True) if z == MAIN) for zones, blocks in rows]
-    stream, block, page, edges, prints = _streams([blocks for _, blocks in rows])
+    stream, block, page, edges, prints = _streams(pages)
     same: dict[tuple, int] = {}
-    names = np.array([same.setdefault(p, i) for i, p in enumerate(prints)])
+    names = np.array([same.setdefault(p, i) for i, p in enumerate(prints)], int)
     unique = names[page] == page  # the first of equal pages stands for all
     covered = np.zeros(len(stream), bool)
     covered[unique] = repeated(stream[unique], page[unique])
@@ -264,19 +264,33 @@ def _texts(rows: list[tuple[list[int], list[str]]], common: np.ndarray | None =
         starts, hashes = run_hashes(stream, page)
         for start in starts[np.isin(hashes, common)]:
             covered[start : start + RUN_WORDS] = True
-    texts = []
-    for i, (zones, blocks) in enumerate(rows):
-        if MAIN in zones:
-            texts.append("\n".join(b for z, b in zip(zones, blocks, strict=True) if z == MAIN))
-            continue
-        lo, hi = edges[names[i]], edges[names[i] + 1]
-        here = block[lo:hi]
-        size = np.bincount(here, minlength=len(blocks)) - 1  # without the block's end
-        gone = np.bincount(here, weights=covered[lo:hi], minlength=len(blocks)) - covered[lo:hi][np.searchsorted(here, np.arange(len(blocks)), "right") - 1]
-        # Whole blocks go or stay: a passage that others quote is no reason to cut into a block.
-        kept = [text for k, (zone, text) in enumerate(zip(zones, blocks, strict=True)) if zone == OPEN and gone[k] < size[k]]
-        texts.append("\n".join(kept))
-    return texts
+    # A block's end is a word of its own and the last of the block: it need not be covered.
+    ends = np.flatnonzero(np.append((block[1:] != block[:-1]) | (page[1:] != page[:-1]), True)) if len(stream) else np.zeros(0, int)
+    own = np.append(0, np.cumsum(~covered))
+    begins = np.append(0, ends[:-1] + 1)[: len(ends)]
+    whole = own[ends] == own[begins]
+    first = np.concatenate([[0], np.cumsum([len(blocks) for blocks in pages])]).astype(int)
+    return [whole[first[k] : first[k + 1]] for k in names]
+
+
+def _kept(zones: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """The host's verdict on a page's blocks after its check by markup.
+
+    An article stays though other pages quote it, and nothing else does beside one; furniture goes though
+    it is the page's own.
+    """
+    article = zones == MAIN
+    return article if article.any() else (zones == OPEN) & ~shared
+
+
+def _texts(rows: list[tuple[list[int], list[str]]], common: np.ndarray | None = None) -> list[str]:
+    """The main text of each page of one chunk of a host; a page is its zones and blocks.
+
+    Whole blocks go or stay: a passage that others quote is no reason to cut into a block.
+    """
+    shared = shared_blocks([blocks for _, blocks in rows], common)
+    kept = [_kept(np.array(zones, int), gone) for (zones, _), gone in zip(rows, shared, strict=True)]
+    return ["\n".join(b for b, stays in zip(blocks, keep, strict=True) if stays) for (_, blocks), keep in zip(rows, kept, strict=True)]
 
 
 def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

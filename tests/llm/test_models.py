@@ -306,6 +306,42 @@ def test_frequent_subwords_have_classes_of_their_own():
     assert (sizes[:128] == 1).all() and (sizes[128:] > 0).all()
 
 
+def test_groups_then_classes_are_a_distribution():
+    """Shares by sorted groups equal those of the plain product over all classes."""
+    rng = np.random.default_rng(4)
+    weights = attention.fresh_weights()
+    n = attention._TOGETHER + 3
+    inputs = rng.integers(0, attention.CLASSES, (n, 2 * attention.STEP))
+    real = np.ones_like(inputs, bool)
+    real[0, : attention.STEP], real[2, -5:] = False, False
+    of = (np.arange(attention.CLASSES) % 40 < 17).astype(np.float32)  # groups of both kinds
+    z, weighted = attention.Scorer(weights).next_class(inputs, real, of[:, None])
+    assert np.allclose(z.sum(axis=2), 1, atol=1e-4)
+    there = real[:, attention.STEP :]
+    wanted = rng.integers(0, attention.CLASSES, there.sum())
+    own, share = attention.Scorer(weights).log_shares(inputs, real, wanted, of)
+    assert np.allclose(10**own, z[there][np.arange(len(wanted)), wanted], rtol=1e-3)
+    assert np.allclose(10**share, weighted[there][:, 0], rtol=1e-3)
+    rows = rng.standard_normal((n, 2 * attention.STEP, 3)).astype(np.float32)
+    want = np.zeros((attention.CLASSES, 3))
+    np.add.at(want, inputs, rows)
+    assert np.allclose(attention._by_class(inputs, rows, attention._Room()), want, atol=1e-3)
+
+
+@pytest.mark.parametrize("kept", [0, 5, 1 << 18])
+def test_remembered_words_have_the_same_subwords(monkeypatch, kept):
+    import public_tokenizers
+
+    monkeypatch.setattr(lm, "KEPT_WORDS", kept)
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    pieces = lm.Pieces(path, pattern)
+    for texts in (["some words", None, "Straße\xa0x É \x1c odd some"], ["", "words and SOME more"], ["some words", "new"], []):
+        got, encoding = lm._Texts(pa.array(texts, pa.string()), pieces), pieces._encoding
+        want = [[*(i for w in re.findall(plain.SPACES, plain.lower(t)) for i in encoding.encode_ordinary(" " + w)), pieces.end] for t in texts]
+        assert got.targets.tolist() == [i for ids in want for i in ids] and got.lengths.tolist() == [len(ids) for ids in want]
+        assert len(pieces._seen[0]) <= kept
+
+
 def test_every_training_window_is_kept():
     import public_tokenizers
 

@@ -17,6 +17,9 @@ STEP = 16
 WIDTH = 32
 OWN_CLASSES, SHARED_CLASSES = 128, 32
 CLASSES = OWN_CLASSES + SHARED_CLASSES
+#: Classes of a group: the next class is predicted as its group, then as one of the group.
+GROUP = 16
+GROUPS = CLASSES // GROUP
 _HIDDEN = np.float32(-1e9)
 
 #: Names and shapes of the weights.
@@ -26,6 +29,8 @@ SHAPES = {
     "query": (WIDTH, WIDTH),
     "key": (WIDTH, WIDTH),
     "value": (WIDTH, WIDTH),
+    "group": (WIDTH, GROUPS),
+    "group_bias": (GROUPS,),
     "out": (WIDTH, CLASSES),
     "bias": (CLASSES,),
 }
@@ -43,7 +48,9 @@ class Classes:
     def from_counts(cls, counts: np.ndarray, is_start: np.ndarray) -> Classes:
         order = np.argsort(-counts, kind="stable")
         of = np.empty(len(counts), np.int16)
-        of[order[:OWN_CLASSES]] = np.arange(min(OWN_CLASSES, len(order)))
+        # Word starts apart here too, so that one group at most holds both kinds.
+        own = order[:OWN_CLASSES]
+        of[own[np.argsort(is_start[own], kind="stable")]] = np.arange(len(own))
         rest = order[OWN_CLASSES:]
         # Classes double in size from the frequent tokens to the rare ones, word starts apart.
         half = SHARED_CLASSES // 2
@@ -60,7 +67,7 @@ class Classes:
 def fresh_weights(seed: int = 5) -> dict[str, np.ndarray]:
     draw = np.random.default_rng(seed)
     weights = {k: (draw.standard_normal(s) * (0.3 if k in ("embed", "place") else WIDTH**-0.5)).astype(np.float32) for k, s in SHAPES.items()}
-    weights["bias"][:] = 0
+    weights["bias"][:], weights["group_bias"][:] = 0, 0
     return weights
 
 
@@ -95,8 +102,10 @@ def gather(classes: np.ndarray, first: np.ndarray, seen: np.ndarray, scored: np.
     return classes[index], real
 
 
-#: Windows whose work arrays stay in a core's cache.
-_TOGETHER = 64
+_ONES = np.ones(2 * STEP, np.float32)
+
+#: Windows at a time: few enough for the cache, enough for one product per group of classes.
+_TOGETHER = 256
 
 _FUTURE = np.where(np.arange(2 * STEP)[None, :] <= (STEP + np.arange(STEP))[:, None], np.float32(0), _HIDDEN)
 
@@ -114,10 +123,26 @@ class _Room:
         return held[:n]
 
 
-def _tables(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys beside values, queries, output with the bias as its last row), as one product each."""
-    pair = np.concatenate([w["key"], w["value"]], axis=1)
-    return pair, w["query"] * np.float32(WIDTH**-0.5), np.concatenate([w["out"], w["bias"][None]])
+def _tables(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys beside values, queries), as one product each."""
+    return np.concatenate([w["key"], w["value"]], axis=1), w["query"] * np.float32(WIDTH**-0.5)
+
+
+def _outputs(w: dict[str, np.ndarray], scale: float = 1.0, level: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Outputs of the groups, and of the classes of each group, with the bias as the last row."""
+    group = np.concatenate([w["group"], w["group_bias"][None]]).astype(np.float64) * scale
+    within = np.concatenate([w["out"], w["bias"][None]]).astype(np.float64) * scale
+    group[-1] += level
+    within[-1] += level
+    within = within.reshape(WIDTH + 1, GROUPS, GROUP).transpose(1, 0, 2)
+    return group.astype(np.float32), np.ascontiguousarray(within.astype(np.float32))
+
+
+def _by_group(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, edges): the targets in order of their group, those of group g between edges g and g + 1."""
+    group = (wanted // GROUP).astype(np.uint8)
+    edges = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=GROUPS))])
+    return np.argsort(group, kind="stable"), edges.tolist()
 
 
 # A power of e as a float whose bits are a linear function of the exponent (Schraudolph 1999):
@@ -143,19 +168,20 @@ class Scorer:
         query = w["query"] * np.float32(WIDTH**-0.5 * _SLOPE)
         self._query, self._query_place = w["embed"] @ query, w["place"][STEP:] @ query
         self._embed, self._place = w["embed"], w["place"][STEP:]
-        out = np.concatenate([w["out"], w["bias"][None]]).astype(np.float64) * _SLOPE
-        out[-1] += _LEVEL
-        self._out = out.astype(np.float32)
+        self._group, self._within = _outputs(w, _SLOPE, _LEVEL)
         self._mask = np.where(_FUTURE == 0, np.float32(_LEVEL), np.float32(-1e30))
         self._room = _Room()
 
     def next_class(self, inputs: np.ndarray, real: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Unnormalised probabilities of the next class, in float32, and their sums weighted by ``of``.
+        """Probabilities of the next class, in float32, and their sums weighted by ``of``.
 
         (windows, STEP, CLASSES) and (windows, STEP, columns of ``of``); the first of these is all ones.
         """
-        z = self._powers(inputs, real)
-        return z.reshape(-1, STEP, CLASSES).copy(), (z @ of).reshape(len(inputs), STEP, -1)
+        h = self._states(inputs, real)
+        z = np.repeat(self._shares(h, self._group, "groups"), GROUP, axis=1)
+        for g in range(GROUPS):
+            z[:, g * GROUP : (g + 1) * GROUP] *= self._shares(h, self._within[g], "within")
+        return z.reshape(-1, STEP, CLASSES), (z @ of).reshape(len(inputs), STEP, -1)
 
     def log_shares(self, inputs: np.ndarray, real: np.ndarray, wanted: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 of the probabilities of the ``wanted`` classes, and of all classes weighted by ``of``, of each target.
@@ -163,20 +189,44 @@ class Scorer:
         ``wanted`` counts at the real targets only, which come one after the other.
         """
         places = np.flatnonzero(real[:, STEP:])
-        own, weighted = np.empty(len(places)), np.empty(len(places))
+        own, weighted = np.empty(len(places), np.float32), np.empty(len(places), np.float32)
         cuts = np.searchsorted(places, np.arange(0, len(inputs) + _TOGETHER, _TOGETHER) * STEP)
+        of = of.reshape(GROUPS, GROUP).astype(np.float32)
+        mixed = np.flatnonzero(of.min(axis=1) != of.max(axis=1))  # other groups count alike as a whole
         for at, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             part = slice(at * _TOGETHER, (at + 1) * _TOGETHER)
-            z = self._powers(inputs[part], real[part])
-            sums = (z @ np.stack([np.ones(CLASSES, np.float32), of], axis=1)).take(places[a:b] - at * _TOGETHER * STEP, axis=0)
-            chosen = z.reshape(-1).take((places[a:b] - at * _TOGETHER * STEP) * CLASSES + wanted[a:b])
-            total = np.log10(np.maximum(sums[:, 0], 1e-37), dtype=np.float64)
-            own[a:b] = np.log10(np.maximum(chosen, 1e-37), dtype=np.float64) - total
-            weighted[a:b] = np.log10(np.maximum(sums[:, 1], 1e-37), dtype=np.float64) - total
-        return own, weighted
-
-    def _powers(self, inputs: np.ndarray, real: np.ndarray) -> np.ndarray:
-        """Unnormalised probabilities, a row for each target; they hold until the next call."""
+            here, n = wanted[a:b], b - a
+            h = self._states(inputs[part], real[part]).take(places[a:b] - at * _TOGETHER * STEP, axis=0)
+            groups = self._shares(h, self._group, "groups")
+            np.matmul(groups, of[:, 0], out=weighted[a:b])
+            for g in mixed:
+                weighted[a:b] += groups[:, g] * (self._shares(h, self._within[g], "within") @ of[g] - of[g, 0])
+            order, edges = _by_group(here)
+            h, z = h.take(order, axis=0), self._room("within", n, GROUP)
+            for g in range(GROUPS):
+                if edges[g] < edges[g + 1]:
+                    np.matmul(h[edges[g] : edges[g + 1]], self._within[g], out=z[edges[g] : edges[g + 1]])
+            z = self._exponentials(z, "within")
+            here = here.take(order)
+            chosen = z.reshape(-1).take(np.arange(n) * GROUP + here % GROUP) / (z @ _ONES[:GROUP])
+            chosen *= groups.reshape(-1).take(order * GROUPS + here // GROUP)
+            own[a + order] = chosen
+        return tuple(np.log10(np.maximum(x, 1e-37, out=x)).astype(np.float64) for x in (own, weighted))
+
+    def _exponentials(self, z: np.ndarray, name: str) -> np.ndarray:
+        if z.size and z.max() >= _TOP:
+            z -= np.maximum(z.max(axis=1, keepdims=True) - np.float32(_LEVEL), 0)
+        return _power(z, self._room(name + " bits", *z.shape, kind=np.int32))
+
+    def _shares(self, h: np.ndarray, table: np.ndarray, name: str) -> np.ndarray:
+        """Probabilities of the columns of ``table``; they hold until the next call with this name."""
+        z = np.matmul(h, table, out=self._room(name, len(h), table.shape[1]))
+        z = self._exponentials(z, name)
+        z *= (1 / (z @ _ONES[: table.shape[1]]))[:, None]
+        return z
+
+    def _states(self, inputs: np.ndarray, real: np.ndarray) -> np.ndarray:
+        """What the outputs see, and a one for the bias, a row for each target; they hold until the next call."""
         n, room = len(inputs), self._room
         pair = self._pair.take(inputs, axis=0, out=room("pair", n, 2 * STEP, 2 * WIDTH), mode="clip")
         pair += self._pair_place
@@ -192,26 +242,27 @@ class Scorer:
             a -= np.maximum(a.max(axis=2, keepdims=True) - np.float32(_LEVEL), 0)
         a = _power(a, room("a bits", n, STEP, 2 * STEP, kind=np.int32))
         mixed = np.matmul(a, pair[:, :, WIDTH:], out=room("mixed", n, STEP, WIDTH))
-        mixed /= a.sum(axis=2, keepdims=True)
+        mixed *= (1 / (a @ _ONES[: 2 * STEP]))[:, :, None]
         mixed += self._embed.take(last, axis=0, out=query, mode="clip")
         mixed += self._place
         h = room("h", n * STEP, WIDTH + 1)
         h[:, :WIDTH], h[:, WIDTH] = mixed.reshape(-1, WIDTH), 1
-        z = np.matmul(h, self._out, out=room("z", n * STEP, CLASSES))
-        if z.max() >= _TOP:
-            z -= np.maximum(z.max(axis=1, keepdims=True) - np.float32(_LEVEL), 0)
-        return _power(z, room("z bits", n * STEP, CLASSES, kind=np.int32))
+        return h
 
 
 def _by_class(classes: np.ndarray, rows: np.ndarray, room: _Room) -> np.ndarray:
-    """Sums of the rows of each class."""
-    classes, rows = classes.astype(np.uint16).reshape(-1), rows.reshape(-1, rows.shape[-1])
-    order = np.argsort(classes, kind="stable")  # by radix, as the keys are short
-    ordered = classes.take(order)
-    edges = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    sums = np.zeros((CLASSES, rows.shape[1]), np.float32)
-    sums[ordered[edges]] = np.add.reduceat(rows.take(order, axis=0, out=room("by class", *rows.shape), mode="clip"), edges, axis=0)
-    return sums
+    """Sums of the rows of each class: rows in order of their group, then one product a group with their places in it."""
+    classes, rows = classes.reshape(-1), rows.reshape(-1, rows.shape[-1])
+    order, edges = _by_group(classes)
+    ordered = rows.take(order, axis=0, out=room("by class", *rows.shape), mode="clip")
+    place = room("places", len(rows), GROUP)
+    place[:] = 0
+    place.reshape(-1)[np.arange(len(rows)) * GROUP + classes.take(order) % GROUP] = 1
+    sums = np.zeros((GROUPS, GROUP, rows.shape[1]), np.float32)
+    for g in range(GROUPS):
+        span = slice(edges[g], edges[g + 1])
+        np.matmul(place[span].T, ordered[span], out=sums[g])
+    return sums.reshape(CLASSES, -1)
 
 
 def gradient(
@@ -223,16 +274,17 @@ def gradient(
     comes back to them is added up by class and by place before it meets the weights.
     """
     room = room or _Room()
-    to_pair, to_query, out = _tables(w)
+    to_pair, to_query = _tables(w)
+    to_group, within = _outputs(w)
     pair, pair_place = w["embed"] @ to_pair, w["place"] @ to_pair
     query, query_place = w["embed"] @ to_query, w["place"][STEP:] @ to_query
-    back, ones = np.ascontiguousarray(w["out"].T), np.ones(CLASSES, np.float32)
+    group_back, back = np.ascontiguousarray(w["group"].T), np.ascontiguousarray(within[:, :WIDTH].transpose(0, 2, 1))
     total, loss = max(1, int((targets >= 0).sum())), 0.0
     all_pair = room("d pair", len(inputs), 2 * STEP, 2 * WIDTH)
     all_last = room("d last", len(inputs), STEP, 2 * WIDTH)  # queries beside what passes attention by
     by_place = np.zeros((2 * STEP, 2 * WIDTH), np.float32)
     last_by_place = np.zeros((STEP, 2 * WIDTH), np.float32)
-    of_out = np.zeros_like(out)
+    of_group, of_within = np.zeros_like(to_group), np.zeros_like(within)
     for lo in range(0, len(inputs), _TOGETHER):
         part = inputs[lo : lo + _TOGETHER]
         n, last = len(part), np.ascontiguousarray(part[:, STEP:])
@@ -251,31 +303,51 @@ def gradient(
         if a.max() > 40:  # rare; otherwise the exponentials fit as they are
             a -= a.max(axis=2, keepdims=True)
         np.exp(a, out=a)
-        a /= a.sum(axis=2, keepdims=True)
+        a *= (1 / (a @ _ONES))[:, :, None]
         mixed = np.matmul(a, v, out=room("mixed", n, STEP, WIDTH))
         mixed += w["embed"].take(last, axis=0, out=room("last", n, STEP, WIDTH), mode="clip")
         mixed += w["place"][STEP:]
         h = room("h", n * STEP, WIDTH + 1)
         h[:, :WIDTH], h[:, WIDTH] = mixed.reshape(-1, WIDTH), 1
-        z = np.matmul(h, out, out=room("z", n * STEP, CLASSES))
-        if z.max() > 40:
-            z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        sums = z @ ones
+        # Each target asks for its group, and for its class among those of the group.
         wanted = targets[lo : lo + _TOGETHER].reshape(-1)
         counted = wanted >= 0
-        rows = np.flatnonzero(counted)
-        loss -= float(np.log(np.maximum(z[rows, wanted[rows]] / sums[rows], 1e-30)).sum())
-        z *= np.where(counted, 1 / (sums * np.float32(total)), np.float32(0))[:, None]
-        z[rows, wanted[rows]] -= np.float32(1 / total)
-        of_out += h.T @ z
-        dm = np.matmul(z, back, out=room("dm", n * STEP, WIDTH)).reshape(n, STEP, WIDTH)
+        order, edges = _by_group(wanted[counted])
+        order = np.flatnonzero(counted).take(order)
+        wanted = wanted.take(order)
+        m, hs = len(order), h.take(order, axis=0, out=room("hs", len(order), WIDTH + 1), mode="clip")
+        z, dh = room("z", m, GROUP), room("dh", m, WIDTH)
+        spans = [(g, slice(edges[g], edges[g + 1])) for g in range(GROUPS) if edges[g] < edges[g + 1]]
+        for g, span in spans:
+            np.matmul(hs[span], within[g], out=z[span])
+        top = np.matmul(h, to_group, out=room("top", n * STEP, GROUPS))
+        for x in (z, top):
+            if x.size and x.max() > 40:
+                x -= x.max(axis=1, keepdims=True)
+            np.exp(x, out=x)
+        sums, top_sums = z @ _ONES[:GROUP], top @ _ONES[:GROUPS]
+        flat, place = z.reshape(-1), np.arange(m) * GROUP + wanted % GROUP
+        top_flat, top_place = top.reshape(-1), order * GROUPS + wanted // GROUP
+        chosen = flat.take(place) / sums * (top_flat.take(top_place) / top_sums.take(order))
+        loss -= float(np.log(np.maximum(chosen, 1e-30)).sum())
+        z *= (1 / (sums * np.float32(total)))[:, None]
+        flat[place] -= np.float32(1 / total)
+        top *= np.where(counted, 1 / (top_sums * np.float32(total)), np.float32(0))[:, None]
+        top_flat[top_place] -= np.float32(1 / total)
+        of_group += h.T @ top
+        dm = np.matmul(top, group_back, out=room("dm", n * STEP, WIDTH))
+        for g, span in spans:
+            of_within[g] += hs[span].T @ z[span]
+            np.matmul(z[span], back[g], out=dh[span])
+        dh += dm.take(order, axis=0, out=room("dm of", m, WIDTH), mode="clip")
+        dm[order] = dh
+        dm = dm.reshape(n, STEP, WIDTH)
         d_last, d_pair = all_last[lo : lo + n], all_pair[lo : lo + n]
         d_last[:, :, WIDTH:] = dm
         da = np.matmul(dm, v.transpose(0, 2, 1), out=room("da", n, STEP, 2 * STEP))
         np.matmul(a.transpose(0, 2, 1), dm, out=d_pair[:, :, WIDTH:])
         da *= a
-        a *= da.sum(axis=2, keepdims=True)
+        a *= (da @ _ONES)[:, :, None]
         da -= a
         np.matmul(da, k, out=d_last[:, :, :WIDTH])
         np.matmul(da.transpose(0, 2, 1), q, out=d_pair[:, :, :WIDTH])
@@ -295,8 +367,10 @@ def gradient(
         "query": (w["embed"].T @ of_query + w["place"][STEP:].T @ of_query_place) * np.float32(WIDTH**-0.5),
         "key": of_pair[:, :WIDTH],
         "value": of_pair[:, WIDTH:],
-        "out": of_out[:-1],
-        "bias": of_out[-1],
+        "group": of_group[:-1],
+        "group_bias": of_group[-1],
+        "out": of_within[:, :-1].transpose(1, 0, 2).reshape(WIDTH, CLASSES),
+        "bias": of_within[:, -1].reshape(CLASSES),
     }
 
 

@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import base64
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,8 @@ WARM_WINDOWS = 24_000
 WARM_STEPS = 600
 #: Words whose counts go to every task, at most (12 bytes each).
 FREQUENT_WORDS = 1 << 19
+#: Words whose subwords a Python process remembers, at most (some 30 bytes each).
+KEPT_WORDS = 1 << 18
 #: Share of the attention model in the mixture.
 MIX = 0.5
 
@@ -62,6 +64,25 @@ class Pieces:
         for token, rank in ranks.items():
             self.starts[rank] = token.startswith(b" ")
         self.starts[self.end] = True
+        # Subwords of words seen before: hashes in ascending order, where their ids begin, how many, and the ids.
+        self._seen = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def of_hashes(self, hashes: np.ndarray, spell: Callable[[np.ndarray], list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, count): the ids of word i begin at ``first[i]``. ``hashes`` are distinct, ``spell`` gives words by place."""
+        known, starts, counts, ids = self._seen
+        place = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
+        hit = known[place] == hashes if len(known) else np.zeros(len(hashes), bool)
+        fresh = np.flatnonzero(~hit)
+        more, bounds = self.of_words(spell(fresh))
+        first, count = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int64)
+        first[hit], count[hit] = starts[place[hit]], counts[place[hit]]
+        first[fresh], count[fresh] = bounds[:-1] + len(ids), np.diff(bounds)
+        ids = np.concatenate([ids, more.astype(np.int32)])
+        if len(fresh) and len(known) + len(fresh) <= KEPT_WORDS:
+            joined = [np.concatenate(pair) for pair in ((known, hashes[fresh]), (starts, first[fresh]), (counts, count[fresh]))]
+            order = np.argsort(joined[0])
+            self._seen = (*(x[order] for x in joined), ids)
+        return ids, first, count
 
     def of_words(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds): those of word i are ids[bounds[i]:bounds[i + 1]]."""
@@ -87,11 +108,15 @@ class _Texts:
         starts, ends = words.word_bounds(flat, offsets, words.SPACES[flat] != 0)
         self.hashes = words.hash_words(flat, starts, ends, words.SPACES)
         self.bounds = np.searchsorted(starts, offsets)
-        _, first, which = np.unique(self.hashes, return_index=True, return_inverse=True)
+        distinct, first, which = np.unique(self.hashes, return_index=True, return_inverse=True)
         lower = np.where((flat >= 65) & (flat <= 90), flat + 32, flat).astype(np.uint8).tobytes()
-        found = [lower[a:b].decode("utf-8", "replace") for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        ids, at = pieces.of_words(found)
-        count = np.diff(at)[which]
+
+        def spell(places: np.ndarray) -> list[str]:
+            some = first[places]
+            return [lower[a:b].decode("utf-8", "replace") for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
+
+        ids, at, counts = pieces.of_hashes(distinct, spell)
+        count = counts[which]
         # Targets of a text: the subwords of its words, then the end.
         texts_of_word = np.repeat(np.arange(len(offsets) - 1), np.diff(self.bounds))
         before = np.cumsum(count) - count + texts_of_word
@@ -99,10 +124,10 @@ class _Texts:
         total = np.bincount(texts_of_word, weights=count, minlength=len(offsets) - 1).astype(np.int64) + 1
         self.lengths = total
         self.text_end = np.cumsum(total) - 1
-        self.targets = np.full(int(total.sum()), pieces.end, np.int64)
+        self.targets = np.full(int(total.sum()), pieces.end, np.int32)
         place = np.arange(int(count.sum()))
         inside = place - np.repeat(np.cumsum(count) - count, count)
-        self.targets[np.repeat(before, count) + inside] = ids[np.repeat(at[:-1][which], count) + inside]
+        self.targets[np.repeat(before, count) + inside] = ids[np.repeat(at[which], count) + inside]
         self.inputs = np.empty_like(self.targets)
         self.inputs[1:] = self.targets[:-1]
         self.inputs[:1] = pieces.end  # the end of one text is the beginning of the next
@@ -128,7 +153,7 @@ def _counts(path: str, pattern: str):
             return keys, np.bincount(which.reshape(-1), weights=np.concatenate([c for _, c in held])).astype(np.int64)
 
         for whole in batches:
-            for batch in words.pieces(whole, "text", 1 << 22):
+            for batch in words.pieces(whole, "text", 1 << 21):
                 texts = _Texts(batch["text"], pieces)
                 subwords += np.bincount(texts.targets, minlength=len(subwords))
                 if len(texts.hashes):

@@ -328,6 +328,54 @@ def test_groups_then_classes_are_a_distribution():
     assert np.allclose(attention._by_class(inputs, rows, attention._Room()), want, atol=1e-3)
 
 
+def test_scores_are_those_of_the_trained_model():
+    """By the plain formula too, in double precision: softmax of the products, then of groups and classes."""
+    rng = np.random.default_rng(8)
+    w = {k: v + rng.standard_normal(v.shape) * 0.2 for k, v in attention.fresh_weights().items()}
+    w32 = {k: v.astype(np.float32) for k, v in w.items()}
+    n, step = 7, attention.STEP
+    inputs = rng.integers(0, attention.CLASSES, (n, 2 * step))
+    real = np.ones_like(inputs, bool)
+    real[0, :step], real[1, :3], real[2, -5:] = False, False, False
+    targets = np.where(real[:, step:], rng.integers(0, attention.CLASSES, (n, step)), -1)
+
+    def softmax(z):
+        e = np.exp(z - z.max(axis=-1, keepdims=True))
+        return e / e.sum(axis=-1, keepdims=True)
+
+    x = w["embed"][inputs] + w["place"]
+    seen = (np.arange(2 * step) <= (step + np.arange(step))[:, None]) & real[:, None]
+    seen |= np.arange(2 * step) == (step + np.arange(step))[:, None]  # of targets that do not count
+    logits = (x[:, step:] @ w["query"]) @ (x @ w["key"]).transpose(0, 2, 1) * attention.WIDTH**-0.5
+    h = softmax(np.where(seen, logits, -1e9)) @ (x @ w["value"]) + x[:, step:]
+    groups = softmax(h @ w["group"] + w["group_bias"])
+    within = softmax((h @ w["out"] + w["bias"]).reshape(n, step, attention.GROUPS, attention.GROUP))
+    p = (groups[..., None] * within).reshape(n, step, -1)[targets >= 0]
+    of = (np.arange(attention.CLASSES) % 40 < 17).astype(np.float32)
+    own, share = attention.Scorer(w32).log_shares(inputs, real, targets[targets >= 0], of)
+    want = p[np.arange(len(p)), targets[targets >= 0]]
+    assert np.allclose(own, np.log10(want), atol=1e-4) and np.allclose(share, np.log10(p @ of), atol=1e-4)
+    assert attention.gradient(w32, inputs, real, targets)[0] == pytest.approx(-np.log(want).mean(), rel=1e-4)
+
+
+@pytest.mark.parametrize("most", [3, 400])
+def test_sums_by_class(most):
+    rng = np.random.default_rng(9)
+    classes = rng.integers(0, most, (40, 2 * attention.STEP)) % attention.CLASSES
+    for width in (5, 3):
+        rows = rng.standard_normal((*classes.shape, width)).astype(np.float32)
+        want = np.zeros((attention.CLASSES, width))
+        np.add.at(want, classes, rows)
+        assert np.allclose(attention._by_class(classes, rows, attention._Room()), want, atol=1e-3)
+
+
+def test_distinct_words():
+    values = np.array([5, 1 << 63, 5, 7, 1 << 63, 0], np.uint64)
+    for some in (values, values[:0]):
+        want = np.unique(some, return_index=True, return_inverse=True)
+        assert all((a == b).all() for a, b in zip(lm._distinct(some), want, strict=True))
+
+
 @pytest.mark.parametrize("kept", [0, 5, 1 << 18])
 def test_remembered_words_have_the_same_subwords(monkeypatch, kept):
     import public_tokenizers

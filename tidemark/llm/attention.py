@@ -77,7 +77,7 @@ def flatten(weights: dict[str, np.ndarray]) -> np.ndarray:
 
 def unflatten(flat: np.ndarray) -> dict[str, np.ndarray]:
     sizes = np.cumsum([int(np.prod(s)) for s in SHAPES.values()])[:-1]
-    return {k: part.reshape(s).astype(np.float32) for (k, s), part in zip(SHAPES.items(), np.split(flat, sizes), strict=True)}
+    return {k: part.reshape(s).astype(np.float32, copy=False) for (k, s), part in zip(SHAPES.items(), np.split(flat, sizes), strict=True)}
 
 
 def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,7 +107,8 @@ _ONES = np.ones(2 * STEP, np.float32)
 #: Windows at a time: few enough for the cache, enough for one product per group of classes.
 _TOGETHER = 256
 
-_FUTURE = np.where(np.arange(2 * STEP)[None, :] <= (STEP + np.arange(STEP))[:, None], np.float32(0), _HIDDEN)
+#: By key, then by target.
+_FUTURE = np.where(np.arange(2 * STEP)[:, None] <= STEP + np.arange(STEP), np.float32(0), _HIDDEN)
 
 
 class _Room:
@@ -123,19 +124,22 @@ class _Room:
         return held[:n]
 
 
-def _tables(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(keys beside values, queries), as one product each."""
-    return np.concatenate([w["key"], w["value"]], axis=1), w["query"] * np.float32(WIDTH**-0.5)
+def _tables(w: dict[str, np.ndarray]) -> np.ndarray:
+    """Keys beside values, as one product, and a column for ones; the keys take the queries' product along."""
+    key = w["key"] @ w["query"].T * np.float32(WIDTH**-0.5)
+    return np.concatenate([key, w["value"], np.zeros((WIDTH, 1), np.float32)], axis=1)
 
 
-def _outputs(w: dict[str, np.ndarray], scale: float = 1.0, level: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+def _outputs(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Outputs of the groups, and of the classes of each group, with the bias as the last row."""
-    group = np.concatenate([w["group"], w["group_bias"][None]]).astype(np.float64) * scale
-    within = np.concatenate([w["out"], w["bias"][None]]).astype(np.float64) * scale
-    group[-1] += level
-    within[-1] += level
-    within = within.reshape(WIDTH + 1, GROUPS, GROUP).transpose(1, 0, 2)
-    return group.astype(np.float32), np.ascontiguousarray(within.astype(np.float32))
+    within = np.concatenate([w["out"], w["bias"][None]]).reshape(WIDTH + 1, GROUPS, GROUP)
+    return np.concatenate([w["group"], w["group_bias"][None]]), within.transpose(1, 0, 2)
+
+
+def _joint(group: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each group its classes' outputs beside those of all groups, and the transpose without the bias."""
+    forth = np.concatenate([np.broadcast_to(group, (GROUPS, *group.shape)), within], axis=2)
+    return forth, np.ascontiguousarray(forth[:, :WIDTH].transpose(0, 2, 1))
 
 
 def _by_group(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,31 +149,56 @@ def _by_group(wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(group, kind="stable"), edges.tolist()
 
 
-# A power of e as a float whose bits are a linear function of the exponent (Schraudolph 1999):
-# piecewise linear between powers of two, within 3 percent of e**x, and normalised like it.
-_SLOPE = float(1 << 23) / float(np.log(2))
-_LEVEL = float(127 * (1 << 23) - 366_393)
-_TOP = float((1 << 31) - (1 << 8))
+def _power(z: np.ndarray) -> np.ndarray:
+    """Powers of e in place, up to a factor for each row."""
+    if z.size and z.max() > 40:  # rare; otherwise they fit as they are
+        z -= z.max(axis=1, keepdims=True)
+    return np.exp(z, out=z)
+
+
+def _joint_powers(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of e in place, of the groups and of the classes of one group."""
+    top, within = z[:, :GROUPS], z[:, GROUPS:]
+    if z.size and z.max() > 40:
+        return _power(top), _power(within)
+    np.exp(z, out=z)
+    return top, within
+
 
+def _shares(z: np.ndarray) -> np.ndarray:
+    z = _power(z)
+    return z / z.sum(axis=1, keepdims=True)
 
-def _power(x: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """The power of ``x``, given as ``_SLOPE * exponent + _LEVEL``; 0 if that is below 0."""
-    np.maximum(x, 0, out=x)
-    np.copyto(bits, x, casting="unsafe")
-    return bits.view(np.float32)
+
+def _attended(kv: np.ndarray, x: np.ndarray, before: np.ndarray, room: _Room) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sums of the values by powers of e, one over the sums of these powers, the powers by key, then by target).
+
+    The values' last column is one, which gives the sums of the powers. Products with the
+    transpose of the right side are slow, so it is the targets that are turned.
+    """
+    n = len(kv)
+    across = room("across", n, WIDTH + 1, STEP)[:, :WIDTH]
+    np.copyto(across, x.transpose(0, 2, 1))
+    a = np.matmul(kv[:, :, :WIDTH], across, out=room("a", n, 2 * STEP, STEP))
+    a += _FUTURE
+    # What follows a text's end is in the future of its targets anyway; what precedes it is not.
+    short = np.flatnonzero(~before[:, 0])
+    if len(short):
+        a[short, :STEP] += np.where(before[short], np.float32(0), _HIDDEN)[:, :, None]
+    _power(a)
+    h = np.matmul(a.transpose(0, 2, 1), kv[:, :, WIDTH:], out=room("h", n, STEP, WIDTH + 1))
+    return h, 1 / h[:, :, WIDTH:], a
 
 
 class Scorer:
-    """Weights in the form that scoring needs: with one layer, queries, keys and values are tables."""
+    """Weights in the form that scoring needs: with one layer, keys and values are tables of class and place."""
 
     def __init__(self, w: dict[str, np.ndarray]):
-        pair = np.concatenate([w["key"], w["value"]], axis=1)
-        self._pair, self._pair_place = w["embed"] @ pair, w["place"] @ pair
-        query = w["query"] * np.float32(WIDTH**-0.5 * _SLOPE)
-        self._query, self._query_place = w["embed"] @ query, w["place"][STEP:] @ query
-        self._embed, self._place = w["embed"], w["place"][STEP:]
-        self._group, self._within = _outputs(w, _SLOPE, _LEVEL)
-        self._mask = np.where(_FUTURE == 0, np.float32(_LEVEL), np.float32(-1e30))
+        x = w["embed"][:, None] + w["place"]
+        pair = x @ _tables(w)
+        pair[:, :, -1] = 1
+        self._pair, self._last = pair.reshape(-1, 2 * WIDTH + 1), x[:, STEP:].reshape(-1, WIDTH)
+        self._forth, _ = _joint(*_outputs(w))
         self._room = _Room()
 
     def next_class(self, inputs: np.ndarray, real: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,9 +207,9 @@ class Scorer:
         (windows, STEP, CLASSES) and (windows, STEP, columns of ``of``); the first of these is all ones.
         """
         h = self._states(inputs, real)
-        z = np.repeat(self._shares(h, self._group, "groups"), GROUP, axis=1)
+        z = np.repeat(_shares(h @ self._forth[0, :, :GROUPS]), GROUP, axis=1)
         for g in range(GROUPS):
-            z[:, g * GROUP : (g + 1) * GROUP] *= self._shares(h, self._within[g], "within")
+            z[:, g * GROUP : (g + 1) * GROUP] *= _shares(h @ self._forth[g, :, GROUPS:])
         return z.reshape(-1, STEP, CLASSES), (z @ of).reshape(len(inputs), STEP, -1)
 
     def log_shares(self, inputs: np.ndarray, real: np.ndarray, wanted: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,72 +224,72 @@ class Scorer:
         mixed = np.flatnonzero(of.min(axis=1) != of.max(axis=1))  # other groups count alike as a whole
         for at, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
             part = slice(at * _TOGETHER, (at + 1) * _TOGETHER)
-            here, n = wanted[a:b], b - a
-            h = self._states(inputs[part], real[part]).take(places[a:b] - at * _TOGETHER * STEP, axis=0)
-            groups = self._shares(h, self._group, "groups")
-            np.matmul(groups, of[:, 0], out=weighted[a:b])
-            for g in mixed:
-                weighted[a:b] += groups[:, g] * (self._shares(h, self._within[g], "within") @ of[g] - of[g, 0])
-            order, edges = _by_group(here)
-            h, z = h.take(order, axis=0), self._room("within", n, GROUP)
+            order, edges = _by_group(wanted[a:b])
+            here, n = wanted[a:b].take(order), b - a
+            h = self._states(inputs[part], real[part])
+            h = h.take(places[a:b].take(order) - at * _TOGETHER * STEP, axis=0, out=self._room("hs", n, WIDTH + 1), mode="clip")
+            z = self._room("z", n, GROUPS + GROUP)
             for g in range(GROUPS):
                 if edges[g] < edges[g + 1]:
-                    np.matmul(h[edges[g] : edges[g + 1]], self._within[g], out=z[edges[g] : edges[g + 1]])
-            z = self._exponentials(z, "within")
-            here = here.take(order)
-            chosen = z.reshape(-1).take(np.arange(n) * GROUP + here % GROUP) / (z @ _ONES[:GROUP])
-            chosen *= groups.reshape(-1).take(order * GROUPS + here // GROUP)
-            own[a + order] = chosen
+                    np.matmul(h[edges[g] : edges[g + 1]], self._forth[g], out=z[edges[g] : edges[g + 1]])
+            top, within = _joint_powers(z)
+            over_top = 1 / (top @ _ONES[:GROUPS])
+            sums = top @ of[:, 0]
+            for g in mixed:
+                inside = _power(np.matmul(h, self._forth[g, :, GROUPS:], out=self._room("inside", n, GROUP)))
+                sums += top[:, g] * (inside @ of[g] / (inside @ _ONES[:GROUP]) - of[g, 0])
+            flat, place = z.reshape(-1), np.arange(0, n * (GROUPS + GROUP), GROUPS + GROUP)
+            chosen = flat.take(place + GROUPS + here % GROUP) / (within @ _ONES[:GROUP])
+            own[a + order] = chosen * flat.take(place + here // GROUP) * over_top
+            weighted[a + order] = sums * over_top
         return tuple(np.log10(np.maximum(x, 1e-37, out=x)).astype(np.float64) for x in (own, weighted))
 
-    def _exponentials(self, z: np.ndarray, name: str) -> np.ndarray:
-        if z.size and z.max() >= _TOP:
-            z -= np.maximum(z.max(axis=1, keepdims=True) - np.float32(_LEVEL), 0)
-        return _power(z, self._room(name + " bits", *z.shape, kind=np.int32))
-
-    def _shares(self, h: np.ndarray, table: np.ndarray, name: str) -> np.ndarray:
-        """Probabilities of the columns of ``table``; they hold until the next call with this name."""
-        z = np.matmul(h, table, out=self._room(name, len(h), table.shape[1]))
-        z = self._exponentials(z, name)
-        z *= (1 / (z @ _ONES[: table.shape[1]]))[:, None]
-        return z
-
     def _states(self, inputs: np.ndarray, real: np.ndarray) -> np.ndarray:
         """What the outputs see, and a one for the bias, a row for each target; they hold until the next call."""
         n, room = len(inputs), self._room
-        pair = self._pair.take(inputs, axis=0, out=room("pair", n, 2 * STEP, 2 * WIDTH), mode="clip")
-        pair += self._pair_place
-        last = np.ascontiguousarray(inputs[:, STEP:])
-        query = self._query.take(last, axis=0, out=room("query", n, STEP, WIDTH), mode="clip")
-        query += self._query_place
-        a = np.matmul(query, pair[:, :, :WIDTH].transpose(0, 2, 1), out=room("a", n, STEP, 2 * STEP))
-        a += self._mask
-        short = np.flatnonzero(~real[:, 0])
-        if len(short):
-            a[short, :, :STEP] = np.where(real[short, None, :STEP], a[short, :, :STEP], np.float32(-1e30))
-        if a.max() >= _TOP:
-            a -= np.maximum(a.max(axis=2, keepdims=True) - np.float32(_LEVEL), 0)
-        a = _power(a, room("a bits", n, STEP, 2 * STEP, kind=np.int32))
-        mixed = np.matmul(a, pair[:, :, WIDTH:], out=room("mixed", n, STEP, WIDTH))
-        mixed *= (1 / (a @ _ONES[: 2 * STEP]))[:, :, None]
-        mixed += self._embed.take(last, axis=0, out=query, mode="clip")
-        mixed += self._place
-        h = room("h", n * STEP, WIDTH + 1)
-        h[:, :WIDTH], h[:, WIDTH] = mixed.reshape(-1, WIDTH), 1
-        return h
+        index = inputs * (2 * STEP) + np.arange(2 * STEP)
+        kv = self._pair.take(index, axis=0, out=room("kv", n, 2 * STEP, 2 * WIDTH + 1), mode="clip")
+        x = self._last.take(inputs[:, STEP:] * STEP + np.arange(STEP), axis=0, out=room("x", n, STEP, WIDTH), mode="clip")
+        h, over, _ = _attended(kv, x, real[:, :STEP], room)
+        h[:, :, :WIDTH] *= over
+        h[:, :, :WIDTH] += x
+        h[:, :, WIDTH] = 1
+        return h.reshape(-1, WIDTH + 1)
+
+
+#: The outputs of a group's targets: those of all groups, then those of its classes.
+_PARTS = np.repeat(np.eye(2, dtype=np.float32), [GROUPS, GROUP], axis=1)
+
+#: Rows of a run in ``_by_class``.
+_RUN = 16
 
 
 def _by_class(classes: np.ndarray, rows: np.ndarray, room: _Room) -> np.ndarray:
-    """Sums of the rows of each class: rows in order of their group, then one product a group with their places in it."""
+    """Sums of the rows of each class: of runs of ``_RUN`` rows, one row of each run at a time, then one product a group with the runs' places in it."""
     classes, rows = classes.reshape(-1), rows.reshape(-1, rows.shape[-1])
-    order, edges = _by_group(classes)
-    ordered = rows.take(order, axis=0, out=room("by class", *rows.shape), mode="clip")
-    place = room("places", len(rows), GROUP)
+    order = np.argsort(classes.astype(np.uint8), kind="stable")
+    count = np.bincount(classes, minlength=CLASSES)
+    runs = -(-count // _RUN)
+    bounds = np.concatenate([[0], np.cumsum(runs)])
+    of_run = np.repeat(np.arange(CLASSES), runs)
+    inner = (np.arange(len(of_run)) - bounds.take(of_run)) * _RUN
+    size = np.minimum(count.take(of_run) - inner, _RUN)
+    first = (np.cumsum(count) - count).take(of_run) + inner
+    longest = np.argsort(-size, kind="stable")  # so that the runs with a next row come first
+    first, enough = first.take(longest), len(size) - np.cumsum(np.bincount(size, minlength=_RUN + 1))
+    width, n = rows.shape[1], len(of_run)
+    sums = rows.take(order.take(first), axis=0, out=room(f"runs {width}", n, width), mode="clip")
+    for j in range(1, _RUN):
+        some = enough[j]
+        sums[:some] += rows.take(order.take(first[:some] + j), axis=0, out=room(f"next {width}", some, width), mode="clip")
+    ordered = room(f"next {width}", n, width)
+    ordered[longest] = sums
+    place = room("places", n, GROUP)
     place[:] = 0
-    place.reshape(-1)[np.arange(len(rows)) * GROUP + classes.take(order) % GROUP] = 1
-    sums = np.zeros((GROUPS, GROUP, rows.shape[1]), np.float32)
+    place.reshape(-1)[np.arange(n) * GROUP + of_run % GROUP] = 1
+    sums = np.zeros((GROUPS, GROUP, width), np.float32)
     for g in range(GROUPS):
-        span = slice(edges[g], edges[g + 1])
+        span = slice(bounds[g * GROUP], bounds[(g + 1) * GROUP])
         np.matmul(place[span].T, ordered[span], out=sums[g])
     return sums.reshape(CLASSES, -1)
 
@@ -270,107 +299,92 @@ def gradient(
 ) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss per target (natural log) and its gradient; targets below 0 do not count.
 
-    Queries, keys and values depend on a class and a place only, so they are tables, and what
+    Keys and values depend on a class and a place only, so they are tables, and what
     comes back to them is added up by class and by place before it meets the weights.
+    Attention stays as powers of e, the sums go along with what comes back.
     """
     room = room or _Room()
-    to_pair, to_query = _tables(w)
-    to_group, within = _outputs(w)
-    pair, pair_place = w["embed"] @ to_pair, w["place"] @ to_pair
-    query, query_place = w["embed"] @ to_query, w["place"][STEP:] @ to_query
-    group_back, back = np.ascontiguousarray(w["group"].T), np.ascontiguousarray(within[:, :WIDTH].transpose(0, 2, 1))
+    pair_of = _tables(w)
+    pair, pair_place = w["embed"] @ pair_of, w["place"] @ pair_of
+    pair[:, -1], pair_place[:, -1] = 1, 0
+    forth, back = _joint(*_outputs(w))
     total, loss = max(1, int((targets >= 0).sum())), 0.0
     all_pair = room("d pair", len(inputs), 2 * STEP, 2 * WIDTH)
-    all_last = room("d last", len(inputs), STEP, 2 * WIDTH)  # queries beside what passes attention by
+    all_last = room("d last", len(inputs), STEP, WIDTH)
     by_place = np.zeros((2 * STEP, 2 * WIDTH), np.float32)
-    last_by_place = np.zeros((STEP, 2 * WIDTH), np.float32)
-    of_group, of_within = np.zeros_like(to_group), np.zeros_like(within)
+    last_by_place = np.zeros((STEP, WIDTH), np.float32)
+    of_joint = np.zeros((GROUPS, GROUPS + GROUP, WIDTH + 1), np.float32)
     for lo in range(0, len(inputs), _TOGETHER):
         part = inputs[lo : lo + _TOGETHER]
         n, last = len(part), np.ascontiguousarray(part[:, STEP:])
-        kv = pair.take(part, axis=0, out=room("kv", n, 2 * STEP, 2 * WIDTH), mode="clip")
+        kv = pair.take(part, axis=0, out=room("kv", n, 2 * STEP, 2 * WIDTH + 1), mode="clip")
         kv += pair_place
-        k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
-        q = query.take(last, axis=0, out=room("q", n, STEP, WIDTH), mode="clip")
-        q += query_place
-        a = np.matmul(q, k.transpose(0, 2, 1), out=room("a", n, STEP, 2 * STEP))
-        a += _FUTURE
-        # What follows a text's end is in the future of its targets anyway; what precedes it is not.
-        before = real[lo : lo + _TOGETHER, :STEP]
-        short = np.flatnonzero(~before[:, 0])
-        if len(short):
-            a[short, :, :STEP] += np.where(before[short], np.float32(0), _HIDDEN)[:, None, :]
-        if a.max() > 40:  # rare; otherwise the exponentials fit as they are
-            a -= a.max(axis=2, keepdims=True)
-        np.exp(a, out=a)
-        a *= (1 / (a @ _ONES))[:, :, None]
-        mixed = np.matmul(a, v, out=room("mixed", n, STEP, WIDTH))
-        mixed += w["embed"].take(last, axis=0, out=room("last", n, STEP, WIDTH), mode="clip")
-        mixed += w["place"][STEP:]
-        h = room("h", n * STEP, WIDTH + 1)
-        h[:, :WIDTH], h[:, WIDTH] = mixed.reshape(-1, WIDTH), 1
+        x = w["embed"].take(last, axis=0, out=room("x", n, STEP, WIDTH), mode="clip")
+        x += w["place"][STEP:]
+        h, over, a = _attended(kv, x, real[lo : lo + _TOGETHER, :STEP], room)
+        mixed = np.multiply(h[:, :, :WIDTH], over, out=room("mixed", n, STEP, WIDTH))
+        np.add(mixed, x, out=h[:, :, :WIDTH])
+        h[:, :, WIDTH] = 1
         # Each target asks for its group, and for its class among those of the group.
         wanted = targets[lo : lo + _TOGETHER].reshape(-1)
-        counted = wanted >= 0
-        order, edges = _by_group(wanted[counted])
-        order = np.flatnonzero(counted).take(order)
+        counted = np.flatnonzero(wanted >= 0)
+        order, edges = _by_group(wanted.take(counted))
+        order = counted.take(order)
         wanted = wanted.take(order)
-        m, hs = len(order), h.take(order, axis=0, out=room("hs", len(order), WIDTH + 1), mode="clip")
-        z, dh = room("z", m, GROUP), room("dh", m, WIDTH)
+        m, hs = len(order), h.reshape(-1, WIDTH + 1).take(order, axis=0, out=room("hs", len(order), WIDTH + 1), mode="clip")
+        z, dh = room("z", m, GROUPS + GROUP), room("dh", m + 1, WIDTH)
         spans = [(g, slice(edges[g], edges[g + 1])) for g in range(GROUPS) if edges[g] < edges[g + 1]]
         for g, span in spans:
-            np.matmul(hs[span], within[g], out=z[span])
-        top = np.matmul(h, to_group, out=room("top", n * STEP, GROUPS))
-        for x in (z, top):
-            if x.size and x.max() > 40:
-                x -= x.max(axis=1, keepdims=True)
-            np.exp(x, out=x)
-        sums, top_sums = z @ _ONES[:GROUP], top @ _ONES[:GROUPS]
-        flat, place = z.reshape(-1), np.arange(m) * GROUP + wanted % GROUP
-        top_flat, top_place = top.reshape(-1), order * GROUPS + wanted // GROUP
-        chosen = flat.take(place) / sums * (top_flat.take(top_place) / top_sums.take(order))
+            np.matmul(hs[span], forth[g], out=z[span])
+        top, within = _joint_powers(z)
+        over_top, over_within = 1 / (top @ _ONES[:GROUPS]), 1 / (within @ _ONES[:GROUP])
+        flat, place = z.reshape(-1), np.arange(0, m * (GROUPS + GROUP), GROUPS + GROUP)
+        place_top, place = place + wanted // GROUP, place + GROUPS + wanted % GROUP
+        chosen = flat.take(place) * over_within * (flat.take(place_top) * over_top)
         loss -= float(np.log(np.maximum(chosen, 1e-30)).sum())
-        z *= (1 / (sums * np.float32(total)))[:, None]
-        flat[place] -= np.float32(1 / total)
-        top *= np.where(counted, 1 / (top_sums * np.float32(total)), np.float32(0))[:, None]
-        top_flat[top_place] -= np.float32(1 / total)
-        of_group += h.T @ top
-        dm = np.matmul(top, group_back, out=room("dm", n * STEP, WIDTH))
+        share = np.float32(1 / total)
+        z *= np.stack([over_top * share, over_within * share], axis=1) @ _PARTS
+        flat[place] -= share
+        flat[place_top] -= share
         for g, span in spans:
-            of_within[g] += hs[span].T @ z[span]
+            of_joint[g] += z[span].T @ hs[span]
             np.matmul(z[span], back[g], out=dh[span])
-        dh += dm.take(order, axis=0, out=room("dm of", m, WIDTH), mode="clip")
-        dm[order] = dh
-        dm = dm.reshape(n, STEP, WIDTH)
+        dh[m] = 0  # for what does not count
+        back_to = np.full(n * STEP, m)
+        back_to[order] = np.arange(m)
+        dm = dh.take(back_to, axis=0, out=room("dm", n * STEP, WIDTH), mode="clip").reshape(n, STEP, WIDTH)
         d_last, d_pair = all_last[lo : lo + n], all_pair[lo : lo + n]
-        d_last[:, :, WIDTH:] = dm
-        da = np.matmul(dm, v.transpose(0, 2, 1), out=room("da", n, STEP, 2 * STEP))
-        np.matmul(a.transpose(0, 2, 1), dm, out=d_pair[:, :, WIDTH:])
-        da *= a
-        a *= (da @ _ONES)[:, :, None]
-        da -= a
-        np.matmul(da, k, out=d_last[:, :, :WIDTH])
-        np.matmul(da.transpose(0, 2, 1), q, out=d_pair[:, :, :WIDTH])
+        k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
+        grown, across = room("grown", n, STEP, WIDTH), room("across", n, WIDTH + 1, STEP)
+        np.multiply(dm, over, out=grown)
+        np.copyto(across[:, :WIDTH], grown.transpose(0, 2, 1))
+        np.negative(np.einsum("ijk,ijk->ij", grown, mixed), out=across[:, WIDTH])
+        np.matmul(a, grown, out=d_pair[:, :, WIDTH:])
+        a *= np.matmul(v, across, out=room("da", n, 2 * STEP, STEP))
+        np.matmul(a, x, out=d_pair[:, :, :WIDTH])
+        np.matmul(a.transpose(0, 2, 1), k, out=d_last)
+        d_last += dm
         by_place += d_pair.sum(axis=0)
         last_by_place += d_last.sum(axis=0)
     if not len(inputs):
         return 0.0, {name: np.zeros(shape, np.float32) for name, shape in SHAPES.items()}
     by_class, last_by_class = _by_class(inputs, all_pair, room), _by_class(inputs[:, STEP:], all_last, room)
-    of_query, passed = last_by_class[:, :WIDTH], last_by_class[:, WIDTH:]
-    of_query_place, passed_place = last_by_place[:, :WIDTH], last_by_place[:, WIDTH:]
     of_pair = w["embed"].T @ by_class + w["place"].T @ by_place
-    place = by_place @ to_pair.T
-    place[STEP:] += of_query_place @ to_query.T + passed_place
+    of_key, scale = of_pair[:, :WIDTH], np.float32(WIDTH**-0.5)
+    place = by_place @ pair_of[:, :-1].T
+    place[STEP:] += last_by_place
+    of_group = of_joint[:, :GROUPS].sum(axis=0)
+    of_within = of_joint[:, GROUPS:].reshape(CLASSES, WIDTH + 1)
     return loss / total, {
-        "embed": by_class @ to_pair.T + of_query @ to_query.T + passed,
+        "embed": by_class @ pair_of[:, :-1].T + last_by_class,
         "place": place,
-        "query": (w["embed"].T @ of_query + w["place"][STEP:].T @ of_query_place) * np.float32(WIDTH**-0.5),
-        "key": of_pair[:, :WIDTH],
+        "query": of_key.T @ w["key"] * scale,
+        "key": of_key @ w["query"] * scale,
         "value": of_pair[:, WIDTH:],
-        "group": of_group[:-1],
-        "group_bias": of_group[-1],
-        "out": of_within[:, :-1].transpose(1, 0, 2).reshape(WIDTH, CLASSES),
-        "bias": of_within[:, -1].reshape(CLASSES),
+        "group": of_group[:, :-1].T,
+        "group_bias": of_group[:, -1],
+        "out": of_within[:, :-1].T,
+        "bias": of_within[:, -1],
     }
 
 
@@ -378,17 +392,17 @@ class Trainer:
     """Adam over batches of windows."""
 
     def __init__(self, weights: dict[str, np.ndarray], rate: float):
-        self.weights = {k: v.copy() for k, v in weights.items()}
+        self._flat = flatten(weights).astype(np.float32)
+        self.weights = unflatten(self._flat)
         self.rate, self.steps, self._room = rate, 0, _Room()
-        self._mean = {k: np.zeros_like(v) for k, v in weights.items()}
-        self._square = {k: np.zeros_like(v) for k, v in weights.items()}
+        self._mean, self._square = np.zeros_like(self._flat), np.zeros_like(self._flat)
 
     def step(self, inputs: np.ndarray, real: np.ndarray, targets: np.ndarray) -> float:
         loss, g = gradient(self.weights, inputs, real, targets, self._room)
         self.steps += 1
-        for k, d in g.items():
-            self._mean[k] += 0.1 * (d - self._mean[k])
-            self._square[k] += 0.01 * (d * d - self._square[k])
-            mean, square = self._mean[k] / (1 - 0.9**self.steps), self._square[k] / (1 - 0.99**self.steps)
-            self.weights[k] -= (self.rate * mean / (np.sqrt(square) + 1e-8)).astype(np.float32)
+        d = flatten(g)
+        self._mean += 0.1 * (d - self._mean)
+        self._square += 0.01 * (d * d - self._square)
+        mean, square = self._mean / (1 - 0.9**self.steps), self._square / (1 - 0.99**self.steps)
+        self._flat -= (self.rate * mean / (np.sqrt(square) + 1e-8)).astype(np.float32)
         return loss

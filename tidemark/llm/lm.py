@@ -100,6 +100,18 @@ def _load(path: str, pattern: str) -> Pieces:
     return Pieces(path, pattern)
 
 
+def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values in ascending order, where each occurs first, which of them each is), by a hash table."""
+    coded = pa.array(hashes.view(np.int64)).dictionary_encode()
+    found, which = coded.dictionary.to_numpy().view(np.uint64), coded.indices.to_numpy()
+    first = np.empty(len(found), np.int64)
+    first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+    order = np.argsort(found)
+    rank = np.empty(len(found), np.int64)
+    rank[order] = np.arange(len(found))
+    return found[order], first[order], rank[which]
+
+
 class _Texts:
     """Words and subwords of a batch of texts, laid end to end."""
 
@@ -108,7 +120,8 @@ class _Texts:
         starts, ends = words.word_bounds(flat, offsets, words.SPACES[flat] != 0)
         self.hashes = words.hash_words(flat, starts, ends, words.SPACES)
         self.bounds = np.searchsorted(starts, offsets)
-        distinct, first, which = np.unique(self.hashes, return_index=True, return_inverse=True)
+        distinct, first, which = _distinct(self.hashes)
+        self.distinct, self.which = distinct, which
         lower = np.where((flat >= 65) & (flat <= 90), flat + 32, flat).astype(np.uint8).tobytes()
 
         def spell(places: np.ndarray) -> list[str]:
@@ -157,7 +170,7 @@ def _counts(path: str, pattern: str):
                 texts = _Texts(batch["text"], pieces)
                 subwords += np.bincount(texts.targets, minlength=len(subwords))
                 if len(texts.hashes):
-                    held.append(np.unique(texts.hashes, return_counts=True))
+                    held.append((texts.distinct, np.bincount(texts.which, minlength=len(texts.distinct))))
                 if sum(len(k) for k, _ in held) > 3_000_000:
                     keys, counts = merged()
                     held = [(keys, counts)]
@@ -186,18 +199,19 @@ def _counts(path: str, pattern: str):
 
 def _batches(packed: bytes, of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(inputs, real, targets) of stored windows, as classes."""
-    tokens = np.frombuffer(packed, "<u2").reshape(-1, 2 * attention.STEP + 1).astype(np.int64)
+    tokens = np.frombuffer(packed, "<u2").reshape(-1, 2 * attention.STEP + 1)
+    class_of = np.zeros(1 << 16, np.int64)
+    class_of[: len(of)] = of
+    all_real, all_classes = tokens[:, :-1] != 0xFFFF, class_of.take(tokens)
     for lo in range(0, len(tokens), _BATCH):
-        part = tokens[lo : lo + _BATCH]
-        real = part[:, :-1] != 0xFFFF
-        classes = np.where(real, of[np.where(real, part[:, :-1], 0)], 0).astype(np.int64)
+        real, classes = all_real[lo : lo + _BATCH], all_classes[lo : lo + _BATCH]
         # The target of a place is the next input; the last target is stored after the inputs.
         scored = real[:, attention.STEP :].sum(axis=1)
-        targets = np.full((len(part), attention.STEP), -1, np.int64)
-        targets[:, :-1] = np.where(real[:, attention.STEP + 1 :], classes[:, attention.STEP + 1 :], -1)
+        targets = np.full((len(real), attention.STEP), -1, np.int64)
+        targets[:, :-1] = np.where(real[:, attention.STEP + 1 :], classes[:, attention.STEP + 1 : -1], -1)
         rows = np.flatnonzero(scored)
-        targets[rows, scored[rows] - 1] = of[part[rows, -1]]
-        yield classes, real, targets
+        targets[rows, scored[rows] - 1] = classes[rows, -1]
+        yield classes[:, :-1], real, targets
 
 
 def _trained(windows: DataFrame, of: np.ndarray) -> dict[str, np.ndarray]:
@@ -271,9 +285,10 @@ def _scores(path: str, pattern: str, classes: attention.Classes, flat: np.ndarra
                 own, start = sequence(texts)
                 so_far = np.concatenate([[0], np.cumsum(own)])
                 model = so_far[texts.word_end] - so_far[texts.word_start] - start[texts.word_start] + start[texts.word_end]
-                place = np.minimum(np.searchsorted(known, texts.hashes), max(0, len(known) - 1))
-                hit = known[place] == texts.hashes if len(known) else np.zeros(len(texts.hashes), bool)
-                c = counts[place[hit]].astype(float)
+                place = np.minimum(np.searchsorted(known, texts.distinct), max(0, len(known) - 1))
+                found = known[place] == texts.distinct if len(known) else np.zeros(len(texts.distinct), bool)
+                hit = found[texts.which]
+                c = counts[place[texts.which[hit]]].astype(float)
                 texts_of_word = np.repeat(np.arange(len(batch)), np.diff(texts.bounds))
                 base = np.bincount(texts_of_word[hit], weights=np.log10(c + 1) - floor, minlength=len(batch)).astype(float)
                 score = np.bincount(texts_of_word[hit], weights=rest + _log_mix(c / max(n, 1), model[hit]), minlength=len(batch)).astype(float)

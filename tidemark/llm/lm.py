@@ -24,13 +24,14 @@ as the id text '' for the split. Other columns are ignored.
 from __future__ import annotations
 
 import base64
+import contextlib
 import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import attention, words
@@ -38,6 +39,8 @@ from tidemark.llm.common import remainder, written
 
 #: Windows in a stored batch, at most.
 STORED = 1_024
+#: Stored batches that go to a task at a time, at most (some 70 KB each).
+ROWS_AT_ONCE = 64
 #: Windows on the driver for the first weights, about.
 WARM_WINDOWS = 24_000
 WARM_STEPS = 600
@@ -162,19 +165,22 @@ def _counts(path: str, pattern: str):
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, which = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return keys, np.bincount(which.reshape(-1), weights=np.concatenate([c for _, c in held])).astype(np.int64)
+            keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(keys)
+            keys, counts = keys[order], counts[order]
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            return keys[first], np.add.reduceat(counts, first)
 
         for whole in batches:
-            for batch in words.pieces(whole, "text", 1 << 21):
+            for batch in words.pieces(whole, "text", 1 << 20):
                 texts = _Texts(batch["text"], pieces)
                 subwords += np.bincount(texts.targets, minlength=len(subwords))
                 if len(texts.hashes):
                     held.append((texts.distinct, np.bincount(texts.which, minlength=len(texts.distinct))))
-                if sum(len(k) for k, _ in held) > 3_000_000:
+                if sum(len(k) for k, _ in held) > 1_000_000:
                     keys, counts = merged()
                     held = [(keys, counts)]
-                    if len(keys) > 1_500_000:
+                    if len(keys) > 500_000:
                         yield rows(0, keys.view(np.int64), counts)
                         held = []
                 first, seen, scored = attention.windows(texts.lengths)
@@ -214,6 +220,18 @@ def _batches(packed: bytes, of: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
         yield classes[:, :-1], real, targets
 
 
+@contextlib.contextmanager
+def _batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within this, Arrow batches hold that many rows at most: stored windows are wide rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _trained(windows: DataFrame, of: np.ndarray) -> dict[str, np.ndarray]:
     """Weights after a start on the driver and one averaged pass over all windows."""
     weights = attention.fresh_weights()
@@ -248,8 +266,9 @@ def _trained(windows: DataFrame, of: np.ndarray) -> dict[str, np.ndarray]:
 
     sums = windows.select("data").mapInArrow(local, "i int, value double, n long").groupBy("i").agg(F.sum("value"), F.sum("n"))
     flat = np.zeros(len(started))
-    for i, value, count in sums.collect():  # one row per weight, whatever the data
-        flat[i] = value / count
+    with _batch_rows(windows.sparkSession, ROWS_AT_ONCE):
+        for i, value, count in sums.collect():  # one row per weight, whatever the data
+            flat[i] = value / count
     return attention.unflatten(flat)
 
 
@@ -280,7 +299,7 @@ def _scores(path: str, pattern: str, classes: attention.Classes, flat: np.ndarra
             return own + classes.share[texts.targets], start
 
         for whole in batches:
-            for batch in words.pieces(whole, "text", 1 << 21):
+            for batch in words.pieces(whole, "text", 1 << 20):
                 texts = _Texts(batch["text"], pieces)
                 own, start = sequence(texts)
                 so_far = np.concatenate([[0], np.cumsum(own)])

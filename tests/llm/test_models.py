@@ -14,6 +14,7 @@ import pyarrow as pa
 import pytest
 
 from tidemark.llm import attention, cover_tree, features, html_text, lm, packing, quality, subwords, toxicity
+from tidemark.llm.common import batch_rows
 from tidemark.llm.queries import QUERIES, tokenizer_path
 
 # -- pages --------------------------------------------------------------------
@@ -435,6 +436,50 @@ def test_cosine_links_match_all_pairs(spark, monkeypatch, block):
     assert cover_tree.cosine_links(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_cosine_links_of_equal_vectors_between_centres(spark, monkeypatch, batch):
+    """Copies in many batches and vectors as far from one centre as from the other are one class each."""
+    monkeypatch.setattr(cover_tree, "BLOCK", 30)
+    rng = np.random.default_rng(5)
+    near = rng.standard_normal((40, 24))
+    vectors = [v for i in range(24) for v in (np.eye(24)[i], np.eye(24)[i] + np.eye(24)[(i + 1) % 24])] * 3
+    vectors += [v + 0.1 * rng.standard_normal(24) for v in near for _ in range(3)] + [np.eye(24)[0]] * 60
+    rows = [(i, [float(x) for x in v], i) for i, v in enumerate(vectors)] + [(900, [1.0, None], 0), (901, [1.0, float("inf")], 0), (902, [2.0], 0)]
+    rng.shuffle(rows)
+    table = spark.createDataFrame([(int(i), v, int(x)) for i, v, x in rows], "vec_id long, embedding array<float>, label int")
+    with batch_rows(spark, batch):
+        got = {r.vec_id: r for r in cover_tree.cosine_links(table).collect()}
+    points = np.array(vectors, np.float32).astype(np.float64)
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    hit = np.triu(points @ points.T >= 0.9, 1)
+    links = [(int(a), int(b)) for a, b in zip(*np.nonzero(hit), strict=True)]
+    want = plain.components([*range(len(vectors)), 900, 901, 902], links)
+    count = Counter(x for pair in links for x in pair)
+    assert {i: (r.n_links, r.component_id) for i, r in got.items()} == {i: (count[i], c) for i, c in want.items()}
+
+
+def test_cosine_links_shuffle_in_proportion_to_the_vectors(spark, monkeypatch):
+    """Blocks meet without a shuffled copy of each vector per block: four times the vectors, about four times the rows."""
+    monkeypatch.setattr(cover_tree, "BLOCK", 40)
+    context = spark.sparkContext
+
+    def stages():
+        context._jsc.sc().listenerBus().waitUntilEmpty()
+        quantiles = context._gateway.new_array(context._jvm.double, 0)
+        found = context._jsc.sc().statusStore().stageList(None, False, False, quantiles, context._jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    def shuffled(n):
+        points = np.random.default_rng(n).standard_normal((n, 32))
+        table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)], "vec_id long, embedding array<double>")
+        before = stages()
+        assert cover_tree.cosine_links(table).where("n_links = 0").count() == n
+        return sum(records for stage, records in stages().items() if stage not in before)
+
+    few, many = shuffled(400), shuffled(1_600)
+    assert many < 6 * few
+
+
 # -- classifiers --------------------------------------------------------------
 
 

@@ -480,6 +480,36 @@ def test_cosine_links_shuffle_in_proportion_to_the_vectors(spark, monkeypatch):
     assert many < 6 * few
 
 
+@pytest.mark.parametrize("noise", [0.1, 0.2, 0.33, 0.4, 0.5])
+def test_walk_over_blocks_of_one_group(noise):
+    """Blocks of near copies, linked wholly, nearly or hardly at all."""
+    rng = np.random.default_rng(7)
+    centre = rng.standard_normal(48)
+    trees = []
+    for first in (0, 1_000):
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(first, first + 500)), pa.array(list(centre / np.linalg.norm(centre) + noise * rng.standard_normal((500, 48)) / 48**0.5))],
+            names=["vec_id", "embedding"],
+        )
+        rows = pa.Table.from_batches(list(cover_tree.unit_vectors(iter([batch])))).rename_columns(["rep", "dim", "key", "vector"])
+        rows = rows.append_column("weight", pa.array(rng.integers(1, 4, 500)))
+        rows = rows.append_column("block", pa.array([first] * 500)).append_column("cell", pa.array([first] * 500))
+        trees.append(cover_tree._Tree(cover_tree._build(0.9)(rows).to_pylist()[0], 0.9))
+    for a, b in (trees, [trees[0]] * 2):
+        a.links[:] = b.links[:] = 0
+        base = 0 if a is b else 500
+        label = np.arange(base + 500)
+        cover_tree._walk(a, b, 0.9, label, base)
+        hit = a.points @ b.points.T >= 0.9
+        if a is b:
+            np.fill_diagonal(hit, False)
+        else:
+            assert (b.links == a.weight @ hit).all()
+        assert (a.links == hit @ b.weight).all()
+        pairs = [(int(i), int(base + j)) for i, j in zip(*np.nonzero(hit), strict=True)]
+        assert dict(enumerate(label.tolist())) == plain.components(range(len(label)), pairs)
+
+
 # -- classifiers --------------------------------------------------------------
 
 

@@ -119,11 +119,10 @@ def _rounding(heads: np.ndarray) -> float:
     return 2e-7 * (heads.shape[1] + 8)
 
 
-def _hits(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of ``a`` and of ``b`` whose product is at least that, and it; hits are rare, so eight at a time are looked at."""
-    found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0, a.dtype))]
+def _tiles(a: np.ndarray, b: np.ndarray, least: float) -> Iterator[tuple[slice, slice, np.ndarray, np.ndarray]]:
+    """(rows of ``a``, rows of ``b``, their products, where these are at least that), flat; they last until the next tile."""
     most = min(len(a), _TILE) * min(len(b), 4 * _TILE)
-    products, hit = np.empty(most, a.dtype), np.zeros(most + 8, bool)
+    products, hit = np.empty(most, a.dtype), np.empty(most, bool)
     for lo in range(0, len(a), _TILE):
         rows = a[lo : lo + _TILE]
         for at in range(0, len(b), 4 * _TILE):
@@ -131,14 +130,25 @@ def _hits(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.nd
             n = len(rows) * len(columns)
             np.matmul(rows, columns.T, out=products[:n].reshape(len(rows), len(columns)))
             np.greater_equal(products[:n], a.dtype.type(least), out=hit[:n])
-            hit[n : n + 8] = False
-            eights = hit[: -(-n // 8) * 8].reshape(-1, 8)
-            some = np.flatnonzero(eights.view(np.uint64) != 0)
-            if len(some):
-                which, place = np.nonzero(eights[some])
-                flat = some[which] * 8 + place
-                i, j = np.divmod(flat, len(columns))
-                found.append((lo + i, at + j, products[flat]))
+            yield slice(lo, lo + len(rows)), slice(at, at + len(columns)), products[:n], hit[:n]
+
+
+def _places(hit: np.ndarray) -> np.ndarray:
+    """Where ``hit`` is true; that is rare, so eight at a time are looked at."""
+    whole = len(hit) // 8 * 8
+    eights = hit[:whole].reshape(-1, 8)
+    some = np.flatnonzero(eights.view(np.uint64) != 0)
+    which, place = np.nonzero(eights[some])
+    return np.append(some[which] * 8 + place, whole + np.flatnonzero(hit[whole:]))
+
+
+def _hits(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``a`` and of ``b`` whose product is at least that, and it."""
+    found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0, a.dtype))]
+    for rows, columns, products, hit in _tiles(a, b, least):
+        flat = _places(hit)
+        i, j = np.divmod(flat, columns.stop - columns.start)
+        found.append((rows.start + i, columns.start + j, products[flat]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -252,8 +262,8 @@ def _walk(a: _Tree, b: _Tree, cosine: float, label: np.ndarray, base: int) -> No
     reach = float(np.sqrt(2 - 2 * cosine))
     same = a is b
 
-    def joined(row: int, columns: np.ndarray) -> None:
-        labels = np.append(label[base + columns], label[row])
+    def joined(rows: np.ndarray | int, columns: np.ndarray) -> None:
+        labels = np.append(label[base + columns], label[rows])
         if (labels != labels[0]).any():
             label[np.isin(label, labels)] = labels.min()
 
@@ -263,28 +273,52 @@ def _walk(a: _Tree, b: _Tree, cosine: float, label: np.ndarray, base: int) -> No
         a.links[rows] += hit @ b.weight[columns]
         if not same:
             b.links[columns] += a.weight[rows] @ hit
-        for i in np.flatnonzero(hit.any(axis=1)):
-            joined(rows[i], columns[hit[i]])
+        labels = np.append(label[base + columns], label[rows])
+        if (labels != labels[0]).any():
+            for i in np.flatnonzero(hit.any(axis=1)):
+                joined(rows[i], columns[hit[i]])
+
+    def each(rows: np.ndarray, columns: np.ndarray) -> None:
+        """Every point with every point."""
+        for lo in range(0, len(rows), _TILE):
+            part = rows[lo : lo + _TILE]
+            for at in range(0, len(columns), 4 * _TILE):
+                other = columns[at : at + 4 * _TILE]
+                linked(part, other, a.points[part] @ b.points[other].T >= cosine)
+
+    def whole(rows: np.ndarray, columns: np.ndarray) -> None:
+        """All of two nodes are linked; in one tree they are the same node or have no member in common."""
+        a.links[rows] += b.weight[columns].sum()
+        if not same:
+            b.links[columns] += a.weight[rows].sum()
+        elif rows[0] == columns[0]:
+            a.links[rows] -= a.weight[rows]
+        joined(rows, columns)
 
     def points(rows: np.ndarray, columns: np.ndarray) -> None:
         """Points on their own: the bound by their heads, then the cosines of what is left."""
+        if not len(rows) or not len(columns):
+            return
         heads = b.head[columns]
-        for lo in range(0, len(rows) if len(columns) else 0, _TILE):
-            part = rows[lo : lo + _TILE]
-            i, j, _ = _hits(a.head[part], heads, cosine - _rounding(heads))
-            order = np.argsort(i, kind="stable")
-            i, j = part[i[order]], columns[j[order]]
+        for rows_at, columns_at, _, near in _tiles(a.head[rows], heads, cosine - _rounding(heads)):
+            part, other = rows[rows_at], columns[columns_at]
+            if np.count_nonzero(near) * 64 > len(near):
+                each(part, other)
+                continue
+            i, j = np.divmod(_places(near), len(other))
+            i, j = part[i], other[j]
             hit = _cosines(a.points, i, b.points, j) >= cosine
             if same:
                 hit &= i != j
             i, j = i[hit], j[hit]
+            if not len(i):
+                continue
             np.add.at(a.links, i, b.weight[j])
             if not same:
                 np.add.at(b.links, j, a.weight[i])
-            if len(i):
-                first = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
-                for row, others in zip(i[first].tolist(), np.split(j, first[1:]), strict=True):
-                    joined(row, others)
+            first = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+            for row, others in zip(i[first].tolist(), np.split(j, first[1:]), strict=True):
+                joined(row, others)
 
     def nodes(some: tuple, others: tuple, level: int) -> None:
         """Pairs of nodes, wide ones or points; each side: centres, covering radii, bounds, members."""
@@ -300,21 +334,21 @@ def _walk(a: _Tree, b: _Tree, cosine: float, label: np.ndarray, base: int) -> No
             gap = np.sqrt(np.maximum(2 - 2 * dot, 0))
             spread = radius_a[i] + radius_b[j]
             near = gap <= spread + reach + _SLACK
-            whole = gap[near] + spread[near] < reach - _SLACK
-            for x, y, every in zip(i[near].tolist(), j[near].tolist(), whole.tolist(), strict=True):
+            inside = gap[near] + spread[near] < reach - _SLACK
+            ends_a = bound_a[lo : lo + _TILE + 1]
+            if np.count_nonzero(~inside) * 16 > (len(ends_a) - 1) * len(centre_b) and len(centre_b) * len(ends_a) > 64:
+                each(inside_a[ends_a[0] : ends_a[-1]], inside_b)  # bounds that prune little cost more than they save
+                continue
+            for x, y, every in zip(i[near].tolist(), j[near].tolist(), inside.tolist(), strict=True):
                 x, y = inside_a[bound_a[x] : bound_a[x + 1]], inside_b[bound_b[y] : bound_b[y + 1]]
                 if every:
-                    linked(x, y, np.ones((len(x), len(y)), bool))
+                    whole(x, y)
                 else:
                     meet(x, y, level + 1)
 
     def meet(rows: np.ndarray, columns: np.ndarray, level: int) -> None:
         if level == LEVELS or len(rows) * len(columns) <= 1024:
-            for lo in range(0, len(rows), _TILE):
-                part = rows[lo : lo + _TILE]
-                for at in range(0, len(columns), 4 * _TILE):
-                    other = columns[at : at + 4 * _TILE]
-                    linked(part, other, a.points[part] @ b.points[other].T >= cosine)
+            each(rows, columns)
             return
         wide_a, own_a = a.children(rows, level) if level else a.root
         wide_b, own_b = b.children(columns, level) if level else b.root
